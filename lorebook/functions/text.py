@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ASCII word boundary, whitespace and non-whitespace.
-B = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+# ASCII look-arounds for the two sides of a word, whitespace and non-whitespace.
+LB = r"(?<![0-9A-Za-z_])"
+RB = r"(?![0-9A-Za-z_])"
 S = r"[\t\n\f\r ]"
 NS = r"[^\t\n\f\r ]"
 # Unicode white space (outer trim and field splitting).
@@ -27,9 +28,9 @@ UNICODE_SPACES = "".join(
 SIGNATURE_RULES = [
     (r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<uuid>"),
     (r"0x[0-9a-f]+", "<addr>"),
-    (B + r"[0-9a-f]{8,}" + B, "<hex>"),
+    (LB + r"[0-9a-f]{8,}+" + RB, "<hex>"),
     (r"(^|" + S + r")(?:~|\.{1,2})?/" + NS + "+", "$1<path>"),
-    (B + r"[0-9]+" + B, "<num>"),
+    (LB + r"[0-9]++" + RB, "<num>"),
     (S + "+", " "),
 ]
 
@@ -70,7 +71,7 @@ def _fingerprint(c: Column) -> Column:
 
 
 def _non_empty(arr: Column) -> Column:
-    return F.filter(arr, lambda x: x != "")
+    return F.array_remove(arr, "")
 
 
 def terms(c) -> Column:

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import versions as V
-from ..functions.text import B
+from ..functions.text import LB, RB
 from ..session import broadcast_if_small
 from .records import FACTS_ONLY, _strings, has_vuln_prefix, is_advisory, own_signals
 
 # Id patterns, blocking flag prefixes, audited scope defects, audit prefixes,
 # ecosystem-to-runtime names.
 VULN_ID = r"(?i)(GHSA-[0-9a-z]{4,}-[0-9a-z]{4,}-[0-9a-z]{4,}|CVE-\d{4}-\d+|GO-\d{4}-\d+)"
-GHSA_ID = rf"(?i){B}GHSA-[0-9a-z]{{4}}-[0-9a-z]{{4}}-[0-9a-z]{{4}}{B}"
+GHSA_ID = rf"(?i){LB}GHSA-[0-9a-z]{{4}}-[0-9a-z]{{4}}-[0-9a-z]{{4}}{RB}"
 BLOCKING_PREFIXES = (
     "consistency:null-fixed-fix-text",
     "consistency:malformed-package-path",

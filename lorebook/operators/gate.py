@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import broadcast_if_small
+from ..session import cut_lineage
 from .retrieval import (
     MAX_K,
     MAX_QUERY_TOKENS,
@@ -44,8 +44,8 @@ def build_idf(docs: DataFrame, max_words: int | None = None) -> DataFrame:
 
     Tokens are distinct inside the row before exploding, so counts combine map-side.
     """
-    tokens = F.array_distinct(F.transform(F.filter(X.fields("text"), X.has_alnum), F.lower))
-    counted = docs.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    words = docs.select(F.explode(F.array_distinct(X.fields(F.lower("text")))).alias("word")).where(X.has_alnum(F.col("word")))
+    counted = words.groupBy("word").agg(F.count("*").alias("df"))
     return counted if max_words is None else counted.orderBy(F.col("df").desc(), "word").limit(max_words)
 
 
@@ -62,7 +62,7 @@ def globally_common(tokens: DataFrame, idf: DataFrame, total, ratio: float = COM
         .where((F.col("_n") > 0) & (F.col("_df") / F.col("_n") > ratio))
         .select("token", F.lit(True).alias("common"))
     )
-    return tokens.join(broadcast_if_small(shares), "token", "left").withColumn(
+    return tokens.join(shares, "token", "left").withColumn(
         "common", F.coalesce("common", F.lit(False))
     )
 
@@ -74,7 +74,7 @@ def gate_tokens(queries: DataFrame, stoplist: DataFrame, cap: int = MAX_QUERY_TO
     """
     tokens = queries.select("query_id", F.posexplode(X.query_tokens(F.lower("text"))).alias("pos", "token"))
     first = tokens.groupBy("query_id", "token").agg(F.min("pos").alias("pos"))
-    kept = first.join(broadcast_if_small(stoplist.select(F.col("word").alias("token")).distinct()), "token", "left_anti")
+    kept = first.join(stoplist.select(F.col("word").alias("token")).distinct(), "token", "left_anti")
     w = Window.partitionBy("query_id").orderBy("pos")
     return kept.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap).select("query_id", "token", "pos")
 
@@ -95,6 +95,7 @@ def discriminative_tokens(
     """
     stop = stoplist.select(F.lower("word").alias("word")).unionByName(ecosystem_names(index.applies_to, index.records))
     scanned = gate_tokens(queries, stop, cap).withColumn("phrase", as_phrase(F.col("token"))).where(F.col("phrase") != "")
+    scanned = cut_lineage(scanned)
     eligible = served_records(index, eligible_importers=importers)
     df = doc_freq(index.tokens, scanned, eligible).where(F.col("df") <= max_df)
     return globally_common(scanned.join(df, "phrase"), idf, total).select(
@@ -104,6 +105,7 @@ def discriminative_tokens(
 
 def corroborate(hits: DataFrame, query_tokens: DataFrame, index: CorpusIndex, min_tokens: int = MIN_CORROBORATING) -> DataFrame:
     """Hits whose record contains at least ``min_tokens`` distinct tokens of its query."""
+    hits = cut_lineage(hits)
     found = phrase_hits(index.tokens, query_tokens).select("phrase", "record_id")
     backed = (
         query_tokens.select("query_id", "token", "phrase")
@@ -132,9 +134,10 @@ def push_gate(
     bypasses the gate and its eligibility rule), closed (no discriminative token), single
     (one token on a prompt trigger), retrieved (the gate opened; ``served`` may be empty).
     """
-    exact = fingerprint_match(queries, index.fingerprints, served_records(index), MAX_K, repo)
+    # Small per-query tables that later steps read several times are cut to durable storage.
+    exact = cut_lineage(fingerprint_match(queries, index.fingerprints, served_records(index), MAX_K, repo))
     rest = queries.join(exact.select("query_id").distinct(), "query_id", "left_anti")
-    checked = discriminative_tokens(rest, index, idf, total, stoplist, importers)
+    checked = cut_lineage(discriminative_tokens(rest, index, idf, total, stoplist, importers))
     tokens = checked.where(~F.col("common"))
     summary = checked.groupBy("query_id").agg(
         F.transform(

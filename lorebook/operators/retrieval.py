@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import broadcast_if_small
+from ..session import BROADCAST_ROWS, broadcast_if_small, is_small
 from .records import flatten_records, push_eligible
 
 # Hit limits, floors, scores and fusion constants of retrieval.
@@ -28,6 +28,7 @@ FUSION_CANDIDATES = 10
 DENSE_FLOOR = 0.5
 BM25_K1, BM25_B = 1.2, 0.75
 MIN_IDF = 1e-6
+MAX_PHRASE = 1 << 20
 # Scores are compared at this many decimals, so that ranks do not depend on summation order.
 SCORE_DECIMALS = 9
 
@@ -158,48 +159,56 @@ def query_phrases(queries: DataFrame, max_tokens: int = MAX_QUERY_TOKENS) -> Dat
     )
 
 
+def vocabulary(phrases: DataFrame) -> tuple[DataFrame, bool, int]:
+    """(phrase, words, m) of the distinct phrases, whether they may be broadcast, and the longest m."""
+    wanted = phrases.select("phrase").distinct().withColumn("words", F.split("phrase", " ")).withColumn("m", F.size("words"))
+    probe = wanted.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.max("m").alias("m")).first()
+    small = probe["n"] <= BROADCAST_ROWS
+    return wanted, small, (probe["m"] or 1) if small else MAX_PHRASE
+
+
 def phrase_hits(tokens: DataFrame, phrases: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """(phrase, record_id, tf, *carry): occurrences of each phrase within single columns.
 
-    A phrase is found by its first one or two terms and verified on the terms that follow
-    in the same row, so no positional self-join is needed.
+    Single terms are matched while the token arrays are exploded.  A longer phrase is a chain
+    of bigrams: its j-th bigram at position p votes for a start at p - j, and a start with all
+    votes is an occurrence.  The vocabulary is broadcast after a size check; beyond it the
+    joins shuffle on the term, with adaptive splitting of hot terms.
     """
-    wanted = phrases.select("phrase").distinct().withColumn("words", F.split("phrase", " "))
-    wanted = wanted.select(
-        "phrase",
-        "words",
-        F.size("words").alias("m"),
-        F.array_join(F.slice("words", 1, 2), " ").alias("key"),
+    wanted, small, longest = vocabulary(phrases)
+    hint = F.broadcast if small else (lambda df: df)
+    carried = [F.max(c).alias(c) for c in carry]
+    terms = tokens.select("record_id", *carry, F.explode(F.flatten("fields")).alias("term"))
+    singles = hint(wanted.where(F.col("m") == 1).select(F.col("phrase").alias("term")))
+    hits = (
+        terms.join(singles, "term")
+        .groupBy(F.col("term").alias("phrase"), "record_id")
+        .agg(F.count("*").alias("tf"), *carried)
     )
-    span = wanted.agg(F.max("m").alias("m")).scalar()
-    none = F.lit(None).cast("array<string>")
-
-    def keys(f: Column) -> Column:
-        singles = F.transform(f, lambda t: F.struct(t.alias("key"), none.alias("window")))
-        pairs = F.when(
-            (F.col("span") >= 2) & (F.size(f) >= 2),
-            F.transform(
-                F.sequence(F.lit(1), F.size(f) - 1),
-                lambda i: F.struct(
-                    F.concat_ws(" ", F.element_at(f, i), F.element_at(f, i + 1)).alias("key"),
-                    F.when(F.col("span") > 2, F.slice(f, i, F.col("span"))).alias("window"),
-                ),
-            ),
-        ).otherwise(F.array().cast("array<struct<key:string,window:array<string>>>"))
-        return F.concat(singles, pairs)
-
-    exploded = (
-        tokens.withColumn("span", F.coalesce(span, F.lit(1)))
-        .select("record_id", *carry, F.explode(F.flatten(F.transform("fields", keys))).alias("k"))
-        .select("record_id", *carry, "k.key", "k.window")
+    if longest < 2:
+        return hits
+    chain = hint(
+        wanted.where(F.col("m") > 1)
+        .select("phrase", (F.col("m") - 1).alias("votes"), F.posexplode(X.ngrams(F.col("words"), 2)).alias("j", "bigram"))
     )
-    verified = (F.col("m") <= 2) | (F.slice("window", F.lit(1), F.col("m")) == F.col("words"))
-    return (
-        exploded.join(broadcast_if_small(wanted), "key")
-        .where(verified)
-        .groupBy("phrase", "record_id")
-        .agg(F.count("*").alias("tf"), *[F.max(c).alias(c) for c in carry])
+    bigrams = tokens.select("record_id", *carry, F.posexplode("fields").alias("col", "f")).select(
+        "record_id", *carry, "col", F.posexplode(_bigrams(F.col("f"))).alias("pos", "bigram")
     )
+    starts = (
+        bigrams.join(chain, "bigram")
+        .groupBy("phrase", "record_id", "col", (F.col("pos") - F.col("j")).alias("start"))
+        .agg(F.count("*").alias("seen"), F.max("votes").alias("votes"), *carried)
+        .where(F.col("seen") == F.col("votes"))
+    )
+    longer = starts.groupBy("phrase", "record_id").agg(F.count("*").alias("tf"), *carried)
+    return hits.unionByName(longer)
+
+
+def _bigrams(f: Column) -> Column:
+    n = F.size(f) - 1
+    return F.when(
+        n >= 1, F.zip_with(F.slice(f, F.lit(1), n), F.slice(f, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def doc_freq(tokens: DataFrame, phrases: DataFrame, served: DataFrame | None = None) -> DataFrame:
@@ -231,6 +240,8 @@ def bm25_scores(
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
     totals = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     n, avgdl = totals.select("n").scalar(), totals.select("avgdl").scalar()
+    # As many rows as query phrases, so checking those bounds the weights as well.
+    hint = F.broadcast if is_small(wanted) else (lambda df: df)
     weighted = (
         wanted.join(df, "phrase")
         .withColumn("n", n)
@@ -243,7 +254,7 @@ def bm25_scores(
     part = F.col("weight") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
     return (
         hits.where("allowed")
-        .join(broadcast_if_small(weighted), "phrase")
+        .join(hint(weighted), "phrase")
         .groupBy("query_id", "record_id")
         .agg(F.round(F.sum(part), SCORE_DECIMALS).alias("score"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.text import B, S
+from ..functions.text import LB, RB, S
 
 # Screening rules (category, rule, pattern), the assigned-secret pattern
 # and the entropy (bits per character) from which an assigned value counts as random.
@@ -18,14 +18,14 @@ RULES = [
     ("secret", "slack-token", r"xox[baprs]-[A-Za-z0-9-]{10,}"),
     ("secret", "jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     ("secret", "private-key", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA |PGP )?PRIVATE KEY-----"),
-    ("harmful-code", "pipe-to-shell", rf"(?iu){B}(?:curl|wget){B}[^\n|]*\|{S}*(?:sudo{S}+)?(?:ba)?sh{B}"),
-    ("harmful-code", "base64-pipe-shell", rf"(?iu)base64{S}+-d[^\n|]*\|{S}*(?:ba)?sh{B}"),
+    ("harmful-code", "pipe-to-shell", rf"(?iu){LB}(?:curl|wget){RB}[^\n|]*\|{S}*(?:sudo{S}+)?(?:ba)?sh{RB}"),
+    ("harmful-code", "base64-pipe-shell", rf"(?iu)base64{S}+-d[^\n|]*\|{S}*(?:ba)?sh{RB}"),
     ("harmful-code", "reverse-shell-devtcp", r"/dev/tcp/"),
-    ("harmful-code", "netcat-exec", rf"(?iu){B}nc{B}[^\n]*{S}-e{S}"),
-    ("harmful-code", "rm-rf-root", rf"{B}rm{S}+-rf{S}+/(?:{S}|\z)"),
+    ("harmful-code", "netcat-exec", rf"(?iu){LB}nc{RB}[^\n]*{S}-e{S}"),
+    ("harmful-code", "rm-rf-root", rf"{LB}rm{S}+-rf{S}+/(?:{S}|\z)"),
     ("harmful-code", "fork-bomb", rf":\(\){S}*\{{[^}}]*:\|:[^}}]*\}}{S}*;{S}*:"),
     ("pii", "email", r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}"),
-    ("pii", "private-ip", rf"{B}10(?:\.\d{{1,3}}){{3}}{B}|{B}192\.168(?:\.\d{{1,3}}){{2}}{B}"),
+    ("pii", "private-ip", rf"{LB}10(?:\.\d{{1,3}}){{3}}{RB}|{LB}192\.168(?:\.\d{{1,3}}){{2}}{RB}"),
 ]
 ASSIGNED_SECRET = rf"(?iu)(?:api[_-]?key|secret|passwd|password|token){S}*[:=]{S}*['\"]?([A-Za-z0-9+/=_\-]{{20,}})"
 ENTROPY_BITS = 3.5

@@ -56,3 +56,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """Hint a broadcast after checking the row count; otherwise leave a shuffle join,
     where adaptive execution splits skewed partitions."""
     return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a table that arrives in fewer partitions than there are cores (one small file,
+    one row group) its parallelism; larger tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
