@@ -111,9 +111,13 @@ def ngrams(arr: Column, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def shingles(c, n: int = 5) -> Column:
-    """Distinct word n-grams of a text."""
-    return F.array_distinct(ngrams(words(c), max(n, 1)))
+def shingles(word_column: str, n: int = 5) -> Column:
+    """Distinct n-grams of a column holding words.
+
+    It takes a column, not an expression: the array is read once per n-gram, so it has to be
+    computed (``withColumn("w", words("text"))``) before.
+    """
+    return F.array_distinct(ngrams(F.col(word_column), max(n, 1)))
 
 
 def lines(c) -> Column:

@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..functions import versions as V
 from ..functions.text import LB, RB
 from ..session import broadcast_if_small
-from .records import FACTS_ONLY, _strings, has_vuln_prefix, is_advisory, own_signals
+from .records import FACTS_ONLY, _strings, has_prefix, has_vuln_prefix, is_advisory, own_signals
 
 # Id patterns, blocking flag prefixes, audited scope defects, audit prefixes,
 # ecosystem-to-runtime names.
@@ -227,7 +227,7 @@ def advisory_audit(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     join shuffles on the package with adaptive skew splitting.
     """
     first_id = F.get(
-        F.filter(_strings("symptom.error_signatures"), lambda s: has_vuln_prefix(s, AUDIT_PREFIXES)), F.lit(0)
+        F.filter(_strings("symptom.error_signatures"), lambda s: has_prefix(s, AUDIT_PREFIXES)), F.lit(0)
     )
     ranges = (
         advisories.select(F.col("id").alias("record_id"), X.utrim(first_id).alias("advisory_id"), "applies_to")

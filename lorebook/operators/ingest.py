@@ -146,10 +146,11 @@ def _quarantined(drafts: DataFrame, now: str, author: Column, session: Column) -
 
 def _gated(records: DataFrame) -> DataFrame:
     """Stamp security and consistency flags (null when there are none)."""
-    findings = findings_column(scan_texts())
-    flags = F.nullif(flags_column(findings), F.array().cast("array<string>"))
+    flags = F.nullif(flags_column(F.col("_f")), F.array().cast("array<string>"))
     defects = F.nullif(defects_column(), F.array().cast("array<string>"))
-    out = records.withColumn("_s", flags).withColumn("_d", defects)
+    # The texts are read once per rule: compute them before the rules.
+    out = records.withColumn("_t", scan_texts()).withColumn("_f", findings_column(F.col("_t")))
+    out = out.withColumn("_s", flags).withColumn("_d", defects).drop("_t", "_f")
     return out.withColumn(
         "provenance", F.col("provenance").withField("security_flags", F.col("_s")).withField("consistency_flags", F.col("_d"))
     ).drop("_s", "_d")

@@ -109,7 +109,12 @@ def eval_cases(df: DataFrame) -> DataFrame:
     )
 
 
-def has_vuln_prefix(c, prefixes: Sequence[str] = ADVISORY_PREFIXES) -> Column:
+def has_vuln_prefix(c) -> Column:
+    return has_prefix(c, ADVISORY_PREFIXES)
+
+
+def has_prefix(c, prefixes: Sequence[str]) -> Column:
+    """Whether the trimmed, upper-cased text starts with one of the prefixes."""
     up = F.upper(X.utrim(c))
     out = up.startswith(prefixes[0])
     for p in prefixes[1:]:

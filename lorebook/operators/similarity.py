@@ -45,10 +45,11 @@ def containment_join(drafts: DataFrame, refs: DataFrame, n: int = SHINGLE, thres
     """
     draft_texts = drafts.select("draft_id", F.sha2("text", 256).alias("text_key"), "text")
     ref_texts = refs.select("ref_id", F.sha2("text", 256).alias("ref_key"), "text")
-    draft_once = draft_texts.groupBy("text_key").agg(F.first("text").alias("text")).withColumn("s", X.shingles("text", n))
-    ref_once = ref_texts.groupBy("ref_key").agg(F.first("text").alias("text"))
+    once = lambda df, key: df.groupBy(key).agg(F.first("text").alias("text")).select(key, X.words("text").alias("w"))
+    draft_once = once(draft_texts, "text_key").select("text_key", X.shingles("w", n).alias("s"))
+    ref_once = once(ref_texts, "ref_key")
     left = draft_once.select("text_key", F.size("s").alias("total"), F.explode("s").alias("shingle"))
-    right = ref_once.select("ref_key", F.explode(X.shingles("text", n)).alias("shingle"))
+    right = ref_once.select("ref_key", F.explode(X.shingles("w", n)).alias("shingle"))
     pairs = (
         left.join(broadcast_if_small(right), "shingle")
         .groupBy("text_key", "ref_key")
@@ -87,12 +88,12 @@ def leak_and_relevance_guard(tasks: DataFrame, records: DataFrame, n: int = SHIN
     vocabulary = F.concat_ws(
         " ", "title", "symptom.summary", _strings("symptom.error_signatures"), F.coalesce(packages, F.array().cast("array<string>"))
     )
+    fix_text = F.concat_ws(" ", F.coalesce("resolution.root_cause", F.lit("")), F.coalesce("resolution.fix", F.lit("")))
     facts = records.select(
-        F.col("id").alias("record_id"),
-        X.shingles(F.concat_ws(" ", F.coalesce("resolution.root_cause", F.lit("")), F.coalesce("resolution.fix", F.lit(""))), n).alias("fix_shingles"),
-        distinctive_terms(vocabulary).alias("terms"),
-    )
-    joined = tasks.join(facts, "record_id").withColumn("prompt_shingles", X.shingles("prompt", n))
+        F.col("id").alias("record_id"), X.words(fix_text).alias("w"), distinctive_terms(vocabulary).alias("terms")
+    ).select("record_id", X.shingles("w", n).alias("fix_shingles"), "terms")
+    prompts = tasks.withColumn("w", X.words("prompt")).withColumn("prompt_shingles", X.shingles("w", n))
+    joined = prompts.join(facts, "record_id")
     shared = F.size(F.array_intersect("prompt_shingles", "fix_shingles"))
     total = F.size("prompt_shingles")
     containment = F.when(total > 0, shared / total).otherwise(F.lit(0.0))
