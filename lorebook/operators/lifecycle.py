@@ -20,6 +20,10 @@ HOLD_DAYS = 7
 LIVENESS_RUNS, GROWTH_HOURS, STALL_MINUTES = 3, 24, 120
 
 
+def _seconds(c: Column) -> Column:
+    return c.cast("timestamp").cast("double")
+
+
 def approved_column() -> Column:
     """Clean pass: approve, every canonical check present, and no failing check at all."""
     checks = F.col("checks")
@@ -317,7 +321,7 @@ def hold_cooldown(records: DataFrame, actions: DataFrame, now: str, days: int =
     )
     ledger = last.where(
         (F.col("outcome") == "held")
-        & (F.lit(now).cast("timestamp").cast("double") - F.col("at").cast("double") < days * 86400)
+        & (_seconds(F.lit(now)) - _seconds(F.col("at")) < days * 86400)
     ).select("id", F.col("at").alias("held_at"))
     if days <= 0:
         return records, ledger.where(F.lit(False))
@@ -353,7 +357,7 @@ def growth_watch(snapshots: DataFrame, now: str, hours: int = GROWTH_HOURS) -> D
         F.min(F.struct((-F.col("validated")).alias("neg"), F.col("ts").alias("ts"))).alias("p"),
         F.max(F.struct("ts", "validated")).alias("last"),
     )
-    flat = F.floor((F.lit(now).cast("timestamp").cast("double") - F.col("p.ts").cast("double")) / 3600)
+    flat = F.floor((_seconds(F.lit(now)) - _seconds(F.col("p.ts"))) / 3600)
     return peak.select(
         "corpus", F.col("last.validated").alias("validated"), F.col("p.ts").alias("last_growth"), flat.alias("flat_hours"),
     ).withColumn("alarm", F.col("flat_hours") >= hours)
@@ -361,5 +365,5 @@ def growth_watch(snapshots: DataFrame, now: str, hours: int = GROWTH_HOURS) -> D
 
 def stall_watch(items: DataFrame, now: str, minutes: int = STALL_MINUTES) -> DataFrame:
     """Open items (item_id, opened_at, state) at least ``minutes`` old, or failed."""
-    age = F.floor((F.lit(now).cast("timestamp").cast("double") - F.col("opened_at").cast("double")) / 60)
+    age = F.floor((_seconds(F.lit(now)) - _seconds(F.col("opened_at"))) / 60)
     return items.withColumn("age_min", age).where((F.col("age_min") >= minutes) | (F.col("state") == "failure"))

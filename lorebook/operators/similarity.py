@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, is_small
 from .records import _strings
 
 # Shingle size, containment threshold and the generic task words that never
@@ -50,8 +50,10 @@ def containment_join(drafts: DataFrame, refs: DataFrame, n: int = SHINGLE, thres
     ref_once = once(ref_texts, "ref_key")
     left = draft_once.select("text_key", F.size("s").alias("total"), F.explode("s").alias("shingle"))
     right = ref_once.select("ref_key", F.explode(X.shingles("w", n)).alias("shingle"))
+    # Whichever side passes the size check is broadcast; with neither, the join shuffles.
+    left, right = (F.broadcast(left), right) if is_small(left) else (left, broadcast_if_small(right))
     pairs = (
-        left.join(broadcast_if_small(right), "shingle")
+        left.join(right, "shingle")
         .groupBy("text_key", "ref_key")
         .agg(
             F.count("*").alias("shared"),

@@ -14,9 +14,9 @@ from . import sqltext as Q
 from .tables import corpus, table
 
 NOW = "2024-01-30"
-NOW_TS = "2024-01-30 12:00:00"
-BASELINE = M.Window("2024-01-03T00:00:00", "2024-01-14T00:00:00")
-TREATMENT = M.Window("2024-01-14T00:00:00", "2024-01-27T12:00:00")
+NOW_TS = "2024-01-30 12:00:00Z"
+BASELINE = M.Window("2024-01-03T00:00:00Z", "2024-01-14T00:00:00Z")
+TREATMENT = M.Window("2024-01-14T00:00:00Z", "2024-01-27T12:00:00Z")
 SALT = "salt"
 LIMITS = {"view": 2, "click": 1, "purchase": 3, "signup": 1}
 
@@ -320,7 +320,7 @@ SQL = {
     "contribution_admission": """WITH r AS (SELECT event_id AS call_id, user_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events)
       SELECT call_id, day, n, user_id <= 20 OR n <= CASE event_type WHEN 'view' THEN 2 WHEN 'click' THEN 1 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 1 ELSE 0 END AS admitted FROM r""",
     "daily_calls": "SELECT user_id AS token_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS tool, count(*) AS calls FROM events GROUP BY ALL",
-    "metrics_digest": f"""WITH {DEC}, r AS (SELECT * FROM dec WHERE date_trunc('second', t) >= TIMESTAMP '{NOW_TS}' - INTERVAL 7 DAY),
+    "metrics_digest": f"""WITH {DEC}, r AS (SELECT * FROM dec WHERE date_trunc('second', t) >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 7 DAY),
       p AS (SELECT channel AS section, '' AS key, count(*) AS queries, count(*) FILTER (cnt > 0) AS served FROM r GROUP BY channel
         UNION ALL SELECT 'trigger', trigger, count(*), count(*) FILTER (cnt > 0) FROM r WHERE channel = 'push' GROUP BY trigger
         UNION ALL SELECT * FROM (SELECT 'top', record_id, NULL, CAST(sum(cnt) AS BIGINT) FROM r WHERE channel = 'push' AND cnt > 0 GROUP BY record_id ORDER BY 4 DESC, 2 LIMIT 5))

@@ -1,4 +1,121 @@
-"""Registered queries."""
+"""Registered queries: streaming jobs replaying the events table, read back as tables."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..session import ensure_checkpoint_dir
+from ..streaming import jobs as J
+from . import logs as LP
+from .tables import table
+
+EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+
+
+def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a file stream."""
+    rows = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+
+
+def _folders(spark: SparkSession) -> tuple[str, str]:
+    """Checkpoint and sink folder of one run, in the shared checkpoint location."""
+    base = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    return f"{base}/checkpoint", f"{base}/sink"
+
+
+def _finish(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+def stream_usage_counters(s, d):
+    ck, sink = _folders(s)
+    action = F.when(F.col("event_type") == "view", "retrieve").when(F.col("event_type") == "click", "push").when(F.col("event_type") == "purchase", "confirm").otherwise("other")
+    ev = _replay(s, d).select(X.record_id("k").alias("record_id"), action.alias("action"), F.col("ts").cast("date").alias("day"))
+    _finish(J.stream_usage_counters(ev, ck, sink))
+    return J.latest(s, sink, ["record_id"]).withColumn("last_hit", F.col("last_hit").cast("string"))
+
+
+def stream_tenant_calls(s, d):
+    ck, sink = _folders(s)
+    calls = _replay(s, d).select(F.col("user_id").alias("token_id"), F.col("event_type").alias("tool"), "ts")
+    _finish(J.stream_tenant_calls(calls, ck, sink))
+    return J.latest(s, sink, ["token_id", "tool", "day"]).withColumn("day", F.col("day").cast("string"))
+
+
+def stream_quota(s, d):
+    ck, sink = _folders(s)
+    calls = _replay(s, d).select(F.col("event_id").alias("call_id"), F.col("user_id").alias("token_id"), "ts")
+    quotas = table(s, d, "customer").select(F.col("c_custkey").alias("token_id"), (F.col("c_nationkey") % 4).cast("bigint").alias("daily_quota"))
+    _finish(J.stream_quota(calls, quotas, ck, sink))
+    # Which calls of a day come first depends on arrival; how many are admitted does not.
+    return s.read.parquet(sink).groupBy("token_id", "day").agg(F.count("*").alias("calls"), F.count(F.when(F.col("admitted"), 1)).alias("admitted"))
+
+
+def stream_digest(s, d):
+    ck, sink = _folders(s)
+    e = _replay(s, d).where(F.col("event_type").isin("view", "click", "error"))
+    dec = e.select(
+        "ts", F.when(F.col("event_type") == "view", "search").otherwise("push").alias("channel"),
+        F.when(F.col("event_type") == "click", "prompt").when(F.col("event_type") == "error", "error").alias("trigger"),
+        (F.col("value") > 10).cast("int").alias("count"),
+    )
+    _finish(J.stream_digest(dec, ck, sink))
+    return J.latest(s, sink, ["until", "channel", "trigger"]).withColumn("until", F.date_format("until", "yyyy-MM-dd HH:mm:ss"))
+
+
+def stream_session_attribution(s, d):
+    ck, sink = _folders(s)
+    e = _replay(s, d)
+    pair = [F.col("user_id").alias("session"), X.record_id("k").alias("record_id"), F.col("ts")]
+    verdicts = e.where("event_type = 'purchase'").select(*pair, (F.col("value") > 5).alias("used"))
+    served = e.where("event_type = 'view'").select(*pair)
+    _finish(J.stream_session_attribution(verdicts, served, ck, sink))
+    return s.read.parquet(sink).select("session", "record_id").distinct()
+
+
+def stream_alarm_cooldown(s, d):
+    ck, sink = _folders(s)
+    e = _replay(s, d).select(F.col("event_type").alias("condition"), "ts", (F.col("value") < 1).alias("healthy"))
+    _finish(J.stream_alarm_cooldown(e, ck, sink))
+    return s.read.parquet(sink).select("condition", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+def stream_decisions(s, d):
+    ck, sink = _folders(s)
+    source = sink.replace("/sink", "/lines")
+    dec = LP.decisions(s, d)
+    channel = F.when(F.col("event_id") % 7 == 0, "mail").otherwise(F.col("channel"))
+    body = dec.withColumn("channel", channel).drop("event_id", "query_text")
+    body.select(F.to_json(F.struct(*body.columns))).write.text(source)
+    _finish(J.stream_decisions(s, source, ck, sink))
+    valid = s.read.parquet(f"{sink}/valid").groupBy("channel").agg(F.count("*").alias("n")).withColumn("problem", F.lit(""))
+    rejects = s.read.parquet(f"{sink}/rejects").groupBy("problem").agg(F.count("*").alias("n")).withColumn("channel", F.lit(""))
+    return valid.unionByName(rejects)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        stream_usage_counters, stream_tenant_calls, stream_quota, stream_digest, stream_session_attribution, stream_alarm_cooldown, stream_decisions,
+    )
+}
+
+SQL = {
+    "stream_usage_counters": f"WITH {LP.USE} SELECT record_id, {LP._COUNTS} FROM use GROUP BY record_id",
+    "stream_tenant_calls": LP.SQL["daily_calls"],
+    "stream_quota": """WITH n AS (SELECT user_id AS token_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS calls FROM events GROUP BY ALL)
+      SELECT token_id, day, calls, CAST(CASE WHEN c_nationkey IS NULL THEN 0 WHEN c_nationkey % 4 <= 0 THEN calls ELSE least(calls, c_nationkey % 4) END AS BIGINT) AS admitted FROM n LEFT JOIN customer ON c_custkey = token_id""",
+    "stream_digest": """WITH e AS (SELECT CASE event_type WHEN 'view' THEN 'search' ELSE 'push' END AS channel, CASE event_type WHEN 'click' THEN 'prompt' WHEN 'error' THEN 'error' ELSE '' END AS trigger, value > 10 AS hit,
+        unnest(generate_series(date_trunc('hour', ts) + INTERVAL 1 HOUR, date_trunc('hour', ts) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS u FROM events WHERE event_type IN ('view', 'click', 'error'))
+      SELECT strftime(u, '%Y-%m-%d %H:%M:%S') AS until, channel, trigger, count(*) AS queries, count(*) FILTER (hit) AS served FROM e GROUP BY ALL""",
+    "stream_session_attribution": f"""WITH {LP.EV} SELECT DISTINCT v.user_id AS session, {LP.Q.rid('v.k')} AS record_id FROM ev v JOIN ev s ON v.user_id = s.user_id AND v.k = s.k AND v.event_type = 'purchase' AND s.event_type = 'view'
+      WHERE v.value > 5 AND v.ts >= s.ts AND v.ts <= s.ts + INTERVAL 1 DAY""",
+    "stream_decisions": f"""WITH {LP.DEC} SELECT CASE WHEN event_id % 7 = 0 THEN '' ELSE channel END AS channel, CASE WHEN event_id % 7 = 0 THEN 'channel' ELSE '' END AS problem, count(*) AS n FROM dec GROUP BY ALL""",
+}
