@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import BROADCAST_ROWS, broadcast_if_small, is_small
+from ..session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
 from .records import flatten_records, push_eligible
 
 # Hit limits, floors, scores and fusion constants of retrieval.
@@ -29,6 +29,8 @@ DENSE_FLOOR = 0.5
 BM25_K1, BM25_B = 1.2, 0.75
 MIN_IDF = 1e-6
 MAX_PHRASE = 1 << 20
+# Query-record pairs from which a top-k search prunes frequent phrases first.
+PRUNE_PAIRS = 20_000_000
 # Scores are compared at this many decimals, so that ranks do not depend on summation order.
 SCORE_DECIMALS = 9
 
@@ -102,12 +104,9 @@ def served_records(
     return stack_filter(keep, index.applies_to, ecosystem, package).select("record_id")
 
 
-def _flagged(tokens: DataFrame, served: DataFrame | None, name: str = "allowed") -> DataFrame:
-    """Mark which records may be returned without dropping the others from the statistics."""
-    if served is None:
-        return tokens.withColumn(name, F.lit(True))
-    marks = served.select("record_id", F.lit(True).alias(name)).distinct()
-    return tokens.join(marks, "record_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+def _among(hits: DataFrame, served: DataFrame | None) -> DataFrame:
+    """Keep matches of served records; applied to matches, never to the statistics behind them."""
+    return hits if served is None else hits.join(served.select("record_id"), "record_id", "left_semi")
 
 
 # ---------------------------------------------------------------- exact matches
@@ -213,13 +212,12 @@ def _bigrams(f: Column) -> Column:
 
 def doc_freq(tokens: DataFrame, phrases: DataFrame, served: DataFrame | None = None) -> DataFrame:
     """(phrase, df): distinct served records containing each phrase (absent phrases missing)."""
-    hits = phrase_hits(_flagged(tokens, served), phrases, ["allowed"])
-    return hits.where("allowed").groupBy("phrase").agg(F.count("*").alias("df"))
+    return _among(phrase_hits(tokens, phrases), served).groupBy("phrase").agg(F.count("*").alias("df"))
 
 
 def lexical_match(queries: DataFrame, tokens: DataFrame, max_tokens: int = MAX_QUERY_TOKENS) -> DataFrame:
     """(query_id, record_id, matched, tf): OR-match of the query phrases against the index."""
-    wanted = query_phrases(queries, max_tokens)
+    wanted = cut_lineage(query_phrases(queries, max_tokens))
     return (
         phrase_hits(tokens, wanted)
         .join(broadcast_if_small(wanted), "phrase")
@@ -228,6 +226,52 @@ def lexical_match(queries: DataFrame, tokens: DataFrame, max_tokens: int = MAX_Q
     )
 
 
+@dataclass
+class _Matches:
+    """Durable inputs of scoring: hits (phrase, record_id, tf, dl) of served records and
+    weights (query_id, phrase, weight, df, avgdl)."""
+
+    hits: DataFrame
+    weights: DataFrame
+    small: bool
+    pairs: int
+
+
+def _matches(queries: DataFrame, tokens: DataFrame, served: DataFrame | None, max_tokens: int) -> _Matches:
+    # These tables are read several times: query phrases are small, and the hits stand for a
+    # scan of the whole corpus.
+    wanted = cut_lineage(query_phrases(queries, max_tokens))
+    hits = cut_lineage(phrase_hits(tokens, wanted, ["dl"]))
+    df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
+    totals = tokens.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("t")).scalar()
+    weights = cut_lineage(
+        wanted.join(df, "phrase")
+        .withColumn("t", totals)
+        .withColumn("idf", F.ln((F.col("t.n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        .withColumn("idf", F.when(F.col("idf") > 0, F.col("idf")).otherwise(F.lit(MIN_IDF)))
+        .select("query_id", "phrase", (F.col("qtf") * F.col("idf")).alias("weight"), "df", F.col("t.avgdl").alias("avgdl"))
+    )
+    size = weights.agg(F.count("*").alias("n"), F.coalesce(F.sum("df"), F.lit(0)).alias("pairs")).first()
+    return _Matches(_among(hits, served), weights, size["n"] <= BROADCAST_ROWS, size["pairs"])
+
+
+def _part() -> Column:
+    """BM25 contribution of one phrase to one record; below weight * (k1 + 1)."""
+    norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl"))
+    return F.col("weight") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
+
+
+def _sums(hits: DataFrame, weights: DataFrame, small: bool, name: str) -> DataFrame:
+    joined = hits.join(F.broadcast(weights) if small else weights, "phrase")
+    return joined.groupBy("query_id", "record_id").agg(F.sum(_part()).alias(name))
+
+
+def _fill(pairs: DataFrame, hits: DataFrame, weights: DataFrame) -> DataFrame:
+    """Contributions of ``weights`` to given (query_id, record_id) pairs only."""
+    wide = pairs.select("query_id", "record_id").join(weights, "query_id")
+    return wide.join(hits, ["phrase", "record_id"]).groupBy("query_id", "record_id").agg(F.sum(_part()).alias("extra"))
+
+
 def bm25_scores(
     queries: DataFrame, tokens: DataFrame, served: DataFrame | None = None, max_tokens: int = MAX_QUERY_TOKENS
 ) -> DataFrame:
@@ -235,29 +279,46 @@ def bm25_scores(
 
     Statistics (N, df, average length) cover all records; ``served`` only limits what is returned.
     """
-    wanted = query_phrases(queries, max_tokens)
-    hits = phrase_hits(_flagged(tokens, served), wanted, ["dl", "allowed"])
-    df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-    totals = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    n, avgdl = totals.select("n").scalar(), totals.select("avgdl").scalar()
-    # As many rows as query phrases, so checking those bounds the weights as well.
-    hint = F.broadcast if is_small(wanted) else (lambda df: df)
-    weighted = (
-        wanted.join(df, "phrase")
-        .withColumn("n", n)
-        .withColumn("avgdl", avgdl)
-        .withColumn("idf", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        .withColumn("idf", F.when(F.col("idf") > 0, F.col("idf")).otherwise(F.lit(MIN_IDF)))
-        .select("query_id", "phrase", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl")
-    )
-    norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl"))
-    part = F.col("weight") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
-    return (
-        hits.where("allowed")
-        .join(hint(weighted), "phrase")
-        .groupBy("query_id", "record_id")
-        .agg(F.round(F.sum(part), SCORE_DECIMALS).alias("score"))
+    m = _matches(queries, tokens, served, max_tokens)
+    return _rounded(_sums(m.hits, m.weights, m.small, "score"))
+
+
+def _rounded(scored: DataFrame) -> DataFrame:
+    return scored.select("query_id", "record_id", F.round("score", SCORE_DECIMALS).alias("score"))
+
+
+def _pruned_scores(m: _Matches, k: int, floor: float, seed_df: int = 100, seeds: int = 10) -> DataFrame:
+    """Scores of every record that can be among a query's k best; exact for those.
+
+    Frequent phrases weigh little, yet joining them touches most of the corpus for most
+    queries.  The k-th best complete score of a few records found through rare phrases is a
+    lower bound for the real k-th score.  The lightest phrases whose weights together stay
+    below that bound cannot lift a record over it on their own, so records are looked up only
+    through the other phrases, and the light ones are added for the records still in reach.
+    A query without such a bound looks up all its phrases.
+    """
+    hits = cut_lineage(m.hits)
+    bound = F.col("weight") * (BM25_K1 + 1)
+    rare = _sums(hits, m.weights.where(F.col("df") <= seed_df), m.small, "score")
+    seeded = top_ranked(rare, seeds)
+    complete = _fill(seeded, hits, m.weights).withColumnRenamed("extra", "score")
+    theta = top_ranked(complete, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("theta"))
+    lightest = Window.partitionBy("query_id").orderBy("weight", "phrase")
+    # A margin keeps records whose score only differs in rounding.
+    plan = cut_lineage(
+        m.weights.join(theta, "query_id", "left")
+        .withColumn("theta", F.greatest(F.coalesce("theta", F.lit(0.0)), F.lit(max(floor, 0.0))) - 1e-6)
+        .withColumn("reach", F.sum(bound).over(lightest.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("light", F.col("reach") < F.col("theta"))
+        .withColumn("rest", F.max(F.when(F.col("light"), F.col("reach")).otherwise(0.0)).over(Window.partitionBy("query_id")))
     )
+    heavy = plan.where(~F.col("light"))
+    limits = plan.groupBy("query_id").agg(F.first("theta").alias("theta"), F.first("rest").alias("rest"))
+    found = _sums(hits, heavy, m.small, "base").join(limits, "query_id")
+    kept = cut_lineage(found.where(F.col("base") + F.col("rest") >= F.col("theta")).select("query_id", "record_id", "base"))
+    extra = _fill(kept, hits, plan.where("light"))
+    total = F.col("base") + F.coalesce("extra", F.lit(0.0))
+    return _rounded(kept.join(extra, ["query_id", "record_id"], "left").withColumn("score", total))
 
 
 def top_ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -285,9 +346,15 @@ def bm25_topk(
     k: int = MAX_K,
     floor: float | None = None,
     served: DataFrame | None = None,
+    prune_pairs: int = PRUNE_PAIRS,
 ) -> DataFrame:
     """The k best records per query by Okapi BM25."""
-    return top_ranked(apply_floor(bm25_scores(queries, tokens, served), floor), k)
+    m = _matches(queries, tokens, served, MAX_QUERY_TOKENS)
+    if m.pairs <= prune_pairs:
+        scored = _rounded(_sums(m.hits, m.weights, m.small, "score"))
+    else:
+        scored = _pruned_scores(m, k, DEFAULT_FLOOR if floor is None else floor)
+    return top_ranked(apply_floor(scored, floor), k)
 
 
 # ---------------------------------------------------------------- dense matches

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,25 +54,29 @@ PLACEHOLDERS = ("todo", "tbd", "unknown", "n/a", "na", "placeholder", "example")
 DEFAULT_POLICY = "rights-v1"
 
 
-def license_class(license_: Column) -> Column:
-    """Struct(commercial, needs_notice, code) of a licence id; anything unknown is excluded."""
-    s = X.utrim(F.coalesce(license_, F.lit("")))
-    low = F.lower(s)
-    copyleft = reduce(lambda a, b: a | b, [low.startswith(p) for p in COPYLEFT_PREFIXES])
+SENTINELS = {
+    "": "missing_evidence",
+    FACTS_ONLY: "facts_only",
+    PROJECT_AUTHORED: "project_authored",
+    AUTHORED_INTERNAL: "authored_internal",
+}
+COMMERCIAL = ("facts_only", "project_authored", "licensed_notice", "cc_by_notice")
+NOTICE = ("licensed_notice", "cc_by_notice")
 
-    def verdict(commercial: bool, notice: bool, code: str) -> Column:
-        return F.struct(F.lit(commercial).alias("commercial"), F.lit(notice).alias("needs_notice"), F.lit(code).alias("code"))
 
-    return (
-        F.when(s == "", verdict(False, False, "missing_evidence"))
-        .when(s == FACTS_ONLY, verdict(True, False, "facts_only"))
-        .when(s == PROJECT_AUTHORED, verdict(True, False, "project_authored"))
-        .when(s == AUTHORED_INTERNAL, verdict(False, False, "authored_internal"))
-        .when(low.isin(*PERMISSIVE), verdict(True, True, "licensed_notice"))
-        .when(low.rlike(CC_BY), verdict(True, True, "cc_by_notice"))
-        .when(low.startswith("cc-"), verdict(False, False, "restricted_cc"))
-        .when(copyleft, verdict(False, False, "copyleft"))
-        .otherwise(verdict(False, False, "unrecognized_license"))
+def license_code(license_: Column) -> Column:
+    """Reason code of a licence id; anything unknown is excluded from commercial packs."""
+    s = X.utrim(F.coalesce(license_, F.lit("")))
+    low = F.lower(s)
+    sentinel = F.create_map(*[F.lit(x) for kv in SENTINELS.items() for x in kv])
+    copyleft = "^(" + "|".join(COPYLEFT_PREFIXES) + ")"
+    return F.coalesce(
+        sentinel[s],
+        F.when(low.isin(*PERMISSIVE), "licensed_notice")
+        .when(low.rlike(CC_BY), "cc_by_notice")
+        .when(low.rlike("^cc-"), "restricted_cc")
+        .when(low.rlike(copyleft), "copyleft")
+        .otherwise("unrecognized_license"),
     )
 
 
@@ -125,21 +127,19 @@ def classify_rights(records: DataFrame, policy: str = DEFAULT_POLICY) -> DataFra
         & rv("reviewed_at").rlike(RE_RFC3339)
     )
     digest_ok = rv("evidence_sha256") == evidence_digest(records.columns)
-    base = F.col("_l")
-    needs = base["commercial"] & base["needs_notice"]
+    base = F.col("_code")
+    needs, commercial = base.isin(*NOTICE), base.isin(*COMMERCIAL)
     code = (
         F.when(needs & X.is_blank(p("source_url")), "missing_source_url")
         .when(needs & ~notice_ok, "missing_notice_evidence")
         .when(needs & ~text_ok, "unapproved_license_text")
-        .when(base["commercial"] & ~review_ok, "missing_rights_review")
-        .when(base["commercial"] & ~digest_ok, "rights_digest_mismatch")
-    )
-    rights = F.struct(
-        (base["commercial"] & code.isNull()).alias("commercial"),
-        base["needs_notice"].alias("needs_notice"),
-        F.coalesce(code, base["code"]).alias("code"),
+        .when(commercial & ~review_ok, "missing_rights_review")
+        .when(commercial & ~digest_ok, "rights_digest_mismatch")
     )
-    return records.withColumn("_l", license_class(p("source_license"))).withColumn("rights", rights).drop("_l")
+    final = F.col("_final")
+    rights = F.struct(final.isin(*COMMERCIAL).alias("commercial"), needs.alias("needs_notice"), final.alias("code"))
+    coded = records.withColumn("_code", license_code(p("source_license"))).withColumn("_final", F.coalesce(code, base))
+    return coded.withColumn("rights", rights).drop("_code", "_final")
 
 
 def rights_audit(records: DataFrame, policy: str = DEFAULT_POLICY) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import gate as G
 from ..operators import retrieval as R
+from ..session import cut_lineage
 from . import sqltext as Q
 from .tables import (
     benchmark_queries,
@@ -113,9 +114,10 @@ def _total(s, d):
     return table(s, d, "documents").agg(F.count("*")).scalar()
 
 
-def _stoplist(s, d):
+def _stoplist(s, d, idf=None):
     """Words of more than half of the documents."""
-    return _idf(s, d).withColumn("n", _total(s, d)).where(F.col("df") / F.col("n") > STOP_RATIO).select("word")
+    idf = _idf(s, d) if idf is None else idf
+    return idf.withColumn("n", _total(s, d)).where(F.col("df") / F.col("n") > STOP_RATIO).select("word")
 
 
 def build_idf(s, d):
@@ -143,8 +145,9 @@ def doc_freq(s, d):
 
 
 def discriminative_tokens(s, d):
+    idf = cut_lineage(_idf(s, d))
     return G.discriminative_tokens(
-        turn_queries(s, d), document_index(s, d), _idf(s, d), _total(s, d), _stoplist(s, d), IMPORTERS
+        turn_queries(s, d), document_index(s, d), idf, _total(s, d), _stoplist(s, d, idf), IMPORTERS
     ).select("query_id", "token", F.col("pos").cast("bigint").alias("pos"), "phrase", "df", "common")
 
 
@@ -157,7 +160,8 @@ def corroborate(s, d):
 
 
 def push_gate(s, d):
-    out = G.push_gate(turn_queries(s, d), document_index(s, d), _idf(s, d), _total(s, d), _stoplist(s, d), IMPORTERS)
+    idf = cut_lineage(_idf(s, d))
+    out = G.push_gate(turn_queries(s, d), document_index(s, d), idf, _total(s, d), _stoplist(s, d, idf), IMPORTERS)
     return out.select(
         "query_id", "path", F.array_join("tokens", " ").alias("tokens"), F.col("idf_filtered").cast("bigint").alias("idf_filtered"),
         F.array_join(F.transform("served", lambda h: h["record_id"]), ",").alias("served"), F.col("count").cast("bigint").alias("count"),
