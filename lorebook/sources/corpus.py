@@ -50,7 +50,7 @@ def _unknown(value, dtype, path=""):
     return None
 
 
-def _decode_front_matter(schema_ddl: str):
+def _decode_front_matter(schema: StructType):
     """Arrow-batch decoder: YAML front matter -> JSON text of the record, or a reason."""
 
     def decode(batches):
@@ -58,7 +58,6 @@ def _decode_front_matter(schema_ddl: str):
 
         import yaml
 
-        schema = StructType.fromDDL(schema_ddl)
         loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
         for batch in batches:
             out, reasons, unknown = [], [], []
@@ -119,7 +118,7 @@ def read_corpus(
         f"{f.name} {f.dataType.simpleString()}" for f in StructType.fromDDL(RECORD).fields if f.name not in ("body", "path")
     )
     decoded = parts.mapInPandas(
-        _decode_front_matter(stored), "path string, fence_error string, body string, doc string, yaml_error string, unknown_key string"
+        _decode_front_matter(StructType.fromDDL(stored)), "path string, fence_error string, body string, doc string, yaml_error string, unknown_key string"
     )
     parsed = decoded.withColumn("r", F.from_json("doc", stored)).select("path", "fence_error", "yaml_error", "unknown_key", "r.*", "body")
     columns = [f.name for f in StructType.fromDDL(RECORD).fields]
