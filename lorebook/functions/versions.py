@@ -13,17 +13,12 @@ def version_key(v) -> Column:
 
     Build metadata is ignored and parsing stops at the first non-numeric part.
     """
-    core = F.regexp_replace(utrim(v), "^v", "")
-    core = F.substring_index(core, "+", 1)
+    core = F.substring_index(F.regexp_replace(utrim(v), "^v", ""), "+", 1)
     is_release = (F.instr(core, "-") == 0).cast("int")
-    parts = F.split(F.substring_index(core, "-", 1), r"\.")
-    bad = F.array_position(F.transform(parts, lambda p: p.rlike(r"^[0-9]{1,18}$")), F.lit(False)).cast("int")
-    numeric = F.when(bad > 0, F.slice(parts, F.lit(1), bad - 1)).otherwise(parts)
-    nums = F.transform(numeric, lambda p: p.cast("bigint"))
-    used = F.coalesce(
-        F.array_max(F.transform(nums, lambda x, i: F.when(x != 0, i + 1).otherwise(F.lit(0)))), F.lit(0)
-    )
-    return F.struct(F.slice(nums, F.lit(1), used).alias("parts"), is_release.alias("release"))
+    numeric = F.regexp_extract(F.substring_index(core, "-", 1), r"^([0-9]{1,18}(?:\.[0-9]{1,18})*)(?=\.|\z)", 1)
+    trimmed = F.regexp_replace(numeric, r"(?:^|\.)0+(?:\.0+)*\z", "")
+    parts = F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(F.split(trimmed, r"\.").cast("array<bigint>"))
+    return F.struct(parts.alias("parts"), is_release.alias("release"))
 
 
 def in_affected_range(version, introduced, fixed) -> Column:

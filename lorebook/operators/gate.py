@@ -44,7 +44,7 @@ def build_idf(docs: DataFrame, max_words: int | None = None) -> DataFrame:
 
     Tokens are distinct inside the row before exploding, so counts combine map-side.
     """
-    words = docs.select(F.explode(F.array_distinct(X.fields(F.lower("text")))).alias("word")).where(X.has_alnum(F.col("word")))
+    words = docs.select(F.explode_outer(F.array_distinct(X.fields(F.lower("text")))).alias("word")).where(X.has_alnum(F.col("word")))
     counted = words.groupBy("word").agg(F.count("*").alias("df"))
     return counted if max_words is None else counted.orderBy(F.col("df").desc(), "word").limit(max_words)
 
@@ -72,7 +72,7 @@ def gate_tokens(queries: DataFrame, stoplist: DataFrame, cap: int = MAX_QUERY_TO
 
     Tokens keep their punctuation: 'cache,' is not the stop word 'cache'.
     """
-    tokens = queries.select("query_id", F.posexplode(X.query_tokens(F.lower("text"))).alias("pos", "token"))
+    tokens = queries.select("query_id", F.posexplode_outer(X.query_tokens(F.lower("text"))).alias("pos", "token")).where(F.col("token").isNotNull())
     first = tokens.groupBy("query_id", "token").agg(F.min("pos").alias("pos"))
     kept = first.join(stoplist.select(F.col("word").alias("token")).distinct(), "token", "left_anti")
     w = Window.partitionBy("query_id").orderBy("pos")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.ranking import bucketed_row_number
 from ..functions.stats import count_if, wilson
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 
 # Fixed value: leading part of an exposure identity.
 EXPOSURE_NAMESPACE = "exposure-v1"
@@ -150,7 +150,10 @@ def pilot_metrics(
         .agg(*[F.sum(c).alias(c) for c in counts], F.grouping("team").alias("g"))
         .select(F.when(F.col("g") == 1, "aggregate").otherwise("team").alias("scope"), "arm", F.coalesce("team", F.lit("")).alias("team"), *counts)
     )
-    exposures = exposure_ids(d.select("ts", "channel", "trigger", "session", "query_hash", "served", "arm", "team"), namespace)
+    # Ranked, matched and counted below: materialised once.
+    exposures = cut_lineage(
+        exposure_ids(d.select("ts", "channel", "trigger", "session", "query_hash", "served", "arm", "team"), namespace)
+    )
     matched, _ = attribute_outcomes(exposures, outcomes)
     signals = [
         count_if(F.col("used").isNotNull() | F.coalesce("incorrect", F.lit(False))).alias("judged"),

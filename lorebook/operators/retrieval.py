@@ -151,7 +151,7 @@ def query_phrases(queries: DataFrame, max_tokens: int = MAX_QUERY_TOKENS) -> Dat
     """(query_id, phrase, qtf): the first tokens of each query; repeated tokens weigh repeatedly."""
     tokens = F.slice(X.query_tokens("text"), 1, max_tokens)
     return (
-        queries.select("query_id", F.explode(F.transform(tokens, as_phrase)).alias("phrase"))
+        queries.select("query_id", F.explode_outer(F.transform(tokens, as_phrase)).alias("phrase"))
         .where(F.col("phrase") != "")
         .groupBy("query_id", "phrase")
         .agg(F.count("*").alias("qtf"))
@@ -174,10 +174,11 @@ def phrase_hits(tokens: DataFrame, phrases: DataFrame, carry: Sequence[str] = ()
     votes is an occurrence.  The vocabulary is broadcast after a size check; beyond it the
     joins shuffle on the term, with adaptive splitting of hot terms.
     """
+    # Outer explodes: the inner form would add a non-empty test that tokenises every text again.
     wanted, small, longest = vocabulary(phrases)
     hint = F.broadcast if small else (lambda df: df)
     carried = [F.max(c).alias(c) for c in carry]
-    terms = tokens.select("record_id", *carry, F.explode(F.flatten("fields")).alias("term"))
+    terms = tokens.select("record_id", *carry, F.explode_outer(F.flatten("fields")).alias("term"))
     singles = hint(wanted.where(F.col("m") == 1).select(F.col("phrase").alias("term")))
     hits = (
         terms.join(singles, "term")
@@ -190,8 +191,8 @@ def phrase_hits(tokens: DataFrame, phrases: DataFrame, carry: Sequence[str] = ()
         wanted.where(F.col("m") > 1)
         .select("phrase", (F.col("m") - 1).alias("votes"), F.posexplode(X.ngrams(F.col("words"), 2)).alias("j", "bigram"))
     )
-    bigrams = tokens.select("record_id", *carry, F.posexplode("fields").alias("col", "f")).select(
-        "record_id", *carry, "col", F.posexplode(_bigrams(F.col("f"))).alias("pos", "bigram")
+    bigrams = tokens.select("record_id", *carry, F.posexplode_outer("fields").alias("col", "f")).select(
+        "record_id", *carry, "col", F.posexplode_outer(_bigrams(F.col("f"))).alias("pos", "bigram")
     )
     starts = (
         bigrams.join(chain, "bigram")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import broadcast_if_small, is_small
+from ..session import is_small
 from .records import _strings
 
 # Shingle size, containment threshold and the generic task words that never
@@ -39,37 +39,44 @@ def authored_prose() -> Column:
 def containment_join(drafts: DataFrame, refs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """(draft_id, ref_id, shared, total, containment, flagged, matches) per overlapping pair.
 
-    ``drafts`` is (draft_id, text), ``refs`` is (ref_id, text).  Identical texts are
-    compared once and fanned out at the end, so a large group of copies costs one comparison
-    per side.  Pairs without a shared shingle have containment 0 and are not emitted.
+    ``drafts`` is (draft_id, text), ``refs`` is (ref_id, text).  A side whose shingles pass the
+    size check is broadcast, so the other side is scanned in place and its texts never move.
+    With two large sides, identical texts are compared once and fanned out at the end, so a
+    large group of copies costs one comparison per side.  Pairs without a shared shingle have
+    containment 0 and are not emitted.
     """
-    draft_texts = drafts.select("draft_id", F.sha2("text", 256).alias("text_key"), "text")
-    ref_texts = refs.select("ref_id", F.sha2("text", 256).alias("ref_key"), "text")
-    once = lambda df, key: df.groupBy(key).agg(F.first("text").alias("text")).select(key, X.words("text").alias("w"))
-    draft_once = once(draft_texts, "text_key").select("text_key", X.shingles("w", n).alias("s"))
-    ref_once = once(ref_texts, "ref_key")
-    left = draft_once.select("text_key", F.size("s").alias("total"), F.explode("s").alias("shingle"))
-    right = ref_once.select("ref_key", F.explode(X.shingles("w", n)).alias("shingle"))
-    # Whichever side passes the size check is broadcast; with neither, the join shuffles.
-    left, right = (F.broadcast(left), right) if is_small(left) else (left, broadcast_if_small(right))
-    pairs = (
-        left.join(right, "shingle")
-        .groupBy("text_key", "ref_key")
-        .agg(
-            F.count("*").alias("shared"),
-            F.max("total").alias("total"),
-            F.array_sort(F.collect_list("shingle")).alias("matches"),
-        )
-        .withColumn("containment", F.col("shared") / F.col("total"))
-        .withColumn("flagged", F.col("containment") >= threshold)
-    )
+    left, right = _shingled(drafts, "draft_id", n), _shingled(refs, "ref_id", n).drop("total")
+    if is_small(right):
+        return _rated(left.join(F.broadcast(right), "shingle"), ["draft_id", "ref_id"], threshold)
+    if is_small(left):
+        return _rated(right.join(F.broadcast(left), "shingle"), ["draft_id", "ref_id"], threshold)
+    keyed = lambda df, i, key: df.select(i, F.sha2("text", 256).alias(key), "text")
+    d, r = keyed(drafts, "draft_id", "draft_key"), keyed(refs, "ref_id", "ref_key")
+    once = lambda df, key: df.groupBy(key).agg(F.first("text").alias("text"))
+    left, right = _shingled(once(d, "draft_key"), "draft_key", n), _shingled(once(r, "ref_key"), "ref_key", n).drop("total")
+    pairs = _rated(left.join(right, "shingle"), ["draft_key", "ref_key"], threshold)
     return (
-        pairs.join(draft_texts.select("draft_id", "text_key"), "text_key")
-        .join(ref_texts.select("ref_id", "ref_key"), "ref_key")
+        pairs.join(d.select("draft_id", "draft_key"), "draft_key").join(r.select("ref_id", "ref_key"), "ref_key").drop("draft_key", "ref_key")
         .select("draft_id", "ref_id", "shared", "total", "containment", "flagged", "matches")
     )
 
 
+def _shingled(df: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, total, shingle): distinct shingles of each text."""
+    s = df.select(key, X.words("text").alias("w")).select(key, X.shingles("w", n).alias("s"))
+    # The outer form keeps the optimizer from testing the array before computing it, which would
+    # evaluate the whole expression again; the null of an empty text matches nothing.
+    return s.select(key, F.size("s").alias("total"), F.explode_outer("s").alias("shingle"))
+
+
+def _rated(joined: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    pairs = joined.groupBy(*keys).agg(
+        F.count("*").alias("shared"), F.max("total").alias("total"), F.array_sort(F.collect_list("shingle")).alias("matches")
+    )
+    rated = pairs.withColumn("containment", F.col("shared") / F.col("total"))
+    return rated.select(*keys, "shared", "total", "containment", (F.col("containment") >= threshold).alias("flagged"), "matches")
+
+
 def distinctive_terms(c) -> Column:
     """Distinct words of at least four bytes that are neither generic task words nor numbers."""
     generic = F.array(*[F.lit(w) for w in GENERIC_TASK_WORDS])
