@@ -16,8 +16,8 @@ from lorebook.session import build_session
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = (
-    "bm25_topk search assess_novelty push_gate dense_match retrieve_fused fingerprint_match build_idf containment_join "
-    "screen_gates redact_pii validate_records rights_audit_buckets advisory_audit staleness prepare_drafts dedup_drafts assign_ids "
+    "bm25_topk search push_gate dense_match retrieve_fused fingerprint_match build_idf containment_join "
+    "screen_gates redact_pii validate_records rights_audit_buckets advisory_audit staleness dedup_drafts assign_ids "
     "usage_counters tenant_stats quota_admission metrics_digest pilot_metrics judge_eval majority_vote attestation_rollup promote "
     "adapt guarded_batch retrieval_eval stream_usage_counters stream_tenant_calls"
 ).split()

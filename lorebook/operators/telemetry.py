@@ -191,14 +191,6 @@ def metrics_digest(decisions: DataFrame, now: str, hours: float = 24.0) -> DataF
     return out.withColumn("rate", share)
 
 
-def latest_per(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:
-    """The row with the greatest ``order_col`` per key, by a combinable aggregate."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max(F.struct(order_col, *[c for c in rest if c != order_col])).alias("r")).select(*keys, "r.*")
-
-
 def daily_calls(calls: DataFrame) -> DataFrame:
     """(token_id, day, tool, calls): the per-tool daily counters."""
     return calls.groupBy("token_id", F.col("ts").cast("date").alias("day"), "tool").agg(F.count("*").alias("calls"))
-
-
