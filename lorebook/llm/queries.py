@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from .bpe import op10_bpe_round_trip
 from .hilbert import op4_hilbert_shards
+from .licenses import op9_license_notices
 from .mixing import op1_pareto_mix
 from .simhash import op3_simhash_bktree
 from .substring import op7_seed_extend
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op3_simhash_bktree, op4_hilbert_shards, op7_seed_extend, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op3_simhash_bktree, op4_hilbert_shards, op7_seed_extend, op9_license_notices, op10_bpe_round_trip)}
 SQL: dict[str, str] = {}
