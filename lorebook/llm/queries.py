@@ -8,6 +8,7 @@ from .licenses import op9_license_notices
 from .mixing import op1_pareto_mix
 from .simhash import op3_simhash_bktree
 from .substring import op7_seed_extend
+from .toxicity import op6_compression_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op3_simhash_bktree, op4_hilbert_shards, op7_seed_extend, op9_license_notices, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op3_simhash_bktree, op4_hilbert_shards, op6_compression_toxicity, op7_seed_extend, op9_license_notices, op10_bpe_round_trip)}
 SQL: dict[str, str] = {}
