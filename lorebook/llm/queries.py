@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+from . import revisits
 from .bpe import op10_bpe_round_trip
 from .hilbert import op4_hilbert_shards
 from .licenses import op9_license_notices
 from .mixing import op1_pareto_mix
+from .rabitq import op5_rabitq_links
+from .revisits import op8_revisit_resolution
 from .simhash import op3_simhash_bktree
 from .substring import op7_seed_extend
 from .toxicity import op6_compression_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op3_simhash_bktree, op4_hilbert_shards, op6_compression_toxicity, op7_seed_extend, op9_license_notices, op10_bpe_round_trip)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pareto_mix,
+        op3_simhash_bktree,
+        op4_hilbert_shards,
+        op5_rabitq_links,
+        op6_compression_toxicity,
+        op7_seed_extend,
+        op8_revisit_resolution,
+        op9_license_notices,
+        op10_bpe_round_trip,
+    )
+}
+SQL: dict[str, str] = {"op8_revisit_resolution": revisits.SQL}
