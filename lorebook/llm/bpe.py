@@ -13,6 +13,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -24,8 +25,8 @@ from .shared import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # Pre-tokens of at most this many bytes are remembered, this many at a time per worker.
-SHORT = 48
-REMEMBERED = 400_000
+SHORT = 32
+REMEMBERED = 1_000_000
 # White space as Unicode's property has it; Python's own class has four separators more.
 _SPACES = r"\p{White_Space}"
 
@@ -38,49 +39,60 @@ def pattern(source: str = public_tokenizers.PATTERN) -> regex.Pattern:
 class RankQueue:
     """Places waiting for a merge, by rank.
 
-    Each rank has a bucket of places (least first).  Three levels of 64-bit words mark the
-    ranks whose buckets hold something; find-first-set on each level gives the least rank.
+    Each rank has a bucket: one place, or a heap of several.  Three levels of 64-bit words mark
+    the ranks whose buckets hold something; find-first-set on each level gives the least rank.
+    An emptied queue has all words at zero, so one queue serves one pre-token after another.
     """
 
     __slots__ = ("top", "middle", "bottom", "buckets")
 
-    def __init__(self) -> None:
-        self.top, self.middle, self.bottom = 0, {}, {}
-        self.buckets: dict[int, list[int]] = {}
+    def __init__(self, ranks: int) -> None:
+        self.top = 0
+        self.middle = [0] * ((ranks >> 12) + 1)
+        self.bottom = [0] * ((ranks >> 6) + 1)
+        self.buckets: dict[int, int | list[int]] = {}
 
     def push(self, rank: int, place: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
-            self.buckets[rank] = [place]
-            a, b = rank >> 6, rank >> 12
-            self.bottom[a] = self.bottom.get(a, 0) | 1 << (rank & 63)
-            self.middle[b] = self.middle.get(b, 0) | 1 << (a & 63)
-            self.top |= 1 << b
+            self.buckets[rank] = place
+            a = rank >> 6
+            word = self.bottom[a]
+            self.bottom[a] = word | 1 << (rank & 63)
+            if not word:
+                b = rank >> 12
+                self.middle[b] |= 1 << (a & 63)
+                self.top |= 1 << b
+        elif type(bucket) is int:
+            self.buckets[rank] = [bucket, place] if bucket < place else [place, bucket]
         else:
             heappush(bucket, place)
 
-    def pop(self) -> tuple[int, int] | None:
-        """The least rank and its least place."""
-        if not self.top:
-            return None
+    def pop(self) -> tuple[int, int]:
+        """The least rank and its least place; only while ``top`` is not zero."""
         b = (self.top & -self.top).bit_length() - 1
         word = self.middle[b]
         a = b << 6 | (word & -word).bit_length() - 1
         word = self.bottom[a]
-        rank = a << 6 | (word & -word).bit_length() - 1
+        low = word & -word
+        rank = a << 6 | low.bit_length() - 1
         bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.bottom[a] ^= 1 << (rank & 63)
-            if not self.bottom[a]:
-                self.middle[b] ^= 1 << (a & 63)
-                if not self.middle[b]:
-                    self.top ^= 1 << b
-        return rank, place
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+        if type(bucket) is not int:
+            place = heappop(bucket)
+            if bucket:
+                return rank, place
+            bucket = place
+        del self.buckets[rank]
+        word ^= low
+        self.bottom[a] = word
+        if not word:
+            self.middle[b] ^= 1 << (a & 63)
+            if not self.middle[b]:
+                self.top ^= 1 << b
+        return rank, bucket
+
+
+def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
     """Token ids of one pre-token.
 
     Places form a linked list.  The lowest-ranked pair, leftmost first, is merged; a queued
@@ -90,39 +102,46 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if whole is not None:
         return [whole]
     n = len(piece)
-    after = array("q", range(1, n + 2))
-    before = array("q", range(-1, n))
-    wanted = array("q", [-1]) * (n + 1)
-    queue, get = RankQueue(), ranks.get
+    # Long pre-tokens take eight bytes a place instead of an object.
+    row = list if n < 4096 else lambda x: array("q", x)
+    after, before, wanted = row(range(1, n + 2)), row(range(-1, n)), row([-1]) * (n + 1)
+    get, push, pop = ranks.get, queue.push, queue.pop
     for i in range(n - 1):
         r = get(piece[i : i + 2])
         if r is not None:
             wanted[i] = r
-            queue.push(r, i)
-    while (best := queue.pop()) is not None:
-        rank, i = best
+            push(r, i)
+    while queue.top:
+        rank, i = pop()
         if wanted[i] != rank:
             continue
         gone = after[i]
         wanted[gone] = -1
         end = after[gone]
         after[i] = end
-        if end <= n:
+        if end < n:
             before[end] = i
-        for left in (before[i], i):
-            if left < 0:
-                continue
-            mid = after[left]
-            r = get(piece[left : after[mid]]) if mid < n else None
+            r = get(piece[i : after[end]])
+            if r is None:
+                wanted[i] = -1
+            else:
+                wanted[i] = r
+                push(r, i)
+        else:
+            wanted[i] = -1
+        left = before[i]
+        if left >= 0:
+            r = get(piece[left:end])
             if r is None:
                 wanted[left] = -1
             elif wanted[left] != r:
                 wanted[left] = r
-                queue.push(r, left)
+                push(r, left)
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
+        end = after[i]
+        out.append(ranks[piece[i:end]])
+        i = end
     return out
 
 
@@ -136,11 +155,13 @@ class Codec:
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
         self.split = pattern().findall
+        self.queue = RankQueue(len(self.pieces))
         self.known: dict[str, bytes] = {}
 
     def _ids(self, token: str) -> bytes:
         piece = token.encode()
-        ids = np.array(merge(piece, self.ranks), "<u4").tobytes()
+        ids = merge(piece, self.ranks, self.queue)
+        ids = pack(f"<{len(ids)}I", *ids)
         if len(piece) <= SHORT:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
