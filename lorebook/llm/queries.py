@@ -10,6 +10,7 @@ from .mixing import op1_pareto_mix
 from .rabitq import op5_rabitq_links
 from .revisits import op8_revisit_resolution
 from .simhash import op3_simhash_bktree
+from .spotsigs import op2_spotsigs
 from .substring import op7_seed_extend
 from .toxicity import op6_compression_toxicity
 
@@ -17,6 +18,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pareto_mix,
+        op2_spotsigs,
         op3_simhash_bktree,
         op4_hilbert_shards,
         op5_rabitq_links,
