@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import revisits
 from .bpe import op10_bpe_round_trip
 from .hilbert import op4_hilbert_shards
@@ -28,5 +30,5 @@ QUERIES = {
         op9_license_notices,
         op10_bpe_round_trip,
     )
-}
-SQL: dict[str, str] = {"op8_revisit_resolution": revisits.SQL}
+} | {"pipeline": corpus_pipeline.run}
+SQL: dict[str, str] = {"op8_revisit_resolution": revisits.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
