@@ -111,12 +111,11 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write ``docs`` (unique doc_id) as one folder per shard, each sorted along the curve."""
-    rows = docs.join(placed.select(F.col("doc_id").alias("_id"), "shard", "slot"), docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
-    (
-        rows.repartition("shard").sortWithinPartitions("shard", "slot").drop("slot")
-        .write.partitionBy("shard").parquet(path)
-    )
+    """Write ``docs`` (unique doc_id) as one folder per shard, each sorted along the curve; a
+    column named shard or _slot is replaced."""
+    at = placed.select(F.col("doc_id").alias("_id"), "shard", "slot")
+    rows = docs.join(at, docs["doc_id"].eqNullSafe(at["_id"])).select(*[docs[c] for c in docs.columns if c not in ("shard", "_slot")], at["shard"], at["slot"].alias("_slot"))
+    rows.repartition("shard").sortWithinPartitions("shard", "_slot").drop("_slot").write.partitionBy("shard").parquet(path)
 
 
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
