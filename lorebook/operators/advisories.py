@@ -64,7 +64,11 @@ def defects_column() -> Column:
     def package_defects(a: Column) -> Column:
         pkg = F.coalesce(a["package"], F.lit(""))
         malformed = ~X.is_blank(pkg) & (F.contains(pkg, F.lit("://")) | pkg.rlike(r"[ \t\n]"))
-        found = [F.when(malformed, F.concat(F.lit("consistency:malformed-package-path:"), X.utrim(pkg)))]
+        return F.array_compact(F.array(F.when(malformed, F.concat(F.lit("consistency:malformed-package-path:"), X.utrim(pkg)))))
+
+    def scope_defects(a: Column) -> Column:
+        pkg = F.coalesce(a["package"], F.lit(""))
+        found = []
         for advisory, ecosystem, package, flag in SCOPE_DEFECTS:
             hit = (
                 F.array_contains(own, advisory)
@@ -81,7 +85,9 @@ def defects_column() -> Column:
         )
     )
     per_package = F.flatten(F.transform(applies, package_defects))
-    return F.when(is_advisory(), F.concat(general, per_package)).otherwise(F.array().cast("array<string>"))
+    # Several ranges of one package are one scope defect.
+    scope = F.array_distinct(F.flatten(F.transform(applies, scope_defects)))
+    return F.when(is_advisory(), F.concat(general, per_package, scope)).otherwise(F.array().cast("array<string>"))
 
 
 def advisory_defects(records: DataFrame) -> DataFrame:

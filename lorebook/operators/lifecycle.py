@@ -203,7 +203,9 @@ def adapt(
     """(report_id, record_id, action, reason, to_status, valid_until) for every outcome report.
 
     ``evidence`` is (report_id, original_holds, original_inconclusive, counter_holds,
-    counter_inconclusive); ``verdicts`` is (report_id, approved).
+    counter_inconclusive); ``verdicts`` is (report_id, approved).  A record's reports are taken in
+    the order of their ids.  The first that acts changes its status, so the later ones find it
+    not validated and do nothing.
     """
     joined, orphans = dispute_join(records)
     j = joined.join(evidence, "report_id", "left").join(verdicts.select("report_id", "approved"), "report_id", "left")
@@ -229,10 +231,19 @@ def adapt(
         .otherwise("below_threshold")
     )
     act = F.col("action")
-    decided = j.withColumn("action", action).withColumn("reason", reason).select(
+    judged = j.withColumn("action", action).withColumn("reason", reason).select(
         "report_id", "record_id", "action", "reason",
         F.when(act == "demote", "stale").when(act == "dispute", "disputed").otherwise(F.col("record_status")).alias("to_status"),
-        F.when(act == "demote", F.lit(now)).alias("valid_until"),
+    )
+    first = judged.where(act != "none").groupBy("record_id").agg(
+        F.min("report_id").alias("_first"), F.min_by("to_status", "report_id").alias("_changed")
+    )
+    late = F.coalesce(F.col("report_id") > F.col("_first"), F.lit(False))
+    decided = judged.join(first, "record_id", "left").select(
+        "report_id", "record_id", F.when(late, "none").otherwise(act).alias("action"),
+        F.when(late, "not_validated").otherwise(F.col("reason")).alias("reason"),
+        F.when(late, F.col("_changed")).otherwise(F.col("to_status")).alias("to_status"),
+        F.when(~late & (act == "demote"), F.lit(now)).alias("valid_until"),
     )
     null = F.lit(None).cast("string")
     lost = orphans.select("report_id", "record_id", F.lit("orphan").alias("action"), F.lit("unknown_record").alias("reason"), null.alias("to_status"), null.alias("valid_until"))
@@ -347,20 +358,23 @@ def liveness_alarm(runs: DataFrame, backlog: DataFrame, k: int = LIVENESS_RUNS)
 
 
 def growth_watch(snapshots: DataFrame, now: str, hours: int = GROWTH_HOURS) -> DataFrame:
-    """(corpus, validated, last_growth, flat_hours, alarm) from (corpus, ts, validated).
+    """(corpus, validated, last_growth, flat_hours, alarm, reason) from (corpus, ts, validated).
 
     A snapshot grows the corpus when it exceeds every earlier one, so the last growth point is
     the earliest time of the overall maximum: one combinable aggregate, no per-corpus sort.
+    A count of zero (or none) is suspect: it alarms and is no growth point.
     """
-    usable = snapshots.where(F.col("validated") > 0)
-    peak = usable.groupBy("corpus").agg(
-        F.min(F.struct((-F.col("validated")).alias("neg"), F.col("ts").alias("ts"))).alias("p"),
+    point = F.struct((-F.col("validated")).alias("neg"), F.col("ts").alias("ts"))
+    peak = snapshots.withColumn("validated", F.coalesce("validated", F.lit(0))).groupBy("corpus").agg(
+        F.min(F.when(F.col("validated") > 0, point)).alias("p"),
         F.max(F.struct("ts", "validated")).alias("last"),
     )
     flat = F.floor((_seconds(F.lit(now)) - _seconds(F.col("p.ts"))) / 3600)
     return peak.select(
         "corpus", F.col("last.validated").alias("validated"), F.col("p.ts").alias("last_growth"), flat.alias("flat_hours"),
-    ).withColumn("alarm", F.col("flat_hours") >= hours)
+    ).withColumn(
+        "reason", F.when(F.col("validated") <= 0, "zero_count").when(F.col("flat_hours") >= hours, "not_growing").otherwise("")
+    ).withColumn("alarm", F.col("reason") != "")
 
 
 def stall_watch(items: DataFrame, now: str, minutes: int = STALL_MINUTES) -> DataFrame:

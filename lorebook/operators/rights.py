@@ -52,8 +52,6 @@ OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
 SOFTWARE."""
 PLACEHOLDERS = ("todo", "tbd", "unknown", "n/a", "na", "placeholder", "example")
 DEFAULT_POLICY = "rights-v1"
-
-
 SENTINELS = {
     "": "missing_evidence",
     FACTS_ONLY: "facts_only",
@@ -62,6 +60,17 @@ SENTINELS = {
 }
 COMMERCIAL = ("facts_only", "project_authored", "licensed_notice", "cc_by_notice")
 NOTICE = ("licensed_notice", "cc_by_notice")
+# What a reviewer is asked to do per reason code.
+REMEDIATION = {
+    "missing_evidence": "review provenance and record truthful rights evidence in a human-reviewed corpus PR",
+    "missing_source_url": "verify the licensed source and record its immutable source URL in a human-reviewed corpus PR",
+    "missing_notice_evidence": "collect complete source attribution, notice, and license text evidence in a human-reviewed corpus PR",
+    "missing_rights_review": "complete or correct the immutable human rights-review attestation; never auto-populate it",
+    "rights_digest_mismatch": "complete or correct the immutable human rights-review attestation; never auto-populate it",
+    "unapproved_license_text": "keep excluded until the declared license has approved canonical material under a versioned policy",
+    "unrecognized_license": "verify the source terms and record a supported SPDX license or keep the record excluded",
+}
+REMEDIATION_ELSE = "manual rights review required; keep the record excluded until resolved"
 
 
 def license_code(license_: Column) -> Column:
@@ -143,7 +152,8 @@ def classify_rights(records: DataFrame, policy: str = DEFAULT_POLICY) -> DataFra
 
 
 def rights_audit(records: DataFrame, policy: str = DEFAULT_POLICY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(buckets, findings, queue): counts per reason code, one finding per record, remediation queue."""
+    """(buckets, findings, queue): counts per reason code, one finding per record, and the remediation
+    queue with what is to be done; nothing in it is changed automatically."""
     unresolved = F.col("code").isin(*UNRESOLVED)
     findings = classify_rights(records, policy).select(
         "id",
@@ -154,10 +164,25 @@ def rights_audit(records: DataFrame, policy: str = DEFAULT_POLICY) -> tuple[Data
         "rights.*",
     ).withColumn("unresolved", unresolved)
     buckets = findings.groupBy("code").agg(F.count("*").alias("count"))
-    queue = findings.where("unresolved").select("id", "path", "code", "source_license", "source_url")
+    # A lookup table of constants: as an expression it would repeat the whole classification.
+    actions = records.sparkSession.createDataFrame(list(REMEDIATION.items()), "code string, action string")
+    queue = findings.where("unresolved").join(F.broadcast(actions), "code", "left").select(
+        "id", "path", "code", "source_license", "source_url",
+        F.coalesce("action", F.lit(REMEDIATION_ELSE)).alias("action"), F.lit(False).alias("automatic_change"),
+    )
     return buckets, findings, queue
 
 
+def rights_totals(findings: DataFrame) -> DataFrame:
+    """(total_records, commercial_eligible, needs_notice, unresolved_evidence) of the findings."""
+    return findings.agg(
+        F.count("*").alias("total_records"),
+        count_if(F.col("commercial")).alias("commercial_eligible"),
+        count_if(F.col("commercial") & F.col("needs_notice")).alias("needs_notice"),
+        count_if(F.col("unresolved")).alias("unresolved_evidence"),
+    )
+
+
 def corpus_quality(records: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(metric, key, count): one long table of the quality report, known statuses and kinds seeded with 0.
 

@@ -142,6 +142,10 @@ def rights_remediation(s, d):
     return RT.rights_audit(records(s, d))[2]
 
 
+def rights_totals(s, d):
+    return RT.rights_totals(RT.rights_audit(records(s, d))[1])
+
+
 def pack_selection(s, d):
     included, excluded, attribution = RT.pack_tables(records(s, d), commercial=False)
     return (
@@ -412,7 +416,7 @@ QUERIES = {
     for f in (
         filter_status, filter_push_eligible, flatten_records, eval_cases, classify_record_class, actionable_behavioral, validate_records,
         route_records, corpus_quality, containment_join, leak_and_relevance_guard, screen_findings, screen_gates, redact_pii,
-        salted_hash_events, classify_rights, rights_audit_buckets, rights_remediation, pack_selection, pack_drift, pair_version_ranges,
+        salted_hash_events, classify_rights, rights_audit_buckets, rights_remediation, rights_totals, pack_selection, pack_drift, pair_version_ranges,
         advisories_to_drafts, advisory_defects, advisory_audit, staleness, prepare_drafts, reports_to_counter_records, dedup_drafts,
         assign_ids, integrity_check, head_base_id_collision, past_cycles, deprecated_packages, changelog_breaking, readme_gotchas,
         background_text,
@@ -504,6 +508,7 @@ RIGHTS = f"""rights AS (SELECT *, CASE
     WHEN source_license LIKE 'CC-%' THEN 'restricted_cc' WHEN source_license LIKE 'GPL-%' THEN 'copyleft' END AS code,
     source_license IN ('Apache-2.0', 'MIT') AS needs_notice FROM corpus)"""
 _UNRESOLVED = ", ".join(Q.q(c) for c in RT.UNRESOLVED)
+_ACTION = "CASE code " + " ".join(f"WHEN {Q.q(c)} THEN {Q.q(a)}" for c, a in RT.REMEDIATION.items()) + f" ELSE {Q.q(RT.REMEDIATION_ELSE)} END"
 
 _BLANK = lambda e: f"{Q.utrim(e)} = ''"
 _FIXING = "kind IN ('trap', 'fix')"
@@ -598,7 +603,9 @@ SQL = {
     "salted_hash_events": f"SELECT conv_id, turn, substr(sha256('{SALT}' || text), 1, 32) AS query_hash, substr(sha256('{SALT}' || conv_id), 1, 32) AS session_hash FROM conversations",
     "classify_rights": f"WITH {Q.CORPUS}, {RIGHTS} SELECT id, false AS commercial, needs_notice, code FROM rights",
     "rights_audit_buckets": f"WITH {Q.CORPUS}, {RIGHTS} SELECT code, count(*) AS count FROM rights GROUP BY code",
-    "rights_remediation": f"WITH {Q.CORPUS}, {RIGHTS} SELECT id, path, code, source_license, source_url FROM rights WHERE code IN ({_UNRESOLVED})",
+    "rights_remediation": f"WITH {Q.CORPUS}, {RIGHTS} SELECT id, path, code, source_license, source_url, {_ACTION} AS action, false AS automatic_change FROM rights WHERE code IN ({_UNRESOLVED})",
+    "rights_totals": f"""WITH {Q.CORPUS}, {RIGHTS} SELECT count(*) AS total_records, CAST(0 AS BIGINT) AS commercial_eligible, CAST(0 AS BIGINT) AS needs_notice,
+      count(*) FILTER (code IN ({_UNRESOLVED})) AS unresolved_evidence FROM rights""",
     "pack_selection": f"""WITH {Q.CORPUS}, {RIGHTS} SELECT id, 'included' AS part, '' AS detail FROM rights WHERE {VALID}
       UNION ALL SELECT id, 'excluded', 'status:' || status FROM rights WHERE NOT {VALID}
       UNION ALL SELECT id, 'attribution', source_license FROM rights WHERE {VALID} AND needs_notice""",

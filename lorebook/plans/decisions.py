@@ -356,10 +356,14 @@ SQL = {
       FROM er JOIN rc USING (record_id) LEFT JOIN corpus USING (record_id)""",
     "adapt": f"""WITH {Q.CORPUS}, {REPORTS}, j AS (SELECT report_id, record_id, status, reports, (value >= 5 AND value >= 30) OR (value >= 12 AND value > 25) AS proven, value < 12 AS inc, CASE WHEN value > 26 THEN value < 40 END AS approved
         FROM er JOIN rc USING (record_id) LEFT JOIN corpus USING (record_id)),
-      a AS (SELECT *, CASE WHEN status IS NULL THEN 'orphan' WHEN status <> 'validated' THEN 'none' WHEN proven AND coalesce(approved, false) THEN 'demote' WHEN proven OR inc THEN 'none' WHEN reports >= 3 THEN 'dispute' ELSE 'none' END AS action FROM j)
-      SELECT report_id, record_id, action, CASE WHEN status IS NULL THEN 'unknown_record' WHEN status <> 'validated' THEN 'not_validated' WHEN proven AND approved IS NULL THEN 'no_verdict' WHEN proven AND NOT approved THEN 'not_approved' WHEN proven THEN 'reproduced'
+      a AS (SELECT *, CASE WHEN status IS NULL THEN 'orphan' WHEN status <> 'validated' THEN 'none' WHEN proven AND coalesce(approved, false) THEN 'demote' WHEN proven OR inc THEN 'none' WHEN reports >= 3 THEN 'dispute' ELSE 'none' END AS act FROM j),
+      f AS (SELECT *, coalesce(report_id > min(report_id) FILTER (act IN ('demote', 'dispute')) OVER (PARTITION BY record_id), false) AS late,
+        arg_min(act, report_id) FILTER (act IN ('demote', 'dispute')) OVER (PARTITION BY record_id) AS did FROM a),
+      g AS (SELECT *, CASE WHEN late THEN 'none' ELSE act END AS action FROM f)
+      SELECT report_id, record_id, action, CASE WHEN status IS NULL THEN 'unknown_record' WHEN status <> 'validated' OR late THEN 'not_validated' WHEN proven AND approved IS NULL THEN 'no_verdict' WHEN proven AND NOT approved THEN 'not_approved' WHEN proven THEN 'reproduced'
         WHEN inc THEN 'inconclusive' WHEN reports >= 3 THEN 'corroborated' ELSE 'below_threshold' END AS reason,
-        CASE action WHEN 'demote' THEN 'stale' WHEN 'dispute' THEN 'disputed' ELSE coalesce(status, '') END AS to_status, CASE WHEN action = 'demote' THEN '{NOW}' ELSE '' END AS valid_until FROM a""",
+        CASE CASE WHEN late THEN did ELSE action END WHEN 'demote' THEN 'stale' WHEN 'dispute' THEN 'disputed' ELSE coalesce(status, '') END AS to_status,
+        CASE WHEN action = 'demote' THEN '{NOW}' ELSE '' END AS valid_until FROM g""",
     "guarded_batch": f"""WITH {_RUN}, n AS (SELECT count(*) AS processed, count(*) FILTER (eligible) AS judged, count(*) FILTER (eligible AND promoted) AS promoted FROM kept)
       SELECT processed, judged, promoted, round(coalesce(promoted / nullif(judged, 0), 0e0), 6) AS rate, false AS paused, promoted > {GUARDS.max_actions} AS count_anomaly,
         judged >= {GUARDS.min_sample} AND promoted / nullif(judged, 0) > {GUARDS.max_action_rate}e0 AS rate_anomaly, false AS capped FROM n""",
@@ -372,10 +376,11 @@ SQL = {
     "liveness_alarm": """WITH r AS (SELECT o_custkey AS pipeline, o_totalprice > 300000 AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders),
       n AS (SELECT pipeline, count(*) AS runs, count(*) FILTER (p) AS promoted FROM r WHERE n <= 3 GROUP BY pipeline), b AS (SELECT o_custkey AS pipeline, count(*) AS eligible FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
       SELECT pipeline, runs, promoted, coalesce(eligible, 0) AS eligible, runs >= 3 AND promoted = 0 AND coalesce(eligible, 0) > 0 AS alarm FROM n LEFT JOIN b USING (pipeline)""",
-    "growth_watch": f"""WITH s AS (SELECT user_id AS corpus, ts, CAST(floor(value) AS BIGINT) AS v FROM events WHERE floor(value) > 0),
-      g AS (SELECT corpus, arg_max(v, ts) AS validated, min(ts) FILTER (v = m) AS last_growth FROM (SELECT *, max(v) OVER (PARTITION BY corpus) AS m FROM s) GROUP BY corpus)
-      SELECT corpus, validated, strftime(last_growth, '%Y-%m-%d %H:%M:%S') AS last_growth, CAST(floor(epoch(TIMESTAMP '{RUN_STAMP}' - last_growth) / 3600) AS BIGINT) AS flat_hours,
-        floor(epoch(TIMESTAMP '{RUN_STAMP}' - last_growth) / 3600) >= 288 AS alarm FROM g""",
+    "growth_watch": f"""WITH s AS (SELECT user_id AS corpus, ts, CAST(floor(value) AS BIGINT) AS v FROM events),
+      g AS (SELECT corpus, arg_max(v, (ts, v)) AS validated, min(ts) FILTER (v = m AND v > 0) AS last_growth FROM (SELECT *, max(v) OVER (PARTITION BY corpus) AS m FROM s) GROUP BY corpus),
+      h AS (SELECT corpus, validated, last_growth, CAST(floor(epoch(TIMESTAMP '{RUN_STAMP}' - last_growth) / 3600) AS BIGINT) AS flat_hours FROM g)
+      SELECT corpus, validated, strftime(last_growth, '%Y-%m-%d %H:%M:%S') AS last_growth, flat_hours, validated <= 0 OR coalesce(flat_hours >= 288, false) AS alarm,
+        CASE WHEN validated <= 0 THEN 'zero_count' WHEN flat_hours >= 288 THEN 'not_growing' ELSE '' END AS reason FROM h""",
     "stall_watch": """WITH i AS (SELECT o_orderkey AS item_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'failure' ELSE 'open' END AS state, CAST(floor(epoch(TIMESTAMP '1998-01-01' - o_orderdate) / 60) AS BIGINT) AS age_min FROM orders)
       SELECT * FROM i WHERE age_min >= 120 OR state = 'failure'""",
 }

@@ -210,8 +210,8 @@ def cohort_conflicts(s, d):
 
 
 def idf_lines(s, d):
-    idf = G.build_idf(table(s, d, "conversations"), max_words=5000)
-    return sinks.idf_lines(idf, 7)
+    turns = table(s, d, "conversations")
+    return sinks.idf_lines(G.build_idf(turns), turns.count())
 
 
 QUERIES = {
@@ -341,6 +341,6 @@ SQL = {
     "outcome_problems": f"""WITH {EV}, {OUT} SELECT CASE WHEN used IS NULL AND NOT confirmed AND NOT incorrect THEN 'no_signal' WHEN confirmed AND incorrect THEN 'contradiction'
       WHEN confirmed AND NOT coalesce(used, false) THEN 'confirmed_without_use' ELSE '' END AS problem, count(*) AS n FROM outc GROUP BY 1""",
     "cohort_conflicts": f"SELECT {_HASH('o_custkey')} AS session_hash, count(DISTINCT o_orderpriority) AS teams FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1",
-    "idf_lines": f"""WITH i AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct({Q.fields('lower(text)')})) AS word FROM conversations) WHERE regexp_matches(word, '[\\p{{L}}\\p{{Nd}}]') GROUP BY word ORDER BY 2 DESC, 1 LIMIT 5000)
-      SELECT 'docs' || chr(9) || '7' AS value UNION ALL SELECT word || chr(9) || df FROM i""",
+    "idf_lines": f"""WITH i AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct({Q.fields('lower(text)')})) AS word FROM conversations) WHERE regexp_matches(word, '[\\p{{L}}\\p{{Nd}}]') GROUP BY word)
+      SELECT 'docs' || chr(9) || (SELECT count(*) FROM conversations) AS value UNION ALL SELECT word || chr(9) || df FROM i""",
 }

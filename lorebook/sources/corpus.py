@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -14,7 +16,7 @@ FENCE = "---\n"
 
 
 def _coerce(value, dtype):
-    """A YAML value as the given Spark type; None where it does not fit."""
+    """A YAML value, its scalars as written, as the given Spark type; None where it does not fit."""
     if value is None:
         return None
     if isinstance(dtype, StructType):
@@ -25,11 +27,13 @@ def _coerce(value, dtype):
         return [_coerce(v, dtype.elementType) for v in value] if isinstance(value, list) else None
     if isinstance(dtype, MapType):
         return {str(k): _coerce(v, dtype.valueType) for k, v in value.items()} if isinstance(value, dict) else None
+    if not isinstance(value, str):
+        return None
     if dtype.typeName() in ("integer", "long"):
-        return int(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    return value if isinstance(value, str) else str(value)
+        return int(value) if re.fullmatch(r"[-+]?[0-9]+", value) else None
+    if dtype.typeName() == "boolean":
+        return {"true": True, "false": False}.get(value.lower())
+    return value
 
 
 def _unknown(value, dtype, path=""):
@@ -58,14 +62,20 @@ def _decode_front_matter(schema: StructType):
 
         import yaml
 
-        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+        # Scalars keep their written text ('1.10', 'on', '0123'); only a plain null has a type.
+        class Written(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
+            yaml_implicit_resolvers = {
+                start: [r for r in rules if r[0] in ("tag:yaml.org,2002:null", "tag:yaml.org,2002:merge")]
+                for start, rules in yaml.SafeLoader.yaml_implicit_resolvers.items()
+            }
+
         for batch in batches:
             out, reasons, unknown = [], [], []
             for front in batch["front"]:
                 doc, reason, extra = None, None, None
                 if front is not None:
                     try:
-                        raw = yaml.load(front, Loader=loader)
+                        raw = yaml.load(front, Loader=Written)
                         if isinstance(raw, dict):
                             extra = _unknown(raw, schema)
                             doc = json.dumps(_coerce(raw, schema))

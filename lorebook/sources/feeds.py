@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..functions.text import S
 from ..schemas import EOL_CYCLE, OSV, PACKAGE_META
 
-# Feed patterns, licence allowlist and output bounds.
+# Feed patterns and licence allowlist.
 RELEASE_HEADING = r"^## \d{4}-\d{2}-\d{2}, Version ([^\t\n\f\r ]+)"
 SEMVER_MAJOR = (
     rf"\*\*\(SEMVER-MAJOR\)\*\*{S}*\*\*([^*]+)\*\*:{S}*(.+?){S}*\(([^()]+)\){S}*\[#\d+\]\(([^)]+)\){S}*\z"
@@ -25,7 +25,6 @@ SKIPPED_TITLES = ("👀 Examples", "Table of Contents")
 BACKGROUND_LICENSES = (
     "MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "ISC", "Python-2.0", "Unlicense", "CC-BY-4.0",
 )
-DRAFT_CAP = 200
 
 
 def read_osv(spark: SparkSession, path: str, ecosystem: str) -> DataFrame:
@@ -65,7 +64,7 @@ def read_package_deprecations(spark: SparkSession, path: str) -> DataFrame:
     return deprecated_packages(spark.read.schema(PACKAGE_META).option("multiLine", "true").json(path))
 
 
-def breaking_entries(docs: DataFrame, cap: int | None = DRAFT_CAP) -> DataFrame:
+def breaking_entries(docs: DataFrame, cap: int | None = None) -> DataFrame:
     """(doc, version, subsystem, subject, url) of SEMVER-MAJOR lines under their release heading.
 
     Documents are (doc, text).  The version is carried forward inside each document's own line
@@ -95,12 +94,12 @@ def breaking_entries(docs: DataFrame, cap: int | None = DRAFT_CAP) -> DataFrame:
     return out if cap is None else out.orderBy("version", "subsystem", "subject", "url", "doc").limit(cap)
 
 
-def changelog_breaking(spark: SparkSession, path: str, cap: int = DRAFT_CAP) -> DataFrame:
+def changelog_breaking(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
     docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc"), F.col("value").alias("text"))
     return breaking_entries(docs, cap)
 
 
-def gotcha_sections(docs: DataFrame, prefix: str = "## ", cap: int | None = DRAFT_CAP) -> DataFrame:
+def gotcha_sections(docs: DataFrame, prefix: str = "## ", cap: int | None = None) -> DataFrame:
     """(doc, title, snippet, explanation) of README sections with a code fence and an explanation.
 
     Only the part between the examples heading and the closing chapters counts; a repeated
@@ -133,7 +132,7 @@ def _quote(literal: str) -> str:
     return re.escape(literal)
 
 
-def readme_gotchas(spark: SparkSession, path: str, prefix: str = "## ", cap: int = DRAFT_CAP) -> DataFrame:
+def readme_gotchas(spark: SparkSession, path: str, prefix: str = "## ", cap: int | None = None) -> DataFrame:
     docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc"), F.col("value").alias("text"))
     return gotcha_sections(docs, prefix, cap)
 

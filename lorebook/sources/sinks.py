@@ -56,11 +56,14 @@ def write_idf(idf: DataFrame, total: int, path: str) -> None:
 def read_idf(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """(table, total documents); words are lower-cased."""
     fields = F.split("value", "\t", 2)
-    rows = spark.read.text(path).where(F.col("value") != "").select(fields[0].alias("word"), fields[1].cast("bigint").alias("df"), F.monotonically_increasing_id().alias("_i"))
-    header = rows.orderBy("_i").first()
+    # Parts are named in the order of their lines, whatever order they are read in.
+    place = F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("i"))
+    rows = spark.read.text(path).where(F.col("value") != "").select(fields[0].alias("word"), fields[1].cast("bigint").alias("df"), place.alias("_p"))
+    header = rows.agg(F.min(F.struct("_p", "word", "df")).alias("h")).first()["h"]
     if header is None or header["word"] != "docs" or header["df"] is None:
         raise ValueError("frequency table without a docs header")
-    body = rows.where(F.col("_i") != header["_i"])
+    first = F.struct(*[F.lit(header["_p"][k]).alias(k) for k in ("f", "s", "i")])
+    body = rows.where(F.col("_p") != first)
     return body.groupBy(F.lower("word").alias("word")).agg(F.max("df").alias("df")), int(header["df"])
 
 

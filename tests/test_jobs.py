@@ -133,4 +133,6 @@ def test_growth_watch_uses_last_new_maximum(spark):
     t = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
     rows = [("c", t(0), 5), ("c", t(1), 7), ("c", t(2), 7), ("c", t(3), 6), ("d", t(0), 1), ("d", t(30), 2), ("d", t(31), 0)]
     out = {r["corpus"]: r for r in L.growth_watch(spark.createDataFrame(rows, "corpus string, ts timestamp, validated bigint"), "2024-01-02 12:00:00").collect()}
-    assert out["c"]["last_growth"] == t(1) and out["c"]["alarm"] and not out["d"]["alarm"]
+    assert out["c"]["last_growth"] == t(1) and out["c"]["reason"] == "not_growing"
+    # A count read as zero is suspect in itself.
+    assert out["d"]["last_growth"] == t(30) and out["d"]["alarm"] and out["d"]["reason"] == "zero_count"
