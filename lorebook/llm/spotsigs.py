@@ -144,7 +144,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        "doc_id", F.coalesce("doc_id", F.lit(_LEAST)).alias("id"), F.col("doc_id").isNull().cast("int").alias("null_id"),
+        F.coalesce("doc_id", F.lit(_LEAST)).alias("id"), F.col("doc_id").isNull().cast("int").alias("null_id"),
         F.xxhash64(text).alias("h"), text.alias("text"),
     )
     key = ["id", "null_id", "h"]
@@ -162,8 +162,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         .groupBy(*[F.col(f"{k}_before").alias(k) for k in key]).agg(F.first("opening").alias("opening"), F.first("next_sigs").alias("next_sigs"))
     )
     n = F.char_length("text")
-    both = placed.join(opening, key).select(
-        "doc_id", "text", n.cast("long").alias("n_chars"), "next_sigs",
+    both = rows.join(opening, key).select(
+        F.when(F.col("null_id") == 0, F.col("id")).alias("doc_id"), "text", n.cast("long").alias("n_chars"), "next_sigs",
         F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("opening")).alias("edited"),
     )
     signed = signature_sets(both, sigs="text", edited_sigs="edited")
