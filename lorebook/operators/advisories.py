@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import versions as V
 from ..functions.text import LB, RB
-from ..session import broadcast_if_small
 from .records import FACTS_ONLY, _strings, has_prefix, has_vuln_prefix, is_advisory, own_signals
 
 # Id patterns, blocking flag prefixes, audited scope defects, audit prefixes,
@@ -254,7 +253,7 @@ def advisory_audit(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     keyed = deps.withColumn("key", V.version_key("version"))
     hit = (F.col("lo").isNull() | (F.col("key") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("key") < F.col("hi")))
     return (
-        keyed.join(broadcast_if_small(ranges), "path")
+        keyed.join(ranges, "path")
         .where(hit)
         .select(
             "path", "version", "record_id", "advisory_id",
@@ -291,7 +290,7 @@ def staleness(records: DataFrame, cycles: DataFrame, now: str, validated_only: b
         .withColumn("product", F.when(runtime_pkg & ~F.col("closed"), product))
         .withColumn("cycle", V.major_minor("a.versions.fixed"))
     )
-    joined = entries.join(broadcast_if_small(ended), ["product", "cycle"], "left")
+    joined = entries.join(ended, ["product", "cycle"], "left")
     window = F.when(F.col("closed") , F.struct(F.lit(-1).alias("pos"), F.lit("window_closed").alias("signal"), F.col("until").alias("detail")))
     runtime = F.when(
         F.col("ended_on").isNotNull(),

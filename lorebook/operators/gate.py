@@ -11,7 +11,6 @@ from ..functions import text as X
 from ..session import cut_lineage
 from .retrieval import (
     MAX_K,
-    MAX_QUERY_TOKENS,
     CorpusIndex,
     as_phrase,
     bm25_topk,
@@ -67,14 +66,16 @@ def globally_common(tokens: DataFrame, idf: DataFrame, total, ratio: float = COM
     )
 
 
-def gate_tokens(queries: DataFrame, stoplist: DataFrame, cap: int = MAX_QUERY_TOKENS) -> DataFrame:
-    """(query_id, token, pos): the first ``cap`` distinct tokens outside the stoplist.
+def gate_tokens(queries: DataFrame, stoplist: DataFrame, cap: int | None = None) -> DataFrame:
+    """(query_id, token, pos): the distinct tokens outside the stoplist, or the first ``cap`` of them.
 
     Tokens keep their punctuation: 'cache,' is not the stop word 'cache'.
     """
     tokens = queries.select("query_id", F.posexplode_outer(X.query_tokens(F.lower("text"))).alias("pos", "token")).where(F.col("token").isNotNull())
     first = tokens.groupBy("query_id", "token").agg(F.min("pos").alias("pos"))
     kept = first.join(stoplist.select(F.col("word").alias("token")).distinct(), "token", "left_anti")
+    if cap is None:
+        return kept.select("query_id", "token", "pos")
     w = Window.partitionBy("query_id").orderBy("pos")
     return kept.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap).select("query_id", "token", "pos")
 
@@ -87,7 +88,7 @@ def discriminative_tokens(
     stoplist: DataFrame,
     importers: Sequence[str] = (),
     max_df: int = PUSH_MAX_DF,
-    cap: int = MAX_QUERY_TOKENS,
+    cap: int | None = None,
 ) -> DataFrame:
     """(query_id, token, pos, phrase, df, common): tokens found in 1..max_df eligible records.
 

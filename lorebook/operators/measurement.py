@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.ranking import bucketed_row_number
 from ..functions.stats import count_if, wilson
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage
 
 # Fixed value: leading part of an exposure identity.
 EXPOSURE_NAMESPACE = "exposure-v1"
@@ -47,7 +47,7 @@ def arm_filter(df: DataFrame, baseline: Window, treatment: Window, ts_col: str =
 def cohort_join(df: DataFrame, cohorts: DataFrame, session_col: str = "session") -> DataFrame:
     """Adds ``team``: the session's cohort, or 'unattributed'."""
     teams = cohorts.select(F.col("session_hash").alias("_s"), F.nullif("team", F.lit("")).alias("team"))
-    joined = df.join(broadcast_if_small(teams), F.col(session_col) == F.col("_s"), "left").drop("_s")
+    joined = df.join(teams, F.col(session_col) == F.col("_s"), "left").drop("_s")
     return joined.withColumn("team", F.coalesce("team", F.lit("unattributed")))
 
 

@@ -15,22 +15,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
+from ..session import cut_lineage
 from .records import flatten_records, push_eligible
 
 # Hit limits, floors, scores and fusion constants of retrieval.
 MAX_K = 3
 DEFAULT_FLOOR = 2.0e-06
 FINGERPRINT_SCORE = 1000.0
-MAX_QUERY_TOKENS = 24
 RRF_K = 60
 FUSION_CANDIDATES = 10
 DENSE_FLOOR = 0.5
 BM25_K1, BM25_B = 1.2, 0.75
 MIN_IDF = 1e-6
-MAX_PHRASE = 1 << 20
-# Query-record pairs from which a top-k search prunes frequent phrases first.
-PRUNE_PAIRS = 20_000_000
 # Scores are compared at this many decimals, so that ranks do not depend on summation order.
 SCORE_DECIMALS = 9
 
@@ -147,9 +143,10 @@ def as_phrase(token: Column) -> Column:
     return F.array_join(X.terms(token), " ")
 
 
-def query_phrases(queries: DataFrame, max_tokens: int = MAX_QUERY_TOKENS) -> DataFrame:
-    """(query_id, phrase, qtf): the first tokens of each query; repeated tokens weigh repeatedly."""
-    tokens = F.slice(X.query_tokens("text"), 1, max_tokens)
+def query_phrases(queries: DataFrame, max_tokens: int | None = None) -> DataFrame:
+    """(query_id, phrase, qtf): the tokens of each query, or its first ``max_tokens``; repeated tokens
+    weigh repeatedly."""
+    tokens = X.query_tokens("text") if max_tokens is None else F.slice(X.query_tokens("text"), 1, max_tokens)
     return (
         queries.select("query_id", F.explode_outer(F.transform(tokens, as_phrase)).alias("phrase"))
         .where(F.col("phrase") != "")
@@ -158,28 +155,20 @@ def query_phrases(queries: DataFrame, max_tokens: int = MAX_QUERY_TOKENS) -> Dat
     )
 
 
-def vocabulary(phrases: DataFrame) -> tuple[DataFrame, bool, int]:
-    """(phrase, words, m) of the distinct phrases, whether they may be broadcast, and the longest m."""
-    wanted = phrases.select("phrase").distinct().withColumn("words", F.split("phrase", " ")).withColumn("m", F.size("words"))
-    probe = wanted.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.max("m").alias("m")).first()
-    small = probe["n"] <= BROADCAST_ROWS
-    return wanted, small, (probe["m"] or 1) if small else MAX_PHRASE
-
-
 def phrase_hits(tokens: DataFrame, phrases: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """(phrase, record_id, tf, *carry): occurrences of each phrase within single columns.
 
     Single terms are matched while the token arrays are exploded.  A longer phrase is a chain
     of bigrams: its j-th bigram at position p votes for a start at p - j, and a start with all
-    votes is an occurrence.  The vocabulary is broadcast after a size check; beyond it the
-    joins shuffle on the term, with adaptive splitting of hot terms.
+    votes is an occurrence.  The distinct phrases are stored first, so that their size in bytes
+    decides between a broadcast and a shuffle on the term with adaptive splitting of hot terms.
     """
     # Outer explodes: the inner form would add a non-empty test that tokenises every text again.
-    wanted, small, longest = vocabulary(phrases)
-    hint = F.broadcast if small else (lambda df: df)
+    wanted = cut_lineage(phrases.select("phrase").distinct().withColumn("words", F.split("phrase", " ")).withColumn("m", F.size("words")))
+    longest = wanted.agg(F.max("m").alias("m")).first()["m"] or 1
     carried = [F.max(c).alias(c) for c in carry]
     terms = tokens.select("record_id", *carry, F.explode_outer(F.flatten("fields")).alias("term"))
-    singles = hint(wanted.where(F.col("m") == 1).select(F.col("phrase").alias("term")))
+    singles = wanted.where(F.col("m") == 1).select(F.col("phrase").alias("term"))
     hits = (
         terms.join(singles, "term")
         .groupBy(F.col("term").alias("phrase"), "record_id")
@@ -187,9 +176,8 @@ def phrase_hits(tokens: DataFrame, phrases: DataFrame, carry: Sequence[str] = ()
     )
     if longest < 2:
         return hits
-    chain = hint(
-        wanted.where(F.col("m") > 1)
-        .select("phrase", (F.col("m") - 1).alias("votes"), F.posexplode(X.ngrams(F.col("words"), 2)).alias("j", "bigram"))
+    chain = wanted.where(F.col("m") > 1).select(
+        "phrase", (F.col("m") - 1).alias("votes"), F.posexplode(X.ngrams(F.col("words"), 2)).alias("j", "bigram")
     )
     bigrams = tokens.select("record_id", *carry, F.posexplode_outer("fields").alias("col", "f")).select(
         "record_id", *carry, "col", F.posexplode_outer(_bigrams(F.col("f"))).alias("pos", "bigram")
@@ -216,15 +204,18 @@ def doc_freq(tokens: DataFrame, phrases: DataFrame, served: DataFrame | None = N
     return _among(phrase_hits(tokens, phrases), served).groupBy("phrase").agg(F.count("*").alias("df"))
 
 
-def lexical_match(queries: DataFrame, tokens: DataFrame, max_tokens: int = MAX_QUERY_TOKENS) -> DataFrame:
-    """(query_id, record_id, matched, tf): OR-match of the query phrases against the index."""
+def lexical_match(queries: DataFrame, tokens: DataFrame, k: int = FUSION_CANDIDATES, max_tokens: int | None = None) -> DataFrame:
+    """(query_id, rank, record_id, matched, tf): the k records with most of a query's phrases, then
+    most occurrences, then the lowest id."""
     wanted = cut_lineage(query_phrases(queries, max_tokens))
-    return (
+    matched = (
         phrase_hits(tokens, wanted)
-        .join(broadcast_if_small(wanted), "phrase")
+        .join(wanted, "phrase")
         .groupBy("query_id", "record_id")
         .agg(F.count("*").alias("matched"), F.sum(F.col("qtf") * F.col("tf")).alias("tf"))
     )
+    best = Window.partitionBy("query_id").orderBy(F.col("matched").desc(), F.col("tf").desc(), "record_id")
+    return matched.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "record_id", "matched", "tf")
 
 
 @dataclass
@@ -234,11 +225,9 @@ class _Matches:
 
     hits: DataFrame
     weights: DataFrame
-    small: bool
-    pairs: int
 
 
-def _matches(queries: DataFrame, tokens: DataFrame, served: DataFrame | None, max_tokens: int) -> _Matches:
+def _matches(queries: DataFrame, tokens: DataFrame, served: DataFrame | None, max_tokens: int | None) -> _Matches:
     # These tables are read several times: query phrases are small, and the hits stand for a
     # scan of the whole corpus.
     wanted = cut_lineage(query_phrases(queries, max_tokens))
@@ -252,8 +241,7 @@ def _matches(queries: DataFrame, tokens: DataFrame, served: DataFrame | None, ma
         .withColumn("idf", F.when(F.col("idf") > 0, F.col("idf")).otherwise(F.lit(MIN_IDF)))
         .select("query_id", "phrase", (F.col("qtf") * F.col("idf")).alias("weight"), "df", F.col("t.avgdl").alias("avgdl"))
     )
-    size = weights.agg(F.count("*").alias("n"), F.coalesce(F.sum("df"), F.lit(0)).alias("pairs")).first()
-    return _Matches(_among(hits, served), weights, size["n"] <= BROADCAST_ROWS, size["pairs"])
+    return _Matches(_among(hits, served), weights)
 
 
 def _part() -> Column:
@@ -262,9 +250,8 @@ def _part() -> Column:
     return F.col("weight") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
 
 
-def _sums(hits: DataFrame, weights: DataFrame, small: bool, name: str) -> DataFrame:
-    joined = hits.join(F.broadcast(weights) if small else weights, "phrase")
-    return joined.groupBy("query_id", "record_id").agg(F.sum(_part()).alias(name))
+def _sums(hits: DataFrame, weights: DataFrame, name: str) -> DataFrame:
+    return hits.join(weights, "phrase").groupBy("query_id", "record_id").agg(F.sum(_part()).alias(name))
 
 
 def _fill(pairs: DataFrame, hits: DataFrame, weights: DataFrame) -> DataFrame:
@@ -274,14 +261,14 @@ def _fill(pairs: DataFrame, hits: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def bm25_scores(
-    queries: DataFrame, tokens: DataFrame, served: DataFrame | None = None, max_tokens: int = MAX_QUERY_TOKENS
+    queries: DataFrame, tokens: DataFrame, served: DataFrame | None = None, max_tokens: int | None = None
 ) -> DataFrame:
     """(query_id, record_id, score) of every served record matching a query.
 
     Statistics (N, df, average length) cover all records; ``served`` only limits what is returned.
     """
     m = _matches(queries, tokens, served, max_tokens)
-    return _rounded(_sums(m.hits, m.weights, m.small, "score"))
+    return _rounded(_sums(m.hits, m.weights, "score"))
 
 
 def _rounded(scored: DataFrame) -> DataFrame:
@@ -300,7 +287,7 @@ def _pruned_scores(m: _Matches, k: int, floor: float, seed_df: int = 100, seeds:
     """
     hits = cut_lineage(m.hits)
     bound = F.col("weight") * (BM25_K1 + 1)
-    rare = _sums(hits, m.weights.where(F.col("df") <= seed_df), m.small, "score")
+    rare = _sums(hits, m.weights.where(F.col("df") <= seed_df), "score")
     seeded = top_ranked(rare, seeds)
     complete = _fill(seeded, hits, m.weights).withColumnRenamed("extra", "score")
     theta = top_ranked(complete, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("theta"))
@@ -315,7 +302,7 @@ def _pruned_scores(m: _Matches, k: int, floor: float, seed_df: int = 100, seeds:
     )
     heavy = plan.where(~F.col("light"))
     limits = plan.groupBy("query_id").agg(F.first("theta").alias("theta"), F.first("rest").alias("rest"))
-    found = _sums(hits, heavy, m.small, "base").join(limits, "query_id")
+    found = _sums(hits, heavy, "base").join(limits, "query_id")
     kept = cut_lineage(found.where(F.col("base") + F.col("rest") >= F.col("theta")).select("query_id", "record_id", "base"))
     extra = _fill(kept, hits, plan.where("light"))
     total = F.col("base") + F.coalesce("extra", F.lit(0.0))
@@ -347,14 +334,11 @@ def bm25_topk(
     k: int = MAX_K,
     floor: float | None = None,
     served: DataFrame | None = None,
-    prune_pairs: int = PRUNE_PAIRS,
+    max_tokens: int | None = None,
 ) -> DataFrame:
     """The k best records per query by Okapi BM25."""
-    m = _matches(queries, tokens, served, MAX_QUERY_TOKENS)
-    if m.pairs <= prune_pairs:
-        scored = _rounded(_sums(m.hits, m.weights, m.small, "score"))
-    else:
-        scored = _pruned_scores(m, k, DEFAULT_FLOOR if floor is None else floor)
+    m = _matches(queries, tokens, served, max_tokens)
+    scored = _pruned_scores(m, k, DEFAULT_FLOOR if floor is None else floor)
     return top_ranked(apply_floor(scored, floor), k)
 
 
@@ -367,73 +351,86 @@ def dense_match(
     floor: float = DENSE_FLOOR,
     k: int = FUSION_CANDIDATES,
     served: DataFrame | None = None,
-    block_rows: int = 4096,
-    resident_queries: int = 20_000,
+    pass_bytes: int = 128 << 20,
+    tile_cells: int = 1 << 21,
 ) -> DataFrame:
     """(query_id, rank, record_id, score): exact cosine top-k above the floor.
 
-    ``queries`` is (query_id, vec), ``vectors`` is (record_id, vec).  Similarities are block
-    matrix products in Arrow batches and only each block's k best per query leave it.  A
-    query set of at most ``resident_queries`` rows is held by every task, and vectors are
-    scanned in place; beyond that both sides are cut into blocks of about ``block_rows`` and
-    every pair of blocks is one grouped task.
+    ``queries`` is (query_id, vec), ``vectors`` is (record_id, vec); unequal lengths and zero
+    vectors never reach a positive floor.  Query vectors are held by every task in passes of at
+    most ``pass_bytes``; each pass scans the vectors in place, without a shuffle of them.  Inside a
+    task, similarities are computed in tiles of at most ``tile_cells`` and only each query's k
+    best of the task's rows are kept and leave it.
     """
     corpus = vectors if served is None else vectors.join(served, "record_id", "left_semi")
-    corpus = corpus.select(F.col("record_id"), F.col("vec").cast("array<double>").alias("vec")).where(F.size("vec") > 0)
-    probes = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec")).where(F.size("vec") > 0)
+    corpus = corpus.select("record_id", "vec").where(F.size("vec") > 0)
+    probes = queries.select("query_id", "vec").where(F.size("vec") > 0)
     types = dict(probes.select("query_id").dtypes) | dict(corpus.select("record_id").dtypes)
     schema = f"query_id {types['query_id']}, record_id {types['record_id']}, score double"
-    resident = probes.limit(resident_queries + 1).toPandas()
-    if len(resident) <= resident_queries:
-        shared = probes.sparkSession.sparkContext.broadcast(resident)
-
-        def scan(batches):
-            for batch in batches:
-                yield _block_topk(shared.value, batch, floor, k)
-
-        return top_ranked(corpus.mapInPandas(scan, schema), k)
-
-    def sides(df: DataFrame, id_col: str) -> tuple[DataFrame, int]:
-        blocks = max(1, -(-df.count() // block_rows))
-        return df.withColumn("block", F.pmod(F.xxhash64(id_col), F.lit(blocks))), blocks
-
-    left, left_blocks = sides(probes, "query_id")
-    right, right_blocks = sides(corpus, "record_id")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = left.withColumnRenamed("block", "qb").withColumn("vb", spread(right_blocks))
-    right = right.withColumnRenamed("block", "vb").withColumn("qb", spread(left_blocks))
+    size = probes.agg(F.sum(F.size("vec").cast("bigint") * 8)).first()[0] or 0
+    passes = max(1, -(-size // pass_bytes))
+    share = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+    found = []
+    for p in range(passes):
+        held = probes.sparkSession.sparkContext.broadcast(_units(probes.where(share == p).toPandas(), "query_id"))
+
+        def scan(batches, held=held):
+            return _best_of_scan(held.value, batches, floor, k)
+
+        part = corpus.mapInPandas(scan, schema)
+        # Several passes are finished one after the other, so that one set of queries is held at a time.
+        found.append(part if passes == 1 else cut_lineage(top_ranked(part, k).select("query_id", "record_id", "score")))
+        if passes > 1:
+            held.destroy()
+    both = found[0]
+    for part in found[1:]:
+        both = both.unionByName(part)
+    return top_ranked(both, k)
+
+
+def _units(df, id_col: str) -> dict:
+    """dimension -> (ids, unit vectors); a zero vector stays zero."""
+    import numpy as np
 
-    def pair(q, v):
-        return _block_topk(q, v, floor, k)
+    lengths, out = df["vec"].map(len), {}
+    for d in lengths.unique():
+        rows = df[lengths == d]
+        x = np.stack(rows["vec"].to_numpy()).astype(np.float64)
+        norm = np.linalg.norm(x, axis=1)
+        out[int(d)] = rows[id_col].to_numpy(), x / np.where(norm > 0, norm, 1)[:, None]
+    return out
 
-    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(pair, schema)
-    return top_ranked(found, k)
 
+def _best_of_scan(held: dict, batches, floor: float, k: int, tile_cells: int = 1 << 21):
+    """The k best of all rows of ``batches`` for every held query, score descending, then id."""
+    import pandas as pd
 
-def _block_topk(queries, vectors, floor: float, k: int):
-    """k best (query_id, record_id, score) of one block pair; unequal lengths and zero vectors score 0."""
+    best = None
+    for batch in batches:
+        new = [best] if best is not None else []
+        for d, (v_ids, v) in _units(batch, "record_id").items():
+            if d in held:
+                q_ids, q = held[d]
+                step = max(1, tile_cells // len(v))
+                new += [_tile_topk(q_ids[i : i + step], q[i : i + step], v_ids, v, floor, k) for i in range(0, len(q), step)]
+        if new:
+            both = pd.concat(new, ignore_index=True).sort_values(["query_id", "score", "record_id"], ascending=[True, False, True])
+            best = both[both.groupby("query_id").cumcount() < k]
+    if best is not None:
+        yield best
+
+
+def _tile_topk(q_ids, q, v_ids, v, floor: float, k: int):
+    """Pairs of one tile at the floor or above that are as good as a query's k-th best, ties included."""
     import numpy as np
     import pandas as pd
 
-    parts = []
-    q_len, v_len = queries["vec"].map(len), vectors["vec"].map(len)
-    for dim in set(q_len) & set(v_len):
-        q, v = queries[q_len == dim], vectors[v_len == dim]
-        q_ids, v_ids = q["query_id"].to_numpy(), v["record_id"].to_numpy()
-        qm, vm = np.stack(q["vec"].to_numpy()), np.stack(v["vec"].to_numpy())
-        scale = np.outer(np.linalg.norm(qm, axis=1), np.linalg.norm(vm, axis=1))
-        sims = np.divide(qm @ vm.T, scale, out=np.zeros_like(scale), where=scale > 0)
-        sims = np.round(sims, SCORE_DECIMALS)
-        keep = sims >= floor
-        if sims.shape[1] > k:
-            # Everything at least as good as a query's k-th best, ties included.
-            kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
-            keep &= sims >= kth
-        qi, vi = np.nonzero(keep)
-        parts.append(pd.DataFrame({"query_id": q_ids[qi], "record_id": v_ids[vi], "score": sims[qi, vi]}))
-    if not parts:
-        return pd.DataFrame({"query_id": [], "record_id": [], "score": []}).astype({"score": "float64"})
-    return pd.concat(parts, ignore_index=True)
+    sims = np.round(q @ v.T, SCORE_DECIMALS)
+    keep = sims >= floor
+    if sims.shape[1] > k:
+        keep &= sims >= np.partition(sims, -k, axis=1)[:, -k, None]
+    qi, vi = np.nonzero(keep)
+    return pd.DataFrame({"query_id": q_ids[qi], "record_id": v_ids[vi], "score": sims[qi, vi]})
 
 
 def embedding_text(records: DataFrame) -> DataFrame:
@@ -517,13 +514,14 @@ def search(
     k: int = MAX_K,
     floor: float | None = None,
     repo: str | None = None,
+    max_tokens: int | None = None,
     **stack,
 ) -> DataFrame:
     """(query_id, rank, record_id, score, matched): fingerprint hits, then BM25 fill, at most three."""
     k = clamp_k(k)
     served = served_records(index, **stack)
     exact = fingerprint_match(queries, index.fingerprints, served, k, repo)
-    lexical = bm25_topk(queries, index.tokens, k, floor, served).withColumn("matched", F.lit("lexical"))
+    lexical = bm25_topk(queries, index.tokens, k, floor, served, max_tokens).withColumn("matched", F.lit("lexical"))
     return _tiers(exact, lexical, k)
 
 
@@ -534,6 +532,7 @@ def retrieve_fused(
     floor: float | None = None,
     dense_floor: float = DENSE_FLOOR,
     repo: str | None = None,
+    max_tokens: int | None = None,
     **stack,
 ) -> DataFrame:
     """Fingerprint hits, then BM25 and dense fused by reciprocal rank; ``queries`` has (query_id, text, vec).
@@ -543,7 +542,7 @@ def retrieve_fused(
     k = clamp_k(k)
     served = served_records(index, **stack)
     exact = fingerprint_match(queries, index.fingerprints, served, k, repo)
-    lexical = bm25_topk(queries, index.tokens, FUSION_CANDIDATES, floor, served)
+    lexical = bm25_topk(queries, index.tokens, FUSION_CANDIDATES, floor, served, max_tokens)
     with_vec = queries.where(F.coalesce(F.size("vec"), F.lit(0)) > 0)
     has_vec = with_vec.select("query_id")
     dense = dense_match(with_vec, index.vectors, dense_floor, FUSION_CANDIDATES, served)

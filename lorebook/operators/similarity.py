@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import is_small
+from ..session import cut_lineage
 from .records import _strings
 
 # Shingle size, containment threshold and the generic task words that never
@@ -36,45 +36,48 @@ def authored_prose() -> Column:
     )
 
 
-def containment_join(drafts: DataFrame, refs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(draft_id, ref_id, shared, total, containment, flagged, matches) per overlapping pair.
+def containment_join(drafts: DataFrame, refs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, with_matches: bool = False) -> DataFrame:
+    """(draft_id, ref_id, shared, total, containment [, matches]) of every pair at the threshold.
 
-    ``drafts`` is (draft_id, text), ``refs`` is (ref_id, text).  A side whose shingles pass the
-    size check is broadcast, so the other side is scanned in place and its texts never move.
-    With two large sides, identical texts are compared once and fanned out at the end, so a
-    large group of copies costs one comparison per side.  Pairs without a shared shingle have
-    containment 0 and are not emitted.
+    ``drafts`` is (draft_id, text), ``refs`` is (ref_id, text).  Identical texts are compared once
+    and fanned out at the end.  A draft needs ``need`` of its shingles in a reference, so of
+    those that occur in any reference, the rarest m - need + 1 must hold one of them: only these
+    meet the references, and a passage that most texts share does not.  Candidates are verified
+    on the whole sets.  ``matches`` is the sorted list of shared shingles.
     """
-    left, right = _shingled(drafts, "draft_id", n), _shingled(refs, "ref_id", n).drop("total")
-    if is_small(right):
-        return _rated(left.join(F.broadcast(right), "shingle"), ["draft_id", "ref_id"], threshold)
-    if is_small(left):
-        return _rated(right.join(F.broadcast(left), "shingle"), ["draft_id", "ref_id"], threshold)
     keyed = lambda df, i, key: df.select(i, F.sha2("text", 256).alias(key), "text")
     d, r = keyed(drafts, "draft_id", "draft_key"), keyed(refs, "ref_id", "ref_key")
-    once = lambda df, key: df.groupBy(key).agg(F.first("text").alias("text"))
-    left, right = _shingled(once(d, "draft_key"), "draft_key", n), _shingled(once(r, "ref_key"), "ref_key", n).drop("total")
-    pairs = _rated(left.join(right, "shingle"), ["draft_key", "ref_key"], threshold)
-    return (
-        pairs.join(d.select("draft_id", "draft_key"), "draft_key").join(r.select("ref_id", "ref_key"), "ref_key").drop("draft_key", "ref_key")
-        .select("draft_id", "ref_id", "shared", "total", "containment", "flagged", "matches")
+    left, right = (cut_lineage(_shingled(df, key, n)) for df, key in ((d, "draft_key"), (r, "ref_key")))
+    each = lambda df, key: df.select(key, F.explode("s").alias("h"))
+    frequency = cut_lineage(each(right, "ref_key").groupBy("h").agg(F.count("*").alias("df")))
+    size = F.size("s")
+    # The least count that reaches the threshold by the comparison made at the end.
+    least = F.ceil(size * F.lit(threshold))
+    need = F.greatest(F.when((least - 1) / size >= threshold, least - 1).when(least / size >= threshold, least).otherwise(least + 1), F.lit(1))
+    known = (
+        left.select("draft_key", need.alias("need"), F.explode("s").alias("h")).join(frequency, "h")
+        .groupBy("draft_key").agg(F.max("need").alias("need"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("found"))
+        .where(F.size("found") >= F.col("need"))
     )
+    rarest = known.select("draft_key", F.explode(F.slice("found", F.lit(1), (F.size("found") - F.col("need") + 1).cast("int"))).alias("f"))
+    pairs = rarest.select("draft_key", F.col("f.h").alias("h")).join(each(right, "ref_key"), "h").select("draft_key", "ref_key").distinct()
+    sets = pairs.join(left.withColumnRenamed("s", "a"), "draft_key").join(right.withColumnRenamed("s", "b"), "ref_key")
+    rated = sets.select("draft_key", "ref_key", F.size(F.array_intersect("a", "b")).cast("bigint").alias("shared"), F.size("a").alias("total"))
+    flagged = rated.withColumn("containment", F.col("shared") / F.col("total")).where(F.col("containment") >= threshold)
+    out = flagged.join(d.select("draft_id", "draft_key"), "draft_key").join(r.select("ref_id", "ref_key"), "ref_key")
+    columns = ["draft_id", "ref_id", "shared", "total", "containment"]
+    if not with_matches:
+        return out.select(*columns)
+    words = lambda df, i, name: df.select(i, X.words("text").alias("w")).select(i, X.shingles("w", n).alias(name))
+    texts = out.select(*columns).join(words(drafts, "draft_id", "a"), "draft_id").join(words(refs, "ref_id", "b"), "ref_id")
+    return texts.select(*columns, F.array_sort(F.array_intersect("a", "b")).alias("matches"))
 
 
 def _shingled(df: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, total, shingle): distinct shingles of each text."""
-    s = df.select(key, X.words("text").alias("w")).select(key, X.shingles("w", n).alias("s"))
-    # The outer form keeps the optimizer from testing the array before computing it, which would
-    # evaluate the whole expression again; the null of an empty text matches nothing.
-    return s.select(key, F.size("s").alias("total"), F.explode_outer("s").alias("shingle"))
-
-
-def _rated(joined: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    pairs = joined.groupBy(*keys).agg(
-        F.count("*").alias("shared"), F.max("total").alias("total"), F.array_sort(F.collect_list("shingle")).alias("matches")
-    )
-    rated = pairs.withColumn("containment", F.col("shared") / F.col("total"))
-    return rated.select(*keys, "shared", "total", "containment", (F.col("containment") >= threshold).alias("flagged"), "matches")
+    """(key, s): the distinct shingles of each different text, as hashes."""
+    once = df.groupBy(key).agg(F.first("text").alias("text"))
+    # No filter on the result: it would be moved below and evaluate the expressions once more.
+    return once.select(key, X.words("text").alias("w")).select(key, F.transform(X.shingles("w", n), lambda x: F.xxhash64(x)).alias("s"))
 
 
 def distinctive_terms(c) -> Column:

@@ -80,9 +80,8 @@ def corpus_quality(s, d):
 def containment_join(s, d):
     drafts = table(s, d, "documents").select(X.record_id("doc_id").alias("draft_id"), "text")
     refs = table(s, d, "benchmark").select(F.col("item_id").alias("ref_id"), "text")
-    return SM.containment_join(drafts, refs).select(
-        "draft_id", "ref_id", "shared", _n("total"), F.round("containment", 6).alias("containment"), "flagged",
-        F.element_at("matches", 1).alias("first_match"),
+    return SM.containment_join(drafts, refs, with_matches=True).select(
+        "draft_id", "ref_id", "shared", _n("total"), F.round("containment", 6).alias("containment"), F.element_at("matches", 1).alias("first_match"),
     )
 
 
@@ -585,7 +584,7 @@ SQL = {
       rw AS (SELECT item_id AS ref_id, {Q.words('text')} AS w FROM benchmark), rs AS (SELECT ref_id, unnest({_shingles('w')}) AS sh FROM rw),
       d AS (SELECT draft_id, len(s) AS total, unnest(s) AS sh FROM ds)
       SELECT draft_id, ref_id, count(*) AS shared, max(total) AS total, round(count(*) / max(total), 6) AS containment,
-        count(*) / max(total) >= 0.15 AS flagged, min(sh) AS first_match FROM d JOIN rs USING (sh) GROUP BY draft_id, ref_id""",
+        min(sh) AS first_match FROM d JOIN rs USING (sh) GROUP BY draft_id, ref_id HAVING count(*) / max(total) >= 0.15""",
     "leak_and_relevance_guard": f"""WITH {Q.CORPUS}, tasks AS (SELECT 'doc/' || doc_id AS task_id, {Q.rid('doc_id')} AS record_id, text AS prompt FROM documents
         UNION ALL SELECT conv_id || '/' || turn, {Q.rid('conv_id')}, text FROM conversations),
       fw AS (SELECT record_id, {Q.words("concat_ws(' ', summary, array_to_string(signatures, chr(10)))")} AS w, {_distinctive("concat_ws(' ', title, summary, array_to_string(signatures, ' '), source)")} AS terms FROM corpus),

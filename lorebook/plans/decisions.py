@@ -24,7 +24,7 @@ def _truth(s, d):
     """Each benchmark passage with the document that contains most of it (lowest id on ties)."""
     items = table(s, d, "benchmark").select(F.col("item_id").alias("draft_id"), "text")
     docs = table(s, d, "documents").select(X.record_id("doc_id").alias("ref_id"), "text")
-    pairs = SM.containment_join(items, docs, threshold=TRUTH).where("flagged")
+    pairs = SM.containment_join(items, docs, threshold=TRUTH)
     best = pairs.groupBy("draft_id").agg(F.min(F.struct((-F.col("shared")).alias("n"), F.col("ref_id").alias("r"))).alias("b"))
     return best.select(F.col("draft_id").alias("case_id"), F.col("b.r").alias("record_id"))
 

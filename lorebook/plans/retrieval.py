@@ -54,7 +54,7 @@ def stack_filter(s, d):
 
 
 def lexical_match(s, d):
-    return R.lexical_match(benchmark_queries(s, d), document_tokens(s, d))
+    return R.lexical_match(benchmark_queries(s, d), document_tokens(s, d)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def bm25_topk(s, d):
@@ -210,9 +210,8 @@ def gate_ctes(queries: str = "queries") -> str:
   gfirst AS (SELECT query_id, token, min(pos) AS pos FROM gtok GROUP BY ALL)"""
 
 
-def gate_scan(stop: str, cap: int = 24) -> str:
-    return f"""gscan AS (SELECT query_id, token, pos, array_to_string({Q.terms('token')}, ' ') AS phrase FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n FROM gfirst WHERE token NOT IN ({stop})) WHERE n <= {cap}),
+def gate_scan(stop: str) -> str:
+    return f"""gscan AS (SELECT query_id, token, pos, array_to_string({Q.terms('token')}, ' ') AS phrase FROM gfirst WHERE token NOT IN ({stop})),
   gphr AS (SELECT * FROM gscan WHERE phrase <> '')"""
 
 
@@ -234,8 +233,9 @@ SQL = {
       SELECT a.id || '#' || line AS query_id, row_number() OVER (PARTITION BY a.id, line ORDER BY b.id) AS rank, b.id AS record_id, 1000e0 AS score
       FROM fp a JOIN best b USING (fp) WHERE {Q.utrim('text')} <> ''""",
     "stack_filter": f"WITH {Q.CORPUS} SELECT record_id, kind, status FROM corpus WHERE lang = 'fr' AND source = 'src4'",
-    "lexical_match": f"""WITH {Q.CORPUS}, {Q.BENCHMARK_QUERIES}, {Q.document_tokens()}, {Q.phrase_ctes('queries')}
-      SELECT query_id, record_id, count(*) AS matched, CAST(sum(qtf * tf) AS BIGINT) AS tf FROM hits JOIN qphr USING (phrase) GROUP BY ALL""",
+    "lexical_match": f"""WITH {Q.CORPUS}, {Q.BENCHMARK_QUERIES}, {Q.document_tokens()}, {Q.phrase_ctes('queries')},
+      m AS (SELECT query_id, record_id, count(*) AS matched, CAST(sum(qtf * tf) AS BIGINT) AS tf FROM hits JOIN qphr USING (phrase) GROUP BY ALL)
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, tf DESC, record_id) AS rank FROM m) WHERE rank <= 10""",
     "bm25_topk": f"""WITH {Q.CORPUS}, {Q.BENCHMARK_QUERIES}, {Q.document_tokens()}, {Q.bm25_ctes('queries')}
       SELECT query_id, rank, record_id, round(score, 6) AS score FROM top""",
     "search": f"""WITH {Q.CORPUS}, {DRAFTS}, {Q.document_tokens(VALID)}, {Q.fp_ctes('queries')}, {Q.bm25_ctes('queries')},

@@ -86,7 +86,7 @@ def document_tokens(flag: str = "true") -> str:
     return f"""toks AS (SELECT record_id, {terms('body')} AS toks, len({terms('body')}) AS dl, ({flag}) AS allowed FROM corpus)"""
 
 
-def phrase_ctes(queries: str, prefix: str = "", cap: int | None = 24) -> str:
+def phrase_ctes(queries: str, prefix: str = "", cap: int | None = None) -> str:
     """<p>qphr(query_id, phrase, qtf) and <p>hits(phrase, record_id, tf) against ``toks``."""
     sl = f"[1:{cap}]" if cap else ""
     return f"""{prefix}qphr AS (SELECT query_id, phrase, count(*) AS qtf FROM (

@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators.ingest import typed
 from ..operators.retrieval import CorpusIndex, token_index
-from ..session import spread
 
 
 # Tables with heavy per-row work, and the key that spreads them.
 TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id", "embeddings": "vec_id"}
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The driver's tables come as one row group each; this gives the texts among them their
+    parallelism.  A table of as many partitions as there are cores is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df

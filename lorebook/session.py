@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Rows of the (narrow) small side of a join that may be broadcast.
-BROADCAST_ROWS = 500_000
+# Spark's own switch: remove a query's shuffle files when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str = "lorebook", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,10 +31,13 @@ def build_session(app: str = "lorebook", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; one of our own only where none is set."""
+    """The shared folder of the session.  Where none is set, a local session gets one of its own;
+    on a cluster the executors would not share it, so the setting is required."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="lorebook-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
@@ -42,24 +45,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so that losing an executor never replays its inputs."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than one row beyond that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after checking the row count; otherwise leave a shuffle join,
-    where adaptive execution splits skewed partitions."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a table that arrives in fewer partitions than there are cores (one small file,
-    one row group) its parallelism; larger tables are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """Write ``df`` to the shared folder and read it back, so that losing an executor never replays
+    its inputs.  The files' sizes in bytes then decide which side of a join is broadcast.  The
+    shuffle files behind it have served their purpose and are removed at once."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

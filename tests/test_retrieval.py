@@ -51,9 +51,9 @@ def test_bm25_against_brute_force(spark):
             if s:
                 scores[d] = round(s, 9)
         want[qid] = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:3]
-    for prune in (10**9, 0):
+    for ranked in (R.bm25_topk(q, tokens, 3, -1.0), R.top_ranked(R.bm25_scores(q, tokens), 3)):
         got = {}
-        for r in R.bm25_topk(q, tokens, 3, -1.0, prune_pairs=prune).orderBy("query_id", "rank").collect():
+        for r in ranked.orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append((r["record_id"], r["score"]))
         for qid in want:
             assert [i for i, _ in got.get(qid, [])] == [i for i, _ in want[qid]]
@@ -64,12 +64,14 @@ def test_pruning_changes_nothing_on_documents(spark, sf):
     q = T.corpus(spark, sf).select(F.col("id").alias("query_id"), F.col("body").alias("text"))
     tokens = T.document_tokens(spark, sf)
     plain = {tuple(r) for r in R.bm25_topk(q, tokens, 3).collect()}
-    assert plain == {tuple(r) for r in R.bm25_topk(q, tokens, 3, prune_pairs=0).collect()}
+    assert plain == {tuple(r) for r in R.top_ranked(R.apply_floor(R.bm25_scores(q, tokens), None), 3).collect()}
 
 
-def test_repeated_tokens_weigh_twice_and_query_stops_at_24(spark):
+def test_repeated_tokens_weigh_twice_and_a_limit_is_a_choice(spark):
     q = spark.createDataFrame([("q", "a a b " + " ".join(f"t{i}" for i in range(30)))], "query_id string, text string")
     got = {r["phrase"]: r["qtf"] for r in R.query_phrases(q).collect()}
+    assert got["a"] == 2 and sum(got.values()) == 33 and "t29" in got
+    got = {r["phrase"]: r["qtf"] for r in R.query_phrases(q, max_tokens=24).collect()}
     assert got["a"] == 2 and sum(got.values()) == 24 and "t20" in got and "t21" not in got
 
 
@@ -99,7 +101,7 @@ def test_dense_paths_agree_with_brute_force(spark):
         best = sorted((-s, f"v{j:02d}") for j, s in enumerate(sims) if s >= 0.3)[:4]
         want |= {(f"v{i:02d}", n, r) for n, (_, r) in enumerate(best, 1)}
     resident = {tuple(r)[:3] for r in R.dense_match(queries, corpus, 0.3, 4).collect()}
-    blocked = {tuple(r)[:3] for r in R.dense_match(queries, corpus, 0.3, 4, block_rows=16, resident_queries=0).collect()}
+    blocked = {tuple(r)[:3] for r in R.dense_match(queries, corpus, 0.3, 4, pass_bytes=700, tile_cells=64).collect()}
     assert resident == want == blocked
 
 
@@ -156,9 +158,44 @@ def test_containment_against_brute_force(spark):
         for j, r in enumerate(texts[:8]):
             both = grams(d) & grams(r)
             if both:
-                want[(i, j)] = (len(both), sorted(both))
-    got = {(r["draft_id"], r["ref_id"]): (r["shared"], r["matches"]) for r in S.containment_join(drafts, refs, 2).collect()}
-    assert got == want
+                want[(i, j)] = (len(both), sorted(both), len(both) / len(grams(d)))
+    for threshold in (0.15, 0.5, 0.8, 1.0):
+        got = {(r["draft_id"], r["ref_id"]): (r["shared"], r["matches"], r["containment"]) for r in S.containment_join(drafts, refs, 2, threshold, True).collect()}
+        assert got == {k: v for k, v in want.items() if v[2] >= threshold}
+
+
+def test_containment_with_a_passage_in_a_third_of_both_sides(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    own = lambda side, i: " ".join(f"{side}{i}x{k}" for k in range(120))
+    text = lambda side, i: f"{own(side, i)} {passage}" if i % 3 == 0 else own(side, i)
+    drafts = [(i, text("d", i)) for i in range(300)] + [(900, own("r", 4))]
+    refs = [(i, text("r", i)) for i in range(300)]
+    got = S.containment_join(spark.createDataFrame(drafts, "draft_id int, text string"), spark.createDataFrame(refs, "ref_id int, text string")).collect()
+    assert [(r.draft_id, r.ref_id, r.containment) for r in got] == [(900, 4, 1.0)]
+
+
+def test_the_last_word_of_a_long_query_counts(spark):
+    docs = [("a", "needle"), *[(f"d{i}", f"hay{i} straw") for i in range(40)]]
+    tokens = R.token_index(spark.createDataFrame(docs, "record_id string, body string"), ["body"])
+    text = " ".join(f"word{i}" for i in range(1999)) + " needle"
+    q = spark.createDataFrame([("q", text)], "query_id string, text string")
+    assert [r.record_id for r in R.bm25_topk(q, tokens, 3).collect()] == ["a"]
+    assert R.bm25_topk(q, tokens, 3, max_tokens=24).count() == 0
+    assert [r.phrase for r in R.doc_freq(tokens, R.query_phrases(q)).collect()] == ["needle"]
+    assert [tuple(r)[:4] for r in R.lexical_match(q, tokens).collect()] == [("q", 1, "a", 1)]
+
+
+def test_wide_vectors_and_ties(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 1536))
+    x[20:40] = x[0]
+    corpus = spark.createDataFrame([(f"r{i:02d}", v.tolist()) for i, v in enumerate(x)], "record_id string, vec array<float>").repartition(3)
+    queries = spark.createDataFrame([("q0", x[0].tolist()), ("q1", x[50].tolist()), ("q2", [1.0, 2.0])], "query_id string, vec array<float>")
+    for size in (1 << 30, 13_000):
+        got = [(r.query_id, r["rank"], r.record_id) for r in R.dense_match(queries, corpus, 0.5, 4, pass_bytes=size).orderBy("query_id", "rank").collect()]
+        assert got == [("q0", 1, "r00"), ("q0", 2, "r20"), ("q0", 3, "r21"), ("q0", 4, "r22"), ("q1", 1, "r50")]
 
 
 def test_novelty(spark):
