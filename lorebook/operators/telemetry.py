@@ -145,7 +145,9 @@ def attribute_helpfulness(verdicts: DataFrame, served: DataFrame) -> DataFrame:
     )
 
 
-def metrics_digest(decisions: DataFrame, now: str, hours: float = 24.0) -> DataFrame:
+def metrics_digest(
+    decisions: DataFrame, now: str, hours: float = 24.0, top_ids: int = DIGEST_TOP, samples_shown: int = DIGEST_SAMPLES, chars: int = SAMPLE_CHARS
+) -> DataFrame:
     """(section, key, queries, served, rate) of the decisions in the last hours.
 
     Sections: push, trigger (per trigger), search, top (most served ids: count in ``served``),
@@ -173,16 +175,16 @@ def metrics_digest(decisions: DataFrame, now: str, hours: float = 24.0) -> DataF
     top = (
         served.select(F.explode("served").alias("s")).where(F.coalesce("s.id", F.lit("")) != "")
         .groupBy(F.col("s.id").alias("key")).agg(F.count("*").alias("served"))
-        .orderBy(F.col("served").desc(), "key").limit(DIGEST_TOP)
+        .orderBy(F.col("served").desc(), "key").limit(top_ids)
         .select(F.lit("top").alias("section"), "key", F.lit(None).cast("bigint").alias("queries"), "served")
     )
     out = by_channel.unionByName(by_trigger).unionByName(top)
     if "query_text" in decisions.columns:
         samples = (
             served.where(F.coalesce("query_text", F.lit("")) != "")
-            .orderBy("_t", "query_text").limit(DIGEST_SAMPLES)
+            .orderBy("_t", "query_text").limit(samples_shown)
             .select(
-                F.lit("sample").alias("section"), F.substring("query_text", 1, SAMPLE_CHARS).alias("key"),
+                F.lit("sample").alias("section"), F.substring("query_text", 1, chars).alias("key"),
                 F.lit(None).cast("bigint").alias("queries"), F.lit(None).cast("bigint").alias("served"),
             )
         )

@@ -130,7 +130,7 @@ def cohorts(s, d):
 
 
 def metrics_digest(s, d):
-    return T.metrics_digest(decisions(s, d), NOW_TS, 24.0 * 7).where(F.col("section") != "sample")
+    return T.metrics_digest(decisions(s, d), NOW_TS, 24.0 * 7)
 
 
 def served_in_session(s, d):
@@ -159,22 +159,37 @@ def cohort_join(s, d):
     return M.cohort_join(decisions(s, d), cohorts(s, d)).select("event_id", "team")
 
 
+def _all_outcomes(s, d, exposures):
+    """Outcomes without a name, and such as name an exposure: by the exposure's first digits some
+    once, some twice, some with another record, and some of an exposure that does not exist."""
+    at = lambda i: F.substring("exposure_id", i, 1)
+    e = exposures.select("exposure_id", "session", "record_id", "ts")
+    times = F.when(at(1) == "4", 2).otherwise(1)
+    claims = e.where(at(1) <= "5").withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(
+        "ts", "exposure_id", F.col("session").alias("session_hash"), F.when(at(1) == "5", "exp-none").otherwise(F.col("record_id")).alias("record_id"),
+        (at(2) < "8").alias("used"), (at(2) < "4").alias("confirmed"), (at(2) > "d").alias("incorrect"),
+    )
+    unknown = e.where(at(1) == "6").select(
+        "ts", F.concat(F.lit("x"), F.substring("exposure_id", 2, 31)).alias("exposure_id"), F.col("session").alias("session_hash"), "record_id",
+        F.lit(True).alias("used"), F.lit(False).alias("confirmed"), F.lit(False).alias("incorrect"),
+    )
+    return outcomes(s, d).unionByName(claims).unionByName(unknown)
+
+
 def attribute_outcomes(s, d):
-    return M.attribute_outcomes(_exposures(s, d), outcomes(s, d))[0].groupBy("exposure_id", "record_id", "arm", "team").agg(F.count("*").alias("n"))
+    e = _exposures(s, d)
+    keys = ["exposure_id", "record_id", "arm", "team", "used", "confirmed", "incorrect"]
+    return M.attribute_outcomes(e, _all_outcomes(s, d, e))[0].groupBy(*keys).agg(F.count("*").alias("n"))
 
 
 def outcome_errors(s, d):
-    return M.attribute_outcomes(_exposures(s, d), outcomes(s, d))[1].groupBy("session", "record_id", "problem").agg(F.count("*").alias("n"))
+    e = _exposures(s, d)
+    return M.attribute_outcomes(e, _all_outcomes(s, d, e))[1].groupBy("session", "record_id", "problem").agg(F.count("*").alias("n"))
 
 
 def pilot_metrics(s, d):
-    out = M.pilot_metrics(decisions(s, d), _unambiguous(s, d), cohorts(s, d), BASELINE, TREATMENT)
-    return sinks.pilot_rows(out)
-
-
-def _unambiguous(s, d):
-    """Outcomes of one kind, so that ties in time cannot change sums."""
-    return outcomes(s, d).where(F.col("used") & F.col("confirmed") & ~F.col("incorrect"))
+    every = _all_outcomes(s, d, _exposures(s, d))
+    return sinks.pilot_rows(M.pilot_metrics(decisions(s, d), every, cohorts(s, d), BASELINE, TREATMENT))
 
 
 def parse_decisions(s, d):
@@ -232,7 +247,7 @@ _COUNTS = """count(*) FILTER (action = 'retrieve') AS retrieved, count(*) FILTER
 TENANTS = "tenants AS (SELECT c_custkey AS token_id, c_name AS label, c_acctbal < 0 AS revoked, CAST(c_nationkey AS BIGINT) AS daily_quota FROM customer)"
 DEC = f"""{EV}, dec AS (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, ts AS t, CASE event_type WHEN 'view' THEN 'search' ELSE 'push' END AS channel,
     CASE event_type WHEN 'click' THEN 'prompt' WHEN 'error' THEN 'error' END AS trigger, {_HASH('user_id')} AS session, {_HASH('k')} AS query_hash, {Q.rid('k')} AS record_id,
-    CASE WHEN value > 40 THEN 2 WHEN value > 10 THEN 1 ELSE 0 END AS cnt, user_id FROM ev WHERE event_type IN ('view', 'click', 'error'))"""
+    CASE WHEN value > 40 THEN 2 WHEN value > 10 THEN 1 ELSE 0 END AS cnt, user_id, props FROM ev WHERE event_type IN ('view', 'click', 'error'))"""
 ARMS = """arms AS (SELECT *, CASE WHEN date_trunc('second', t) >= '2024-01-03' AND date_trunc('second', t) < '2024-01-14' THEN 'baseline'
     WHEN date_trunc('second', t) >= '2024-01-14' AND date_trunc('second', t) < '2024-01-27 12:00:00' THEN 'treatment' END AS arm,
     coalesce('team' || c_nationkey, 'unattributed') AS team FROM dec LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 20) ON c_custkey = user_id)"""
@@ -252,10 +267,18 @@ OUT = f"""outc AS (SELECT strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, {_HASH('user
 _EXPO_ARMS = _expo("arms", " WHERE arm IS NOT NULL")
 
 
-def _zip(where: str = "") -> str:
-    return f"""slots AS (SELECT *, row_number() OVER (PARTITION BY session, record_id ORDER BY ts, exposure_id) AS slot FROM expo),
-  ro AS (SELECT *, row_number() OVER (PARTITION BY session, record_id ORDER BY ts) AS slot FROM outc {where}),
-  zipped AS (SELECT ro.session, ro.record_id, exposure_id, arm, team, used, confirmed, incorrect FROM ro LEFT JOIN slots USING (session, record_id, slot))"""
+# Outcomes that name an exposure, then the others first in, first out over the exposures nobody names.
+_ZIP = """nm AS (SELECT ts, exposure_id AS named, session, CASE WHEN exposure_id[1] = '5' THEN 'exp-none' ELSE record_id END AS record_id,
+      exposure_id[2] < '8' AS used, exposure_id[2] < '4' AS confirmed, exposure_id[2] > 'd' AS incorrect
+    FROM (SELECT *, unnest(range(CASE WHEN exposure_id[1] = '4' THEN 2 ELSE 1 END)) AS again FROM expo) WHERE exposure_id[1] <= '5'
+    UNION ALL SELECT ts, 'x' || exposure_id[2:], session, record_id, true, false, false FROM expo WHERE exposure_id[1] = '6'),
+  nj AS (SELECT nm.*, e.exposure_id, e.arm, e.team, coalesce(e.session = nm.session AND e.record_id = nm.record_id, false) AS ok FROM nm LEFT JOIN expo e ON named = e.exposure_id),
+  nc AS (SELECT *, count(*) OVER (PARTITION BY exposure_id) AS claims FROM nj WHERE ok),
+  slots AS (SELECT *, row_number() OVER (PARTITION BY session, record_id ORDER BY ts, exposure_id) AS slot FROM expo WHERE exposure_id NOT IN (SELECT named FROM nm)),
+  ro AS (SELECT *, row_number() OVER (PARTITION BY session, record_id ORDER BY ts, coalesce(CAST(used AS INT), -1), CAST(confirmed AS INT), CAST(incorrect AS INT)) AS slot FROM outc),
+  zipped AS (SELECT ro.session, ro.record_id, exposure_id, arm, team, used, confirmed, incorrect FROM ro LEFT JOIN slots USING (session, record_id, slot)),
+  matched AS (SELECT session, record_id, exposure_id, arm, team, used, confirmed, incorrect FROM nc WHERE claims = 1
+    UNION ALL SELECT * FROM zipped WHERE exposure_id IS NOT NULL)"""
 
 
 def _w(num, den):
@@ -281,7 +304,7 @@ def _pilot_select() -> str:
     return ", ".join(["scope", "arm", "team", "record_id", *[f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in counts], *cols])
 
 
-PILOT = f"""WITH {DEC}, {ARMS}, {_EXPO_ARMS}, {OUT}, {_zip('WHERE used AND confirmed AND NOT incorrect')},
+PILOT = f"""WITH {DEC}, {ARMS}, {_EXPO_ARMS}, {OUT}, {_ZIP},
   ina AS (SELECT * FROM arms WHERE arm IS NOT NULL),
   pq AS (SELECT arm, team, session, query_hash, count(*) AS decisions, count(*) FILTER (cnt > 0) AS exposed, sum(cnt) AS exposures, count(*) FILTER (trigger = 'error') AS errs,
     greatest(count(*) FILTER (trigger = 'error') - 1, 0) AS rep FROM ina GROUP BY ALL),
@@ -290,7 +313,7 @@ PILOT = f"""WITH {DEC}, {ARMS}, {_EXPO_ARMS}, {OUT}, {_zip('WHERE used AND confi
     FROM pq GROUP BY GROUPING SETS ((arm), (arm, team))),
   rec AS (SELECT 'record' AS scope, arm, team, record_id, NULL::BIGINT AS decisions, NULL::BIGINT AS exposed_decisions, count(*) AS exposures, NULL::BIGINT AS error_decisions, NULL::BIGINT AS repeated_errors
     FROM expo GROUP BY arm, team, record_id),
-  m AS (SELECT * FROM zipped WHERE exposure_id IS NOT NULL),
+  m AS (SELECT * FROM matched),
   js AS (SELECT CASE WHEN grouping(team) = 1 THEN 'aggregate' WHEN grouping(record_id) = 1 THEN 'team' ELSE 'record' END AS scope, arm, coalesce(team, '') AS team, coalesce(record_id, '') AS record_id,
     count(*) FILTER (used IS NOT NULL OR incorrect) AS judged, count(*) FILTER (used) AS used, count(*) FILTER (confirmed) AS confirmed, count(*) FILTER (incorrect) AS incorrect
     FROM m GROUP BY GROUPING SETS ((arm), (arm, team), (arm, team, record_id))),
@@ -323,7 +346,8 @@ SQL = {
     "metrics_digest": f"""WITH {DEC}, r AS (SELECT * FROM dec WHERE date_trunc('second', t) >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 7 DAY),
       p AS (SELECT channel AS section, '' AS key, count(*) AS queries, count(*) FILTER (cnt > 0) AS served FROM r GROUP BY channel
         UNION ALL SELECT 'trigger', trigger, count(*), count(*) FILTER (cnt > 0) FROM r WHERE channel = 'push' GROUP BY trigger
-        UNION ALL SELECT * FROM (SELECT 'top', record_id, NULL, CAST(sum(cnt) AS BIGINT) FROM r WHERE channel = 'push' AND cnt > 0 GROUP BY record_id ORDER BY 4 DESC, 2 LIMIT 5))
+        UNION ALL SELECT * FROM (SELECT 'top', record_id, NULL, CAST(sum(cnt) AS BIGINT) FROM r WHERE channel = 'push' AND cnt > 0 GROUP BY record_id ORDER BY 4 DESC, 2 LIMIT 5)
+        UNION ALL SELECT * FROM (SELECT 'sample', substr(props, 1, 80), NULL, NULL FROM r WHERE channel = 'push' AND cnt > 0 AND props <> '' ORDER BY date_trunc('second', t), props LIMIT 3))
       SELECT section, key, queries, served, CASE WHEN queries IS NOT NULL THEN round(served / queries * 100, 1) END AS rate FROM p""",
     "served_in_session": f"WITH {DEC} SELECT DISTINCT session, record_id FROM dec WHERE cnt > 0",
     "attribute_helpfulness": f"""WITH {DEC} SELECT DISTINCT {_HASH('user_id')} AS session, {Q.rid('k')} AS record_id FROM ev WHERE event_type = 'purchase' AND value > 10
@@ -331,8 +355,10 @@ SQL = {
     "exposure_ids": f"WITH {DEC}, {_expo('dec')} SELECT exposure_id, record_id, ts, channel, coalesce(trigger, '') AS trigger, ordinal FROM expo",
     "arm_filter": f"WITH {DEC}, {ARMS} SELECT event_id, arm FROM arms WHERE arm IS NOT NULL",
     "cohort_join": f"WITH {DEC}, {ARMS} SELECT event_id, team FROM arms",
-    "attribute_outcomes": f"WITH {DEC}, {ARMS}, {_EXPO_ARMS}, {OUT}, {_zip()} SELECT exposure_id, record_id, arm, team, count(*) AS n FROM zipped WHERE exposure_id IS NOT NULL GROUP BY ALL",
-    "outcome_errors": f"WITH {DEC}, {ARMS}, {_EXPO_ARMS}, {OUT}, {_zip()} SELECT session, record_id, 'no_unclaimed_exposure' AS problem, count(*) AS n FROM zipped WHERE exposure_id IS NULL GROUP BY ALL",
+    "attribute_outcomes": f"WITH {DEC}, {ARMS}, {_EXPO_ARMS}, {OUT}, {_ZIP} SELECT exposure_id, record_id, arm, team, used, confirmed, incorrect, count(*) AS n FROM matched GROUP BY ALL",
+    "outcome_errors": f"""WITH {DEC}, {ARMS}, {_EXPO_ARMS}, {OUT}, {_ZIP}, er AS (SELECT session, record_id, 'no_unclaimed_exposure' AS problem FROM zipped WHERE exposure_id IS NULL
+        UNION ALL SELECT session, record_id, 'unknown_or_mismatched_exposure' FROM nj WHERE NOT ok UNION ALL SELECT session, record_id, 'duplicate_outcome' FROM nc WHERE claims > 1)
+      SELECT session, record_id, problem, count(*) AS n FROM er GROUP BY ALL""",
     "pilot_metrics": PILOT,
     "parse_decisions": f"""WITH {DEC} SELECT CAST(event_id AS VARCHAR) AS event_id, CASE event_id % 11 WHEN 1 THEN 'timestamp' WHEN 2 THEN 'channel' WHEN 3 THEN 'query_hash' WHEN 4 THEN 'query_text_forbidden'
       WHEN 5 THEN 'count' WHEN 6 THEN 'trigger' WHEN 7 THEN 'unknown_key' WHEN 8 THEN 'malformed' ELSE '' END AS problem FROM dec""",
