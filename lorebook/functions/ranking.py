@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def bucketed_row_number(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, out: str
@@ -33,16 +35,25 @@ def bucketed_row_number(
     )
 
 
-def distributed_row_number(df: DataFrame, keys: Sequence[str], order_col: str, out: str, splits: int = 200) -> DataFrame:
-    """``row_number`` by a unique numeric (or time) column over ``keys``, or over the whole table.
+def sorted_places(df: DataFrame, order_col: str) -> DataFrame:
+    """``df`` sorted along a unique column by ranges, with ``_part`` (the range) and ``_place`` inside it.
 
-    Buckets are quantile ranges of the order column.  The split points are a bounded list
-    taken once, so every pass over the data sees the same buckets.
+    The sorted rows are stored, so the places can't move.  Ranges are as many as the sort has
+    partitions, so they grow with the data and no task sees more than one of them.
     """
-    shares = [i / splits for i in range(1, splits)]
-    points = df.agg(F.percentile_approx(order_col, F.array(*[F.lit(s) for s in shares])).alias("p")).first()["p"] or []
-    bounds = F.array(*[F.lit(p) for p in sorted(set(points))])
-    bucket = F.size(F.filter(bounds, lambda b: b <= F.col(order_col))) if points else F.lit(0)
-    if not keys:
-        return bucketed_row_number(df.withColumn("_k", F.lit(0)), ["_k"], [order_col], bucket, out).drop("_k")
-    return bucketed_row_number(df, keys, [order_col], bucket, out)
+    placed = cut_lineage(df.orderBy(order_col).withColumn("_m", F.monotonically_increasing_id()))
+    return placed.select(*df.columns, F.shiftrightunsigned("_m", 33).alias("_part"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("_place"))
+
+
+def range_offsets(placed: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """(_part, <name> ...): the aggregates of all ranges before; one row per range."""
+    totals = placed.groupBy("_part").agg(*[c.alias(name) for name, c in sums.items()])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("_part", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(name) for name in sums])
+
+
+def distributed_row_number(df: DataFrame, order_col: str, out: str) -> DataFrame:
+    """``row_number`` by a unique column over the whole table."""
+    placed = sorted_places(df, order_col)
+    offsets = range_offsets(placed, {"_off": F.count("*")})
+    return placed.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_off") + F.col("_place") + 1).alias(out))

@@ -83,8 +83,9 @@ def usage_eval(labels: DataFrame, verdicts: DataFrame) -> DataFrame:
 
     ``labels`` is (name, served[], used[]); ``verdicts`` is (name, record_id, used).
     """
-    served = labels.select("name", F.explode(F.array_distinct("served")).alias("record_id"), F.col("used").alias("gold_list"))
-    gold = served.select("name", "record_id", F.coalesce(F.array_contains("gold_list", F.col("record_id")), F.lit(False)).alias("gold"))
+    cards = lambda c: labels.select("name", F.explode(c).alias("record_id")).distinct()
+    wanted = cards("used").withColumn("gold", F.lit(True))
+    gold = cards("served").join(wanted, ["name", "record_id"], "left").withColumn("gold", F.coalesce("gold", F.lit(False)))
     judged = verdicts.where("used").select("name", "record_id", F.lit(True).alias("judged")).distinct()
     j = F.coalesce("judged", F.lit(False))
     g = F.col("gold")

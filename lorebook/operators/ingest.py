@@ -291,7 +291,7 @@ def assign_ids(drafts: DataFrame, id_sources: Sequence[DataFrame], order_col: st
     for more in id_sources[1:]:
         numbers = numbers.unionByName(more.select(X.record_number("id").alias("n")))
     start = numbers.agg(F.greatest(F.coalesce(F.max("n"), F.lit(0)), F.lit(max([0, *floors]))).alias("n")).scalar()
-    ranked = distributed_row_number(drafts, [], order_col, "_n")
+    ranked = distributed_row_number(drafts, order_col, "_n")
     return ranked.withColumn("_start", start).withColumn("id", X.record_id(F.col("_start") + F.col("_n"))).drop("_n", "_start")
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import distributed_row_number
+from ..functions.ranking import range_offsets, sorted_places
 from ..functions.stats import count_if, ratio
 from .advisories import defects_column, is_blocking_flag, staleness
 from .records import route_records
@@ -304,19 +304,14 @@ def guarded_batch(decisions: DataFrame, g: Guardrails, order_col: str = "seq") -
     return processed, summary
 
 
-def _running_sums(df: DataFrame, order_col: str, sums: dict[str, str], width: int = 10_000) -> DataFrame:
-    """Exclusive running sums along a unique order, by bucket offsets plus sums inside buckets."""
-    numbered = distributed_row_number(df, [], order_col, "_rn").withColumn("_b", (F.col("_rn") / width).cast("bigint"))
-    totals = numbered.groupBy("_b").agg(*[F.sum(c).alias(f"_t{c}") for c in sums])
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per bucket of ``width`` rows.
-    offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t{c}").over(before), F.lit(0)).alias(f"_o{c}") for c in sums])
-    inside = Window.partitionBy("_b").orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
-    local = numbered.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_l{c}") for c in sums])
-    out = local.join(offsets, "_b")
-    for c, name in sums.items():
-        out = out.withColumn(name, F.col(f"_l{c}") + F.col(f"_o{c}"))
-    return out.drop("_b", "_rn", *[f"_l{c}" for c in sums], *[f"_o{c}" for c in sums])
+def _running_sums(df: DataFrame, order_col: str, sums: dict[str, str]) -> DataFrame:
+    """Exclusive running sums along a unique order: sums inside sorted ranges plus those of the ranges before."""
+    placed = sorted_places(df, order_col)
+    offsets = range_offsets(placed, {f"_o{c}": F.sum(c) for c in sums})
+    inside = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_l{c}") for c in sums])
+    out = local.join(F.broadcast(offsets), "_part")
+    return out.select(*df.columns, *[(F.col(f"_l{c}") + F.col(f"_o{c}")).alias(name) for c, name in sums.items()])
 
 
 def hold_cooldown(records: DataFrame, actions: DataFrame, now: str, days: int = HOLD_DAYS) -> tuple[DataFrame, DataFrame]:

@@ -290,9 +290,12 @@ def pack_tables(
 
 
 def pack_drift(manifest: DataFrame, actual: DataFrame) -> DataFrame:
-    """(path, sha256, side): ledger entries on one side only; 'missing' from or 'unexpected' in the pack."""
-    want, got = manifest.select("path", "sha256"), actual.select("path", "sha256")
-    return (
-        want.exceptAll(got).withColumn("side", F.lit("missing"))
-        .unionByName(got.exceptAll(want).withColumn("side", F.lit("unexpected")))
+    """(path, sha256, side): ledger entries on one side only; 'missing' from or 'unexpected' in the pack.
+
+    One signed count per entry; what is left over of it is repeated as often.
+    """
+    signed = lambda df, n: df.select("path", "sha256", F.lit(n).alias("n"))
+    left = signed(manifest, 1).unionByName(signed(actual, -1)).groupBy("path", "sha256").agg(F.sum("n").alias("n")).where("n <> 0")
+    return left.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("n")))).select(
+        "path", "sha256", F.when(F.col("n") > 0, "missing").otherwise("unexpected").alias("side")
     )

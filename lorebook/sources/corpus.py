@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 from ..functions import text as X
 from ..operators.records import RE_PATH, violations_column
 from ..schemas import RECORD
+from ..session import cut_lineage
 
 FENCE = "---\n"
 
@@ -101,13 +102,15 @@ def read_corpus(
     serve      unknown keys are ignored as well
     rejects is (path, reason, critical); an unsupported schema version is critical.
     """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    return parse_corpus(files.select(F.col("_metadata.file_path").alias("path"), "value"), mode, now)
+
+
+def parse_corpus(files: DataFrame, mode: str = "strict", now: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`read_corpus` over a table of (path, value) files."""
     if mode not in ("strict", "resilient", "serve"):
         raise ValueError(f"unknown corpus mode {mode!r}")
-    files = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
-        .select("value", F.regexp_extract(F.col("_metadata.file_path"), r"(experience/[0-9]{4}/[^/]+)$", 1).alias("path"))
-        .where(F.col("path").rlike(RE_PATH))
-    )
+    files = files.select("value", F.regexp_extract("path", r"(experience/[0-9]{4}/[^/]+)$", 1).alias("path")).where(F.col("path").rlike(RE_PATH))
     src = F.col("value")
     rest = F.substring(src, len(FENCE) + 1, 1 << 30)
     end = F.instr(rest, "\n---\n")
@@ -143,7 +146,7 @@ def read_corpus(
         ),
     )
     # Front matter is decoded by Python workers: decode once, reuse for both outputs.
-    checked = checked.persist()
+    checked = cut_lineage(checked)
     critical = F.array_contains("rules", "schema_version") & F.coalesce("fence_error", "yaml_error").isNull()
     rejects = checked.where(F.col("reason").isNotNull()).select("path", "reason", critical.alias("critical"))
     good = checked.where(F.col("reason").isNull()).select(*columns)

@@ -26,10 +26,17 @@ BACKGROUND_LICENSES = (
     "MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "ISC", "Python-2.0", "Unlicense", "CC-BY-4.0",
 )
 
+# Most folders that a manifest may name.
+MANIFEST_PATHS = 10_000
+
 
 def read_osv(spark: SparkSession, path: str, ecosystem: str) -> DataFrame:
     """Advisories of one ecosystem: withdrawn, id-less and foreign ones dropped, foreign blocks removed."""
-    rows = spark.read.schema(OSV).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
+    return live_advisories(spark.read.schema(OSV).option("multiLine", "true").option("recursiveFileLookup", "true").json(path), ecosystem)
+
+
+def live_advisories(rows: DataFrame, ecosystem: str) -> DataFrame:
+    """:func:`read_osv` over a table of advisories."""
     mine = F.filter("affected", lambda a: F.substring_index(a["package"]["ecosystem"], ":", 1) == ecosystem)
     return (
         rows.where(X.is_blank("withdrawn") & ~X.is_blank("id"))
@@ -150,8 +157,10 @@ def read_background_corpus(spark: SparkSession, manifest: DataFrame, allowed: Se
     bad = [r["name"] for r in disallowed_sources(manifest, allowed).select("name").limit(20).collect()]
     if bad:
         raise ValueError(f"sources with a disallowed license: {', '.join(bad)}")
-    # A manifest is a short hand-written list of folders.
-    paths = [r["path"] for r in manifest.select("path").distinct().collect()]
+    # A manifest is a short hand-written list of folders; a reader takes paths, not a table of them.
+    paths = [r["path"] for r in manifest.select("path").distinct().limit(MANIFEST_PATHS + 1).collect()]
+    if len(paths) > MANIFEST_PATHS:
+        raise ValueError(f"more than {MANIFEST_PATHS} paths in the manifest")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     return text_files(files)
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..functions import text as X
 from ..functions.stats import count_if
 from ..schemas import QUEUES
 from ..sources.logs import parse_decisions, read_queue
@@ -23,12 +24,21 @@ COOLDOWN_SECONDS = 6 * 3600
 ATTEMPTS = 3
 MIN_SAMPLE, ALERT_SHARE = 5, 0.20
 
+# Micro-batches after which a sink of newest rows is compacted.
+COMPACT_EVERY = 20
+
 CALLS = "call_id BIGINT, token_id BIGINT, tool STRING, ts TIMESTAMP"
 
 
-def _write_batches(df: DataFrame, checkpoint: str, sink: str, mode: str, trigger: dict | None) -> StreamingQuery:
+def _write_batches(
+    df: DataFrame, checkpoint: str, sink: str, mode: str, trigger: dict | None, keys: Sequence[str] = (), every: int = COMPACT_EVERY
+) -> StreamingQuery:
+    """With ``keys``, every so many batches the sink is reduced to the newest row per key."""
+
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        if keys and batch_id and batch_id % every == 0:
+            compact(batch.sparkSession, sink, keys, batch_id)
 
     return (
         df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
@@ -44,6 +54,24 @@ def latest(spark: SparkSession, sink: str, keys: Sequence[str]) -> DataFrame:
     return newest.select(*keys, "r.*")
 
 
+def compact(spark: SparkSession, sink: str, keys: Sequence[str], batch_id: int) -> None:
+    """Put the newest row per key into the folder of ``batch_id`` and drop the folders before it.
+
+    The new rows stand beside the old ones until they are complete, and a folder that is left over
+    by a crash only holds rows that a later one replaces, so a replay ends in the same table.
+    """
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(sink).getFileSystem(spark._jsc.hadoopConfiguration())
+    latest(spark, sink, keys).write.mode("overwrite").parquet(f"{sink}/_compacted")
+    fs.delete(path(f"{sink}/batch={batch_id}"), True)
+    fs.rename(path(f"{sink}/_compacted"), path(f"{sink}/batch={batch_id}"))
+    for status in fs.listStatus(path(sink)):
+        name = status.getPath().getName()
+        if name.startswith("batch=") and int(name[6:]) < batch_id:
+            fs.delete(status.getPath(), True)
+
+
 def stream_decisions(spark: SparkSession, source: str, checkpoint: str, sink: str, trigger: dict | None = None) -> StreamingQuery:
     """Raw JSON lines -> ``<sink>/valid`` and ``<sink>/rejects`` (with the broken rule)."""
     lines = spark.readStream.text(source).select(F.col("_metadata.file_path").alias("file"), "value")
@@ -61,7 +89,7 @@ def stream_decisions(spark: SparkSession, source: str, checkpoint: str, sink: st
 
 
 def stream_usage_counters(events: DataFrame, checkpoint: str, sink: str, trigger: dict | None = None) -> StreamingQuery:
-    """Running usage per record from a stream of (record_id, action, day)."""
+    """Running usage per record from a stream of (record_id, action, day); state is one row per record."""
     action = F.col("action")
     counts = events.where(action.isin("retrieve", "push", "confirm")).groupBy("record_id").agg(
         count_if(action == "retrieve").alias("retrieved"),
@@ -69,7 +97,7 @@ def stream_usage_counters(events: DataFrame, checkpoint: str, sink: str, trigger
         count_if(action == "confirm").alias("confirmed_helpful"),
         F.max(F.when(action == "retrieve", F.col("day"))).alias("last_hit"),
     )
-    return _write_batches(counts, checkpoint, sink, "update", trigger)
+    return _write_batches(counts, checkpoint, sink, "update", trigger, ["record_id"])
 
 
 def stream_tenant_calls(calls: DataFrame, checkpoint: str, sink: str, trigger: dict | None = None) -> StreamingQuery:
@@ -77,7 +105,7 @@ def stream_tenant_calls(calls: DataFrame, checkpoint: str, sink: str, trigger: d
     day = F.window("ts", "1 day")
     counts = calls.withWatermark("ts", "1 day").groupBy("token_id", "tool", day).agg(F.count("*").alias("calls"))
     out = counts.select("token_id", "tool", F.col("window.start").cast("date").alias("day"), "calls")
-    return _write_batches(out, checkpoint, sink, "update", trigger)
+    return _write_batches(out, checkpoint, sink, "update", trigger, ["token_id", "tool", "day"])
 
 
 def stream_digest(decisions: DataFrame, checkpoint: str, sink: str, trigger: dict | None = None) -> StreamingQuery:
@@ -89,7 +117,7 @@ def stream_digest(decisions: DataFrame, checkpoint: str, sink: str, trigger: dic
         .agg(F.count("*").alias("queries"), count_if(hit).alias("served"))
     )
     out = sums.select(F.col("window.end").alias("until"), "channel", "trigger", "queries", "served")
-    return _write_batches(out, checkpoint, sink, "update", trigger)
+    return _write_batches(out, checkpoint, sink, "update", trigger, ["until", "channel", "trigger"])
 
 
 def stream_quota(calls: DataFrame, quotas: DataFrame, checkpoint: str, sink: str, trigger: dict | None = None) -> StreamingQuery:
@@ -186,20 +214,24 @@ def stream_queue_drain(
     process: Callable[[DataFrame], DataFrame],
     kind: str = "transcript",
     trigger: dict | None = None,
+    batch_key: Sequence[str] = (),
 ) -> StreamingQuery:
-    """Drain queue files once: ``<sink>/processed``, ``<sink>/dead`` and ``<sink>/alerts``.
+    """Drain queue files once: ``<sink>/processed``, ``<sink>/dead``, ``<sink>/queued`` and ``<sink>/alerts``.
 
     ``analyze`` turns entries into (file_name, error, <candidate columns>), one or more rows per
     file with an error text when unprocessable; a file is tried three times and then
-    dead-lettered.  ``process`` turns the good rows into output rows.  Unreadable entries go to
-    the dead letters untried.  A batch alerts when more than 20% of at least five entries fail.
+    dead-lettered.  Of equal candidates (by ``batch_key``) of a batch, that of the first file is
+    kept; ``process`` turns these into output rows.  Unreadable and blank entries are not
+    tried and stay queued.  A batch alerts when more than 20% of at least five entries fail.
     """
     assert kind in QUEUES
     entries = read_queue(spark, source, kind, streaming=True)
 
     def drain(batch: DataFrame, batch_id: int) -> None:
         at = lambda name: f"{sink}/{name}/batch={batch_id}"
-        todo = batch.where("readable")
+        usable = F.col("readable") & (~X.is_blank("transcript") if kind == "transcript" else F.lit(True))
+        usable = F.coalesce(usable, F.lit(False))
+        todo = batch.where(usable)
         good = None
         for attempt in range(ATTEMPTS):
             # Durable between attempts: a later attempt must not re-run an earlier one.
@@ -212,11 +244,14 @@ def stream_queue_drain(
             todo = todo.join(result.where(failed).select("file_name").distinct(), "file_name", "left_semi")
             if todo.isEmpty():
                 break
+        if batch_key:
+            rest = [c for c in good.columns if c not in batch_key]
+            good = good.groupBy(*batch_key).agg(F.min_by(F.struct(*rest), F.col("file_name")).alias("r")).select(*batch_key, "r.*").select(*good.columns)
         process(good).write.mode("overwrite").parquet(at("processed"))
-        unreadable = batch.where("NOT readable").select("file_name", F.lit("unreadable").alias("reason"))
-        dead = todo.select("file_name", F.lit("unprocessable").alias("reason")).unionByName(unreadable)
-        dead.write.mode("overwrite").parquet(at("dead"))
-        tried = batch.where("readable").agg(F.countDistinct("file_name").alias("attempted")).scalar()
+        todo.select("file_name", F.lit("unprocessable").alias("reason")).write.mode("overwrite").parquet(at("dead"))
+        left = batch.where(~usable).select("file_name", F.when(F.col("readable"), "blank").otherwise("unreadable").alias("reason"))
+        left.write.mode("overwrite").parquet(at("queued"))
+        tried = batch.where(usable).agg(F.countDistinct("file_name").alias("attempted")).scalar()
         counts = spark.read.parquet(at("dead")).agg(count_if(F.col("reason") == "unprocessable").alias("failed"), tried.alias("attempted"))
         alert = (F.col("attempted") >= MIN_SAMPLE) & (F.col("failed") / F.col("attempted") > ALERT_SHARE)
         counts.withColumn("alert", alert).write.mode("overwrite").parquet(at("alerts"))

@@ -79,5 +79,5 @@ def test_row_numbers_match_plain_order_with_a_hot_key(spark):
     for key in {k for k, _ in rows}:
         for n, o in enumerate(sorted(o for k, o in rows if k == key), 1):
             assert got[(key, o)] == n
-    flat = {r["o"]: r["n"] for r in distributed_row_number(df, [], "o", "n").collect()}
+    flat = {r["o"]: r["n"] for r in distributed_row_number(df, "o", "n").collect()}
     assert flat == {i: i + 1 for i in range(3000)}

@@ -150,7 +150,7 @@ def test_pack_manifest_and_pilot_csv(spark, sf, tmp_path):
     assert included.count() + excluded.count() == T.records(spark, sf).count()
     from lorebook.plans import logs as LP
 
-    rep = LP.M.pilot_metrics(LP.decisions(spark, sf), LP._unambiguous(spark, sf), LP.cohorts(spark, sf), LP.BASELINE, LP.TREATMENT)
+    rep = LP.M.pilot_metrics(LP.decisions(spark, sf), LP.outcomes(spark, sf), LP.cohorts(spark, sf), LP.BASELINE, LP.TREATMENT)
     sinks.write_pilot_csv(rep, str(tmp_path / "csv"))
     back = spark.read.option("header", "true").csv(str(tmp_path / "csv"))
     assert len(back.columns) == 31 and back.where("scope = 'aggregate'").count() == 2
@@ -161,20 +161,36 @@ def test_queue_drain_dead_letters(spark, tmp_path):
     queue.mkdir()
     for n in range(6):
         (queue / f"{n}.json").write_text(json.dumps({"session_id": f"s{n}", "transcript": "bad" if n < 2 else "fine", "captured_at": "t"}))
+    (queue / "8.json").write_text(json.dumps({"session_id": "s8", "transcript": "  ", "captured_at": "t"}))
     (queue / "9.json").write_text("{not json")
 
     def analyze(df):
         return df.select("file_name", F.when(F.col("transcript") == "bad", "unprocessable").otherwise("").alias("error"), F.col("transcript").alias("title"))
 
-    q = J.stream_queue_drain(spark, str(queue), str(tmp_path / "ck"), str(tmp_path / "out"), analyze, lambda df: df)
+    q = J.stream_queue_drain(spark, str(queue), str(tmp_path / "ck"), str(tmp_path / "out"), analyze, lambda df: df, batch_key=["title"])
     q.awaitTermination()
     read = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
-    assert read("processed").count() == 4
-    assert sorted((r["file_name"], r["reason"]) for r in read("dead").collect()) == [("0.json", "unprocessable"), ("1.json", "unprocessable"), ("9.json", "unreadable")]
+    assert [(r["file_name"], r["title"]) for r in read("processed").collect()] == [("2.json", "fine")]
+    assert sorted((r["file_name"], r["reason"]) for r in read("dead").collect()) == [("0.json", "unprocessable"), ("1.json", "unprocessable")]
+    assert sorted((r["file_name"], r["reason"]) for r in read("queued").collect()) == [("8.json", "blank"), ("9.json", "unreadable")]
     alert = read("alerts").first()
     assert (alert["failed"], alert["attempted"], alert["alert"]) == (2, 6, True)
 
 
+def test_counters_over_many_batches_are_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(J._write_batches, "__defaults__", ((), 3))
+    schema = "record_id string, action string, day date"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for n in range(8):
+        rows = [(f"r{n % 3}", "retrieve", datetime(2024, 1, 1 + n).date()), ("r0", "push", datetime(2024, 1, 1).date())]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    J.stream_usage_counters(stream, str(tmp_path / "ck"), str(tmp_path / "out")).awaitTermination()
+    assert len(list((tmp_path / "out").glob("batch=*"))) <= 3
+    got = {r["record_id"]: (r["retrieved"], r["pushed"]) for r in J.latest(spark, str(tmp_path / "out"), ["record_id"]).collect()}
+    assert got == {"r0": (3, 8), "r1": (3, 0), "r2": (2, 0)}
+
+
 def test_alarm_cooldown_against_loop(spark, tmp_path):
     start = datetime(2024, 1, 1)
     rows = [("c", start + timedelta(hours=h), h in (9,)) for h in range(0, 24)]
