@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "content", "logs", "decisions", "streams")
+MODULES = ("retrieval", "content", "logs", "decisions", "streams", "files")
 
 
 def _merged(name: str) -> dict:

@@ -133,5 +133,9 @@ def read_queue(spark: SparkSession, path: str, kind: str, streaming: bool = Fals
 
 def read_run_manifests(spark: SparkSession, path: str) -> DataFrame:
     """Run manifests, one row per action: (run_id, stage, anomaly, id, outcome, ...)."""
-    rows = spark.read.schema(RUN_MANIFEST).option("multiLine", "true").json(path)
+    return manifest_actions(spark.read.schema(RUN_MANIFEST).option("multiLine", "true").json(path))
+
+
+def manifest_actions(rows: DataFrame) -> DataFrame:
+    """:func:`read_run_manifests` over a table of manifests."""
     return rows.select("run_id", "stage", "anomaly", F.inline_outer("actions"))
