@@ -96,7 +96,7 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     for column in ("source", "lang"):
         levels = broadcast_bounded(_levels(narrow, column))
         placed = placed.join(levels, placed[column].eqNullSafe(levels[column])).drop(levels[column])
-    length = F.least(F.lit((1 << BITS) - 1), F.floor(8 * F.log2(F.col("size").cast("double"))).cast("int"))
+    length = F.least(F.lit((1 << BITS) - 1), F.floor(8 * F.log2(F.col("size").cast("double")) + 1e-9).cast("int"))
     placed = placed.withColumn("_length_level", length)
     curve = hilbert_index([F.col("_source_level"), F.col("_lang_level"), F.col("_length_level")])
     placed = placed.select("doc_id", "size", "text_crc32", curve.alias("curve"))
@@ -120,3 +120,41 @@ def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
 
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(documents(spark, sf_dir))
+
+
+def _turn(i: int) -> str:
+    """One dimension's part of a step, on top of the columns x0, x1, x2 and q."""
+    first = f"CASE WHEN x{i} & q <> 0 THEN xor(x0, q - 1) ELSE xor(x0, xor(x0, x{i}) & (q - 1)) END AS x0"
+    own = f"CASE WHEN x{i} & q <> 0 THEN x{i} ELSE xor(x{i}, xor(x0, x{i}) & (q - 1)) END AS x{i}"
+    rest = [f"x{k}" for k in range(1, 3) if k != i]
+    return ", ".join(["doc_id, text_crc32, size, q", first, *([own] if i else []), *rest])
+
+
+_FLIP = "xor(" * 6 + "y2 >> 1" + "".join(f", y2 >> {s})" for s in range(2, BITS))
+_INDEX = " + ".join(f"(((z{i} >> {b}) & 1) << {b * 3 + 2 - i})" for b in range(BITS) for i in range(3))
+# 3988292384 is the reversed polynomial of CRC-32; its table follows from the rule.
+SQL = f"""
+WITH RECURSIVE bits AS (
+  SELECT n, n AS v, 0 AS k FROM (SELECT unnest(range(256)) AS n)
+  UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (SELECT list(v ORDER BY n) AS t FROM bits WHERE k = 8),
+n AS (SELECT doc_id, lang, source, strlen(coalesce(text, '')) + {ROW_BYTES} AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, lang, source, size, xor(list_reduce(
+    list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2))::BIGINT),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM n, crc),
+ls AS (SELECT source, CAST(floor(coalesce(sum(k) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 256 / sum(k) OVER ()) AS BIGINT) AS l
+  FROM (SELECT source, count(*) AS k FROM n GROUP BY source)),
+ll AS (SELECT lang, CAST(floor(coalesce(sum(k) OVER (ORDER BY lang NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 256 / sum(k) OVER ()) AS BIGINT) AS l
+  FROM (SELECT lang, count(*) AS k FROM n GROUP BY lang)),
+step AS (
+  SELECT doc_id, text_crc32, size, CAST({1 << (BITS - 1)} AS BIGINT) AS q, ls.l AS x0, ll.l AS x1, CAST(least(255, floor(8 * log2(size) + 1e-9)) AS BIGINT) AS x2
+  FROM c JOIN ls ON c.source IS NOT DISTINCT FROM ls.source JOIN ll ON c.lang IS NOT DISTINCT FROM ll.lang
+  UNION ALL SELECT doc_id, text_crc32, size, q >> 1, x0, x1, x2
+  FROM (SELECT {_turn(2)} FROM (SELECT {_turn(1)} FROM (SELECT {_turn(0)} FROM step WHERE q > 1)))
+), gray AS (SELECT doc_id, text_crc32, size, x0 AS y0, xor(x1, x0) AS y1, xor(x2, xor(x1, x0)) AS y2 FROM step WHERE q = 1),
+flipped AS (SELECT doc_id, text_crc32, size, xor(y0, f) AS z0, xor(y1, f) AS z1, xor(y2, f) AS z2 FROM (SELECT *, {_FLIP} AS f FROM gray)),
+curves AS (SELECT doc_id, text_crc32, size, {_INDEX} AS curve FROM flipped),
+ordered AS (SELECT *, row_number() OVER (ORDER BY curve, doc_id NULLS FIRST, text_crc32, size) - 1 AS r, count(*) OVER () AS n FROM curves),
+placed AS (SELECT *, CAST(floor(r * {SHARDS} / n) AS BIGINT) AS s FROM ordered)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(s AS INT) AS shard, CAST(r - ceil(s * n / {SHARDS}) AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, curve FROM placed
+"""

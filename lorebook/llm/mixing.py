@@ -151,3 +151,31 @@ def repeat_by_copies(docs: DataFrame, mix: DataFrame) -> DataFrame:
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+SQL = f"""
+WITH n AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM n GROUP BY source),
+weighed AS (SELECT *, {list(WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS w FROM per),
+levelled AS (SELECT *, row_number() OVER o AS r,
+    (sum(source_size) OVER () * {SHARE_PERCENT} / 100e0 - coalesce(sum({MOST_COPIES} * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / (sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM weighed WINDOW o AS (ORDER BY {MOST_COPIES} * source_size / w, source NULLS LAST)),
+freed AS (SELECT *, arg_min(level, r) FILTER (level * w <= {MOST_COPIES} * source_size) OVER () AS free FROM levelled),
+targets AS (SELECT source, source_size, n_docs,
+    CASE WHEN free IS NULL OR free * w >= {MOST_COPIES} * source_size THEN CAST({MOST_COPIES} * source_size AS DOUBLE) ELSE free * w END AS target FROM freed),
+tilted AS (SELECT n.doc_id, n.size, t.*, CAST(floor(size * {UNIT} / (size + ceil(source_size / n_docs))) AS BIGINT) AS tilt
+  FROM n JOIN targets t ON n.source IS NOT DISTINCT FROM t.source),
+means AS (SELECT source, CAST(sum(tilt * size) AS DOUBLE) / any_value(source_size) AS mean_tilt FROM tilted WHERE size > 0 GROUP BY source),
+expected AS (SELECT t.*, greatest(0e0, least({MOST_COPIES}e0, target / source_size
+      + least(target / source_size, {MOST_COPIES} - target / source_size) * greatest(-1e0, least(1e0, tilt / mean_tilt - 1)))) AS e,
+    (CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || size || ':7'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5e0) / 4503599627370496e0 AS u
+  FROM tilted t JOIN means m ON t.source IS NOT DISTINCT FROM m.source WHERE size > 0),
+odds AS (SELECT *, floor(e) AS certain, CASE WHEN e - floor(e) > 0 THEN (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) END AS q FROM expected),
+sums AS (SELECT *, target - sum(certain * size) OVER (PARTITION BY source) AS remaining,
+    sum(CASE WHEN q IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q NULLS FIRST, coalesce(doc_id, -9223372036854775808), size
+      RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM odds),
+copies AS (SELECT doc_id, size, source_size, target, CAST(certain + CASE WHEN q IS NOT NULL AND upto - size / 2 <= remaining THEN 1 ELSE 0 END AS INT) AS copies FROM sums
+  UNION ALL SELECT doc_id, size, source_size, target, 0 FROM tilted WHERE size = 0)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM copies
+"""

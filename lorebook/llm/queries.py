@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import revisits
+from . import hilbert, mixing, revisits
 from .bpe import op10_bpe_round_trip
 from .hilbert import op4_hilbert_shards
 from .licenses import op9_license_notices
@@ -31,4 +31,8 @@ QUERIES = {
         op10_bpe_round_trip,
     )
 } | {"pipeline": corpus_pipeline.run}
-SQL: dict[str, str] = {"op8_revisit_resolution": revisits.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+SQL: dict[str, str] = {
+    "op1_pareto_mix": mixing.SQL,
+    "op4_hilbert_shards": hilbert.SQL,
+    "op8_revisit_resolution": revisits.SQL,
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
