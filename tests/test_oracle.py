@@ -1,20 +1,11 @@
-"""Registered queries against their SQL twins at the smallest scale.
-
-The quick set runs by default; LOREBOOK_ORACLE=all runs every query.
-"""
+"""Every registered query against its SQL twin at the smallest scale."""
 
 from __future__ import annotations
 
-import os
-
 import pytest
 from oracle import compare, duck
 
-from lorebook.plans import content, decisions, logs, registry, retrieval, streams
-
-SLOW = {"push_gate", "corroborate", "discriminative_tokens", "prepare_drafts", "assess_novelty", "retrieve_fused", "leak_and_relevance_guard", "containment_join", "retrieval_eval", "stream_quota"}
-EVERY = os.environ.get("LOREBOOK_ORACLE") == "all"
-NAMES = [n for m in (retrieval, content, logs, decisions, streams) for n in m.QUERIES if EVERY or n not in SLOW]
+from lorebook.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +13,7 @@ def con(sf):
     return duck(sf)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", list(registry.queries()))
 def test_matches_sql(spark, con, sf, name):
     message, _, _ = compare(spark, con, name, registry.queries()[name], registry.oracle_sql().get(name), sf)
     assert message is None
