@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import documents
+from .shared import documents, few_rows
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # Pre-tokens of at most this many bytes are remembered, this many at a time per worker.
@@ -192,7 +192,7 @@ def bpe_round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFr
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, sha = codec(path), hashlib.sha256
-        for b in batches:
+        for b in few_rows(batches):
             ids = [coder.encode(t.as_py() or "") for t in b.column(1)]
             columns = [
                 b.column(0),

@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import documents
+from .shared import documents, few_rows
 
 # Phrases that are counted wherever their words stand one after another.
 PHRASES = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
@@ -148,7 +148,7 @@ def license_scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES
     """
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             found = pa.Table.from_pylist([scan(t.as_py(), notices) for t in b.column(1)], schema=_RESULT)
             rows = found.combine_chunks().to_batches()
             columns = rows[0].columns if rows else [pa.array([], f.type) for f in _RESULT]

@@ -1,18 +1,20 @@
 """Intermediate tables in the shared folder, global ranks, and connected components.
 
-All of it is DataFrame code.  Tables written here survive lost executors: they are Parquet
+All of it is DataFrame code.  Tables that are ``stored`` survive lost executors: they are Parquet
 files below ``spark.checkpoint.dir``, which every executor and the driver can read.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage as stored
+
+__all__ = ["broadcast_bounded", "connected_components", "documents", "few_rows", "ranked", "stored", "word_count"]
 
 # Largest table (rows of a few narrow columns) that may be sent to every executor.
 BROADCAST_ROWS = 100_000
@@ -21,14 +23,6 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 SPACE = r"[\x20\x09-\x0D]"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage is cut, nothing is recomputed."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -39,6 +33,13 @@ def broadcast_bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to so many rows, so that what a task makes of one batch stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def word_count(text: str) -> Column:
     """Number of words of a whole text (null: 0), without building an array of them."""
     marked = F.regexp_replace(F.col(text), f"{SPACE}*+{NOT_SPACE}++", "x")

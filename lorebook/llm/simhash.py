@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import connected_components, documents, stored
+from .shared import connected_components, documents, few_rows, stored
 
 RADIUS = 2
 SHINGLE = 3
@@ -43,7 +43,7 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in few_rows(batches):
         ids, texts = b.column(0), b.column(1)
         yield pa.record_batch([ids, pa.array((simhash(t.as_py()) for t in texts), pa.int64())], ["doc_id", "fp"])
 

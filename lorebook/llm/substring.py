@@ -6,12 +6,13 @@
 2. Extension, both ways.  An anchor is extended to the ``WINDOW - SEED_WORDS`` words on either
    side.  Occurrences with the same extension form a class; all but its first document repeat
    the whole extension, with one row each and no pairs.  Where an anchor has several classes, the
-   first document of each is compared at every offset: windows with equal words are grouped
-   by (anchor, offset, hash), again without pairs.
+   first document of each is compared window by window: a window belongs to the anchor that its
+   own words give it, and windows with equal words are grouped, again without pairs.
 3. Overlapping matches are merged into maximal repeats, whose words are removed.
 
-Documents with the same word sequence are one document for 1 and 2.  Texts are shuffled once, and
-those that take part in a repeat a second time.
+Texts are shuffled once, and those that take part in a repeat a second time.  What an anchor or a
+window is joined with is stored first, so that the join has plain exchanges on both sides and
+adaptive execution can split a passage that many documents share.
 """
 
 from __future__ import annotations
@@ -22,17 +23,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, stored
+from .shared import documents, few_rows, stored
 
 WINDOW = 50
-SEED_WORDS = 16
+SEED_WORDS = 10
 
 _BASE = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2^64
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _EMPTY = hashlib.sha256(b"").hexdigest()
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -62,12 +63,18 @@ class Rolling:
         return x ^ (x >> np.uint64(32))
 
 
-def winnow(hashes: np.ndarray, run: int) -> np.ndarray:
-    """Places of the leftmost least hash of every ``run`` consecutive hashes."""
+def anchors_of_runs(hashes: np.ndarray, run: int) -> np.ndarray:
+    """Place of the leftmost least hash of every ``run`` consecutive hashes: the anchor that a window
+    of these k-grams has by its own words, whatever surrounds it."""
     if len(hashes) < run:
         return np.zeros(0, np.int64)
     least = np.lib.stride_tricks.sliding_window_view(hashes, run).argmin(1)
-    return np.unique(least + np.arange(len(least)))
+    return least + np.arange(len(least))
+
+
+def winnow(hashes: np.ndarray, run: int) -> np.ndarray:
+    """All anchors."""
+    return np.unique(anchors_of_runs(hashes, run))
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -78,15 +85,13 @@ def _seeds(window: int, k: int) -> Callable:
     reach = window - k
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts, sequence, sha, places, anchors, contexts = [], [], [], [], [], []
+        for b in few_rows(batches):
+            counts, sha, places, anchors, contexts = [], [], [], [], []
             for t in b.column(2):
                 words = _words(t.as_py())
                 n = len(words)
-                joined = b" ".join(words)
                 counts.append(n)
-                sequence.append(xxhash.xxh3_128_digest(joined))
-                sha.append(hashlib.sha256(joined).hexdigest())
+                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 if n < window:
                     p = h = c = np.zeros(0, np.int64)
                 else:
@@ -102,41 +107,40 @@ def _seeds(window: int, k: int) -> Callable:
                 contexts.append(c)
             yield pa.record_batch(
                 [
-                    b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(sequence, pa.binary()), pa.array(sha, pa.string()),
+                    b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(sha, pa.string()),
                     pa.array(places, pa.list_(pa.int32())), pa.array(anchors, pa.list_(pa.int64())), pa.array(contexts, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "tk", "n_words", "sequence", "sha", "places", "anchors", "contexts"],
+                ["doc_id", "tk", "n_words", "sha", "places", "anchors", "contexts"],
             )
 
     return seeds
 
 
 def _windows(window: int, k: int) -> Callable:
-    """All windows around the anchors that have several extensions, with the text for the last step."""
+    """The windows whose own anchor has several extensions, with the text for the last step."""
     reach = window - k
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            anchor, offset, hashes = [], [], []
+        for b in few_rows(batches):
+            anchors, starts, hashes = [], [], []
             for t, places in zip(b.column(2), b.column(4), strict=True):
-                found = places.as_py() or []
-                if not found:
-                    anchor.append([]), offset.append([]), hashes.append([])
-                    continue
-                words = _words(t.as_py())
-                p = np.repeat(np.fromiter((x["place"] for x in found), np.int64), reach + 1)
-                a = np.repeat(np.fromiter((x["anchor"] for x in found), np.int64), reach + 1)
-                j = np.tile(np.arange(reach + 1), len(found))
-                ok = (p >= j) & (p - j + window <= len(words))
-                start = (p - j)[ok]
-                anchor.append(a[ok])
-                offset.append(start.astype(np.int32))
-                # The offset is part of the key: a window holds the anchor at one place only.
-                hashes.append((Rolling(words).runs(start, start + window) + j[ok].astype(np.uint64)).view(np.int64))
+                if places.is_valid:
+                    words = _words(t.as_py())
+                    r, at = Rolling(words), np.arange(len(words) - k + 1)
+                    grams = r.runs(at, at + k)
+                    own = anchors_of_runs(grams, reach + 1)
+                    start = np.flatnonzero(np.isin(own, places.values.to_numpy()))
+                    anchor = grams[own[start]].view(np.int64)
+                    hashed = r.runs(start, start + window).view(np.int64)
+                else:
+                    anchor = start = hashed = np.zeros(0, np.int64)
+                anchors.append(anchor)
+                starts.append(start.astype(np.int32))
+                hashes.append(hashed)
             yield pa.record_batch(
                 [
                     b.column(0), b.column(1), b.column(2), b.column(3),
-                    pa.array(anchor, pa.list_(pa.int64())), pa.array(offset, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())),
+                    pa.array(anchors, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())),
                 ],
                 ["doc_id", "tk", "text", "whole", "anchor", "start", "hash"],
             )
@@ -149,7 +153,7 @@ def _cut(window: int, k: int) -> Callable:
     reach = window - k
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             removed, sha, kept = [], [], []
             for t, whole, starts in zip(b.column(2), b.column(3), b.column(4), strict=True):
                 words = _words(t.as_py())
@@ -171,10 +175,6 @@ def _cut(window: int, k: int) -> Callable:
     return cut
 
 
-def _keys(left: DataFrame, right: DataFrame) -> Column:
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["tk"] == right["tk"])
-
-
 def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = SEED_WORDS, with_text: bool = False) -> DataFrame:
     """(doc_id, tk, n_words, n_removed, kept_sha256 [, kept]) for every row of ``docs`` (doc_id, text).
 
@@ -189,23 +189,21 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = SEED_WORDS
     seeds = stored(
         keyed.mapInArrow(
             _seeds(window, k),
-            "doc_id bigint, tk bigint, n_words bigint, sequence binary, sha string, places array<int>, anchors array<bigint>, contexts array<bigint>",
+            "doc_id bigint, tk bigint, n_words bigint, sha string, places array<int>, anchors array<bigint>, contexts array<bigint>",
         )
     )
-    firsts = seeds.where(F.col("n_words") >= window).groupBy("sequence").agg(F.min("doc_id").alias("first_id"))
-    ranked = seeds.join(firsts, "sequence", "left").withColumn("copy", F.coalesce(F.col("first_id") < F.col("doc_id"), F.lit(False)))
-    base = stored(ranked.select("doc_id", "tk", "n_words", "sha", "copy", "places", "anchors", "contexts"))
     at = (
-        base.where("not copy and doc_id is not null and n_words >= %d" % window)
+        seeds.where(F.col("doc_id").isNotNull() & (F.size("places") > 0))
         .select("doc_id", "tk", F.explode(F.arrays_zip("places", "anchors", "contexts")).alias("s"))
         .select("doc_id", "tk", F.col("s.places").alias("place"), F.col("s.anchors").alias("anchor"), F.col("s.contexts").alias("context"))
     )
-    shared = (
-        at.groupBy("anchor").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").select("anchor")
-    )
-    hits = stored(at.join(shared, "anchor"))
+    shared = stored(at.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor"))
+    # Documents of equal words are repeats as a whole: the first stands for them from here on.
+    first = seeds.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("_first"))
+    copies = stored(seeds.join(first, "sha").where(F.col("_first") < F.col("doc_id")).select("doc_id", "tk").distinct())
+    hits = stored(at.join(shared, "anchor").join(copies, ["doc_id", "tk"], "left_anti"))
     classes = stored(hits.groupBy("anchor", "context").agg(F.min("doc_id").alias("first_id")))
-    several = classes.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor")
+    several = stored(classes.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor"))
     whole = (
         hits.join(classes, ["anchor", "context"]).where(F.col("first_id") < F.col("doc_id"))
         .groupBy("doc_id", "tk").agg(F.collect_list("place").alias("whole"))
@@ -213,7 +211,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = SEED_WORDS
     open_ = (
         hits.join(classes, ["anchor", "context"]).where(F.col("first_id") == F.col("doc_id"))
         .join(several, "anchor", "left_semi")
-        .groupBy("doc_id", "tk").agg(F.collect_list(F.struct("place", "anchor")).alias("open"))
+        .groupBy("doc_id", "tk").agg(F.collect_list("place").alias("open"))
     )
     needed = whole.join(open_, ["doc_id", "tk"], "full")
     parts = stored(
@@ -223,7 +221,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = SEED_WORDS
     each = parts.select("doc_id", "tk", F.explode(F.arrays_zip("anchor", "start", "hash")).alias("w")).select(
         "doc_id", "tk", F.col("w.anchor").alias("anchor"), F.col("w.start").alias("start"), F.col("w.hash").alias("hash")
     )
-    least = each.groupBy("anchor", "hash").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi")
+    least = stored(each.groupBy("anchor", "hash").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").drop("_hi"))
     found = (
         each.join(least, ["anchor", "hash"]).where(F.col("_lo") < F.col("doc_id"))
         .groupBy("doc_id", "tk").agg(F.collect_list("start").alias("starts"))
@@ -238,32 +236,27 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = SEED_WORDS
         changed = changed.drop("kept")
     changed = changed.dropDuplicates(["doc_id", "tk"]) if with_text else changed.distinct()
     c = changed.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "n_removed", "kept_sha256", *["kept"] * with_text)
-    own = base.select("doc_id", "tk", "n_words", "sha", "copy")
+    own = seeds.select("doc_id", "tk", "n_words", "sha")
+    nothing = [F.lit("").alias("kept")] * with_text
+    gone = copies.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.lit(None).cast("long").alias("n_removed"), F.lit(_EMPTY).alias("kept_sha256"), *nothing)
+    c = c.union(gone).withColumn("_changed", F.lit(True))
     out = own.join(c, (own["doc_id"] == c["_id"]) & (own["tk"] == c["_tk"]), "left")
-    gone = F.col("copy")
-    columns = [
-        "doc_id", "tk", "n_words",
-        F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, F.lit(_EMPTY)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-    ]
-    if with_text:
-        columns.append(F.when(gone, F.lit("")).otherwise(F.col("kept")).alias("kept"))
-    return out.select(*columns)
+    removed = F.when(F.col("_changed"), F.coalesce("n_removed", "n_words")).otherwise(0).cast("long")
+    return out.select("doc_id", "tk", "n_words", removed.alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *["kept"] * with_text)
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = SEED_WORDS) -> DataFrame:
     """``docs`` without repeated passages and with n_chars to match; documents of which nothing
     is left are dropped, those without repeats stay as they are."""
-    tk = F.xxhash64(F.coalesce("text", F.lit("")))
-    cut = repeated_passages(docs, window, k, with_text=True).where("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("n_removed").alias("_gone"), F.col("n_words").alias("_all"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_tk"])
-    d = docs.withColumn("_own", tk)
-    joined = d.join(cut, (d["doc_id"] == cut["_id"]) & (d["_own"] == cut["_tk"]), "left").where(F.coalesce(F.col("_gone") < F.col("_all"), F.lit(True)))
-    out = {c: docs_c for c in docs.columns for docs_c in [d[c]]}
-    out["text"] = F.coalesce("_kept", d["text"])
+    cut = repeated_passages(docs, window, k, with_text=True).where("n_removed > 0").dropDuplicates(["doc_id", "tk"])
+    same = (docs["doc_id"] == cut["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == cut["tk"])
+    some_left = F.coalesce(cut["n_removed"] < cut["n_words"], F.lit(True))
+    out = {c: docs[c] for c in docs.columns}
+    out["text"] = F.coalesce(cut["kept"], docs["text"])
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("_kept").isNull(), d["n_chars"]).otherwise(F.length("_kept").cast("long")).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*[c.alias(name) for name, c in out.items()])
+        length = F.length(cut["kept"]).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(cut["kept"].isNull(), docs["n_chars"]).otherwise(length)
+    return docs.join(cut, same, "left").where(some_left).select(*[c.alias(name) for name, c in out.items()])
 
 
 def op7_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:

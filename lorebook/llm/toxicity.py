@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, few_rows
 
 GRAM = 4
 # 4-grams in a window, and bytes of each.
@@ -178,7 +178,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.open()
-        for b in batches:
+        for b in few_rows(batches):
             score = pa.array([model.score(t.as_py()) for t in b.column(2)], pa.float64())
             yield pa.record_batch([b.column(0), b.column(1), score], ["doc_id", "held_out", "score"])
 
@@ -191,7 +191,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.open()
-        for b in batches:
+        for b in few_rows(batches):
             texts = b.column(b.schema.get_field_index("text"))
             yield b.filter(pa.array([model.score(t.as_py()) < 0.5 for t in texts], pa.bool_()))
 
