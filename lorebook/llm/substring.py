@@ -199,8 +199,10 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = SEED_WORDS
     )
     shared = stored(at.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor"))
     # Documents of equal words are repeats as a whole: the first stands for them from here on.
-    first = seeds.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("_first"))
-    copies = stored(seeds.join(first, "sha").where(F.col("_first") < F.col("doc_id")).select("doc_id", "tk").distinct())
+    first = stored(
+        seeds.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last")
+    )
+    copies = stored(seeds.select("doc_id", "tk", "sha").join(first, "sha").where(F.col("_first") < F.col("doc_id")).select("doc_id", "tk").distinct())
     hits = stored(at.join(shared, "anchor").join(copies, ["doc_id", "tk"], "left_anti"))
     classes = stored(hits.groupBy("anchor", "context").agg(F.min("doc_id").alias("first_id")))
     several = stored(classes.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor"))
