@@ -108,6 +108,11 @@ QUERIES = {
 }
 
 SQL = {
+    "stream_alarm_cooldown": f"""WITH RECURSIVE r AS (SELECT event_type AS condition, ts, value < 1 AS healthy, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+      st AS (SELECT condition, n, ts, CASE WHEN NOT healthy THEN ts END AS last, NOT healthy AS fired FROM r WHERE n = 1
+        UNION ALL SELECT condition, n, ts, CASE WHEN healthy THEN NULL WHEN due THEN ts ELSE last END, NOT healthy AND due
+        FROM (SELECT r.*, st.last, st.last IS NULL OR epoch(r.ts) - epoch(st.last) >= {J.COOLDOWN_SECONDS} AS due FROM st JOIN r ON r.condition = st.condition AND r.n = st.n + 1))
+      SELECT condition, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM st WHERE fired""",
     "stream_usage_counters": f"WITH {LP.USE} SELECT record_id, {LP._COUNTS} FROM use GROUP BY record_id",
     "stream_tenant_calls": LP.SQL["daily_calls"],
     "stream_quota": """WITH n AS (SELECT user_id AS token_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS calls FROM events GROUP BY ALL)

@@ -19,5 +19,5 @@ def test_matches_sql(spark, con, sf, name):
     assert message is None
 
 
-def test_every_query_but_stateful_ones_has_sql():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"stream_alarm_cooldown"}
+def test_every_query_has_sql():
+    assert set(registry.queries()) == set(registry.oracle_sql())
