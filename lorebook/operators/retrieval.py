@@ -233,6 +233,10 @@ def _matches(queries: DataFrame, tokens: DataFrame, served: DataFrame | None, ma
     wanted = cut_lineage(query_phrases(queries, max_tokens))
     hits = cut_lineage(phrase_hits(tokens, wanted, ["dl"]))
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
+    if served is not None:
+        # Statistics are of all records; from here on only phrases of served ones can score.
+        hits = cut_lineage(_among(hits, served))
+        df = df.join(hits.select("phrase").distinct(), "phrase", "left_semi")
     totals = tokens.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("t")).scalar()
     weights = cut_lineage(
         wanted.join(df, "phrase")
@@ -241,7 +245,7 @@ def _matches(queries: DataFrame, tokens: DataFrame, served: DataFrame | None, ma
         .withColumn("idf", F.when(F.col("idf") > 0, F.col("idf")).otherwise(F.lit(MIN_IDF)))
         .select("query_id", "phrase", (F.col("qtf") * F.col("idf")).alias("weight"), "df", F.col("t.avgdl").alias("avgdl"))
     )
-    return _Matches(_among(hits, served), weights)
+    return _Matches(hits, weights)
 
 
 def _part() -> Column:
@@ -285,7 +289,7 @@ def _pruned_scores(m: _Matches, k: int, floor: float, seed_df: int = 100, seeds:
     through the other phrases, and the light ones are added for the records still in reach.
     A query without such a bound looks up all its phrases.
     """
-    hits = cut_lineage(m.hits)
+    hits = m.hits
     bound = F.col("weight") * (BM25_K1 + 1)
     rare = _sums(hits, m.weights.where(F.col("df") <= seed_df), "score")
     seeded = top_ranked(rare, seeds)
@@ -303,8 +307,17 @@ def _pruned_scores(m: _Matches, k: int, floor: float, seed_df: int = 100, seeds:
     heavy = plan.where(~F.col("light"))
     limits = plan.groupBy("query_id").agg(F.first("theta").alias("theta"), F.first("rest").alias("rest"))
     found = _sums(hits, heavy, "base").join(limits, "query_id")
-    kept = cut_lineage(found.where(F.col("base") + F.col("rest") >= F.col("theta")).select("query_id", "record_id", "base"))
-    extra = _fill(kept, hits, plan.where("light"))
+    reachable = cut_lineage(found.where(F.col("base") + F.col("rest") >= F.col("theta")).select("query_id", "record_id", "base", "rest"))
+    # Complete scores of the best of these give a closer bound, which few others reach.
+    light = plan.where("light")
+    best = top_ranked(reachable.select("query_id", "record_id", F.col("base").alias("score")), seeds)
+    full = best.join(_fill(best, hits, light), ["query_id", "record_id"], "left").withColumn("score", F.col("score") + F.coalesce("extra", F.lit(0.0)))
+    closer = top_ranked(full, k).where(F.col("rank") == k).select("query_id", (F.col("score") - 1e-6).alias("closer"))
+    kept = cut_lineage(
+        reachable.join(closer, "query_id", "left")
+        .where(F.col("base") + F.col("rest") >= F.coalesce("closer", F.lit(0.0))).select("query_id", "record_id", "base")
+    )
+    extra = _fill(kept, hits, light)
     total = F.col("base") + F.coalesce("extra", F.lit(0.0))
     return _rounded(kept.join(extra, ["query_id", "record_id"], "left").withColumn("score", total))
 

@@ -136,6 +136,7 @@ def stream_quota(calls: DataFrame, quotas: DataFrame, checkpoint: str, sink: str
 
 
 def _admit(key, batches, state):
+    import numpy as np
     import pandas as pd
 
     if state.hasTimedOut:
@@ -152,7 +153,7 @@ def _admit(key, batches, state):
         else:
             free = max(0, min(n, int(quota) - used))
         used += free
-        yield pd.DataFrame({"token_id": key[0], "day": key[1], "call_id": pdf["call_id"], "admitted": [i < free for i in range(n)]})
+        yield pd.DataFrame({"token_id": key[0], "day": key[1], "call_id": pdf["call_id"], "admitted": np.arange(n) < free})
     state.update((used,))
     end = int(pd.Timestamp(key[1]).value // 1_000_000) + (1 + STATE_DAYS) * 86_400_000
     if end > state.getCurrentWatermarkMs():
