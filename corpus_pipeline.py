@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebook.llm import bpe, mixing, simhash, substring, toxicity
+from lorebook.llm import bpe, mixing, nearcopies, substring, toxicity
 from lorebook.llm.shared import documents, stored
 
 
@@ -19,15 +19,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked SimHash fingerprints, the document with the least id.
+    """Of each group of near copies, the document with the least id.
 
-    Documents without words share the zero fingerprint, so one of them stays.  Rows that share
-    the id stay together if they are equal in fingerprint; a null id never leads a group that has
-    others.
+    Linked are texts whose five-word shingles have a Jaccard similarity of 0.8 or more, and those
+    whose SimHash fingerprints op3 links.  Documents without words are one group.  Rows that share
+    the id stay together if they are equal in group; a null id never leads a group that has others.
     """
-    groups = simhash.simhash_groups(docs)
-    leads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lead")).distinct()
-    return docs.join(leads, docs["doc_id"].eqNullSafe(leads["_lead"]), "left_semi")
+    tagged = nearcopies.tag(docs)
+    roots = nearcopies.near_groups(tagged)
+    rows = tagged.select("doc_id", "_sid").join(roots, "_sid", "left")
+    leads = rows.groupBy(F.coalesce("_root", "_sid")).agg(F.min("doc_id").alias("_lead")).select("_lead").distinct()
+    return tagged.join(leads, tagged["doc_id"].eqNullSafe(leads["_lead"]), "left_semi").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,6 +118,15 @@ def shard_keys(fp: str, blocks: int = BLOCKS, radius: int = RADIUS):
     return F.array(*keys)
 
 
+def fingerprint_links(classes: DataFrame) -> DataFrame:
+    """Links (a, b) that join every group of the different fingerprints of ``classes`` (fp)."""
+    shards = (
+        classes.select("fp", F.explode(shard_keys("fp")).alias("k"))
+        .groupBy("k").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    )
+    return shards.select("fps").mapInArrow(_shard_links, "a bigint, b bigint")
+
+
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -127,11 +136,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     """
     prints = stored(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id bigint, fp bigint"))
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    shards = (
-        classes.select("fp", F.explode(shard_keys("fp")).alias("k"))
-        .groupBy("k").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    )
-    links = shards.select("fps").mapInArrow(_shard_links, "a bigint, b bigint")
+    links = fingerprint_links(classes)
     roots = connected_components(links)
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
