@@ -19,17 +19,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the least id.
+    """Of each group of near copies, one row: that with the least id.
 
     Linked are texts whose five-word shingles have a Jaccard similarity of 0.8 or more, and those
-    whose SimHash fingerprints op3 links.  Documents without words are one group.  Rows that share
-    the id stay together if they are equal in group; a null id never leads a group that has others.
+    whose SimHash fingerprints op3 links.  Documents without words are one group.  Null ids come
+    last; rows of one id are told apart by the hash of their text, then by their place.
     """
     tagged = nearcopies.tag(docs)
     roots = nearcopies.near_groups(tagged)
-    rows = tagged.select("doc_id", "_sid").join(roots, "_sid", "left")
-    leads = rows.groupBy(F.coalesce("_root", "_sid")).agg(F.min("doc_id").alias("_lead")).select("_lead").distinct()
-    return tagged.join(leads, tagged["doc_id"].eqNullSafe(leads["_lead"]), "left_semi").select(*docs.columns)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col("_row").alias("_lead"))
+    rows = tagged.select("_sid", order.alias("_order")).join(roots, "_sid", "left")
+    leads = rows.groupBy(F.coalesce("_root", "_sid")).agg(F.min("_order").alias("_order")).select("_order._lead")
+    return tagged.join(leads, tagged["_row"] == leads["_lead"], "left_semi").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,3 +68,11 @@ def test_groups_equal_brute_force(spark, docs_of):
     want = sorted(i for i in range(150) if root(i) == i)
     assert 1 < len(want) < 150
     assert sorted(r.doc_id for r in cp.drop_near_copies(spark, docs_of(rows), "").collect()) == want
+
+
+def test_one_row_of_a_group_stays_with_null_and_repeated_ids(spark, docs_of):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (None, a), (None, b), (2, c), (2, c), (2, d), (3, d), (2, a), (None, ""), (4, None)]
+    kept = cp.drop_near_copies(spark, docs_of(rows), "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, b), (1, a), (2, c), (2, d), (4, "")]
+    assert len(kept) == 5
