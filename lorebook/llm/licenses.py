@@ -35,6 +35,8 @@ NOTICES = (
     ("mpl", "subject to the terms of the mozilla public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose"),
 )
+# Words that tell licenses apart: one that stands in a span but not in its notice vetoes the label.
+NAMES = frozenset("mit apache gpl lgpl agpl lesser affero bsd mozilla mpl isc epl nc nd sa".split())
 # One edit is allowed for this many characters of a notice, so pieces have about as many.
 CHARACTERS_PER_EDIT = 8
 
@@ -74,6 +76,22 @@ def _scanner(notices: tuple[tuple[str, str], ...]):
     return automaton, patterns
 
 
+def _matches(pattern: regex.Pattern, joined: str, lo: int, hi: int, least: int) -> Iterator[regex.Match]:
+    """Matches in a region, best first, then those of the parts before and behind each."""
+    parts = [(lo, hi)]
+    while parts:
+        lo, hi = parts.pop()
+        if hi - lo >= least and (m := pattern.search(joined, lo, hi)):
+            yield m
+            parts += [(lo, m.start()), (m.end(), hi)]
+
+
+def _names_another(joined: str, start: int, end: int, notice: str) -> bool:
+    """Whether the words that a span touches hold an exact name that the notice does not have."""
+    start, end = joined.rfind(" ", 0, start + 1) + 1, joined.find(" ", end - 1)
+    return not NAMES.isdisjoint(set(joined[start : end if end >= 0 else None].split()) - set(notice.split()))
+
+
 def fuzzy_spans(joined: str, notices: tuple[tuple[str, str], ...] = NOTICES) -> list[tuple[str, int, int, int]]:
     """(label, start, end, edits) of every notice in space-joined words, in order, none overlapping
     another of the same notice."""
@@ -92,8 +110,9 @@ def fuzzy_spans(joined: str, notices: tuple[tuple[str, str], ...] = NOTICES) ->
     spans = []
     for k, mine in areas.items():
         for lo, hi in mine:
-            for m in patterns[k].finditer(joined, lo, hi):
-                spans.append((notices[k][0], m.start(), m.end(), sum(m.fuzzy_counts), k))
+            for m in _matches(patterns[k], joined, lo, hi, len(notices[k][1]) - allowed_edits(notices[k][1])):
+                if not _names_another(joined, m.start(), m.end(), notices[k][1]):
+                    spans.append((notices[k][0], m.start(), m.end(), sum(m.fuzzy_counts), k))
     return [s[:4] for s in sorted(spans, key=lambda s: (s[1], s[2], s[4]))]
 
 

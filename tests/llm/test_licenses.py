@@ -47,3 +47,11 @@ def test_a_span_reports_its_words_and_edits():
     assert r["labels"] == "apache" and r["base_labels"] == "" and 0.8 < r["score"] < 1
     assert r["spans"][0]["first_word"] == 2 and r["spans"][0]["edits"] == 3
     assert scan(None)["score"] == 0.0 and scan("a " * 50_000)["n_words"] == 50_000
+
+
+def test_edited_notice_before_an_exact_one_and_names_of_other_licenses():
+    text = "released undr the mit licens released under the mit license"
+    assert [(r["text"].split()[0], r["edits"]) for r in scan(text)["spans"] if r["edits"] < 3] == [("released", 2), ("released", 0)]
+    for other in ("released under the mpl license", "licensed under cc by sa 4 0"):
+        assert scan(other)["spans"] == [] and scan(other)["score"] == 0
+    assert scan("released under the mti license")["labels"] == "mit"
