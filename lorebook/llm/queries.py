@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import hilbert, mixing, revisits
+from . import hilbert, mixing, prefixtrie, revisits
 from .bpe import op10_bpe_round_trip
 from .hilbert import op4_hilbert_shards
 from .licenses import op9_license_notices
 from .mixing import op1_pareto_mix
+from .prefixtrie import op11_prefix_trie
 from .rabitq import op5_rabitq_links
 from .revisits import op8_revisit_resolution
 from .simhash import op3_simhash_bktree
@@ -29,10 +30,12 @@ QUERIES = {
         op8_revisit_resolution,
         op9_license_notices,
         op10_bpe_round_trip,
+        op11_prefix_trie,
     )
 } | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {
     "op1_pareto_mix": mixing.SQL,
     "op4_hilbert_shards": hilbert.SQL,
     "op8_revisit_resolution": revisits.SQL,
+    "op11_prefix_trie": prefixtrie.SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
