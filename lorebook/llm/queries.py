@@ -9,6 +9,7 @@ from .bpe import op10_bpe_round_trip
 from .hilbert import op4_hilbert_shards
 from .licenses import op9_license_notices
 from .mixing import op1_pareto_mix
+from .personal import op12_personal_data
 from .prefixtrie import op11_prefix_trie
 from .rabitq import op5_rabitq_links
 from .revisits import op8_revisit_resolution
@@ -16,6 +17,7 @@ from .simhash import op3_simhash_bktree
 from .spotsigs import op2_spotsigs
 from .substring import op7_seed_extend
 from .toxicity import op6_compression_toxicity
+from .whitening import op13_whitening
 
 QUERIES = {
     f.__name__: f
@@ -31,6 +33,8 @@ QUERIES = {
         op9_license_notices,
         op10_bpe_round_trip,
         op11_prefix_trie,
+        op12_personal_data,
+        op13_whitening,
     )
 } | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {

@@ -14,4 +14,4 @@ def test_matches_sql(spark, sf, name):
 
 
 def test_one_query_per_operator_and_the_pipeline():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q != "pipeline") == list(range(1, 12)) and "pipeline" in QUERIES
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q != "pipeline") == list(range(1, 14)) and "pipeline" in QUERIES
