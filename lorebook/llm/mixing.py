@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import broadcast_bounded, documents, stored, word_count
+from .shared import broadcast_bounded, documents, fresh, stored, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
@@ -143,10 +143,12 @@ def pareto_mix(docs: DataFrame, seed: int = 7, weights: Sequence[int] = WEIGHTS,
 
 def repeat_by_copies(docs: DataFrame, mix: DataFrame) -> DataFrame:
     """Rows of ``docs`` as often as ``mix`` (doc_id, copies) says, by null-safe doc_id; where
-    rows share an id, each of them takes the largest number given for it."""
-    times = mix.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    kept = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]))
-    return kept.withColumn("_k", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[docs[c] for c in docs.columns])
+    rows share an id, each of them takes the largest number given for it.  Columns of ``docs`` are kept
+    whatever their names; an empty table or mix gives an empty result."""
+    key, copies, k = (fresh(docs, name) for name in ("key", "copies", "k"))
+    times = mix.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    kept = docs.join(times, docs["doc_id"].eqNullSafe(times[key]))
+    return kept.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage as stored
 
-__all__ = ["broadcast_bounded", "connected_components", "documents", "few_rows", "ranked", "stored", "word_count"]
+__all__ = ["broadcast_bounded", "connected_components", "documents", "few_rows", "fresh", "ranked", "stored", "word_count"]
 
 # Largest table (rows of a few narrow columns) that may be sent to every executor.
 BROADCAST_ROWS = 100_000
@@ -33,6 +33,14 @@ def broadcast_bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to so many rows, so that what a task makes of one batch stays small."""
     for b in batches:

@@ -54,7 +54,7 @@ def test_stages_against_brute_force(spark, corpus):
         if name == "toxicity":
             toxic = {i for i, t in given.items() if t and "wretchfool" in t or t and "grubhead" in t or t and "quarkface" in t}
             assert set(ids) == set(given) - toxic and all(given[i] == t for i, t in after)
-        elif name == "simhash near-dedup":
+        elif name == "simhash and shingle near-dedup":
             assert sorted(ids) == sorted(i for i, c in near_groups(before).items() if i == c) and max(ids.values()) == 1
         elif name == "substring dedup":
             want = {i: k for i, n, gone, k in repeats(before, 50) if not n or gone < n}
