@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebook.llm import bpe, mixing, nearcopies, substring, toxicity
-from lorebook.llm.shared import documents, stored
+from lorebook.llm.shared import documents, fresh, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,12 +25,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     whose SimHash fingerprints op3 links.  Documents without words are one group.  Null ids come
     last; rows of one id are told apart by the hash of their text, then by their place.
     """
-    tagged = nearcopies.tag(docs)
-    roots = nearcopies.near_groups(tagged)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col("_row").alias("_lead"))
-    rows = tagged.select("_sid", order.alias("_order")).join(roots, "_sid", "left")
-    leads = rows.groupBy(F.coalesce("_root", "_sid")).agg(F.min("_order").alias("_order")).select("_order._lead")
-    return tagged.join(leads, tagged["_row"] == leads["_lead"], "left_semi").select(*docs.columns)
+    row = fresh(docs, "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    tags = nearcopies.tag(numbered, row)
+    roots = nearcopies.near_groups(tags, numbered.select(F.col(row).alias("row"), "text"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text").alias("h"), "row").alias("order")
+    rows = numbered.select(F.col(row).alias("row"), "doc_id", "text").select("row", order).join(tags.select("row", "sid"), "row")
+    rooted = rows.join(roots, "sid", "left")
+    leads = rooted.groupBy(F.coalesce("root", "sid")).agg(F.min("order").alias("order")).select(F.col("order.row").alias(row))
+    return numbered.join(leads, row, "left_semi").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +53,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
-    ("simhash near-dedup", drop_near_copies),
+    ("simhash and shingle near-dedup", drop_near_copies),
     ("substring dedup", drop_repeats),
     ("source mix", mix_sources),
     ("byte-level BPE", tokenize),
