@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import cut_lineage
+from . import dense
 from .records import flatten_records, push_eligible
 
 # Hit limits, floors, scores and fusion constants of retrieval.
@@ -364,86 +365,15 @@ def dense_match(
     floor: float = DENSE_FLOOR,
     k: int = FUSION_CANDIDATES,
     served: DataFrame | None = None,
-    pass_bytes: int = 128 << 20,
-    tile_cells: int = 1 << 21,
+    cell: int = dense.CELL,
 ) -> DataFrame:
-    """(query_id, rank, record_id, score): exact cosine top-k above the floor.
+    """(query_id, rank, record_id, score): exact cosine top-k from the floor on.
 
     ``queries`` is (query_id, vec), ``vectors`` is (record_id, vec); unequal lengths and zero
-    vectors never reach a positive floor.  Query vectors are held by every task in passes of at
-    most ``pass_bytes``; each pass scans the vectors in place, without a shuffle of them.  Inside a
-    task, similarities are computed in tiles of at most ``tile_cells`` and only each query's k
-    best of the task's rows are kept and leave it.
+    vectors never reach a positive floor.  See :mod:`.dense` for cells of about ``cell`` vectors.
     """
     corpus = vectors if served is None else vectors.join(served, "record_id", "left_semi")
-    corpus = corpus.select("record_id", "vec").where(F.size("vec") > 0)
-    probes = queries.select("query_id", "vec").where(F.size("vec") > 0)
-    types = dict(probes.select("query_id").dtypes) | dict(corpus.select("record_id").dtypes)
-    schema = f"query_id {types['query_id']}, record_id {types['record_id']}, score double"
-    size = probes.agg(F.sum(F.size("vec").cast("bigint") * 8)).first()[0] or 0
-    passes = max(1, -(-size // pass_bytes))
-    share = F.pmod(F.xxhash64("query_id"), F.lit(passes))
-    found = []
-    for p in range(passes):
-        held = probes.sparkSession.sparkContext.broadcast(_units(probes.where(share == p).toPandas(), "query_id"))
-
-        def scan(batches, held=held):
-            return _best_of_scan(held.value, batches, floor, k)
-
-        part = corpus.mapInPandas(scan, schema)
-        # Several passes are finished one after the other, so that one set of queries is held at a time.
-        found.append(part if passes == 1 else cut_lineage(top_ranked(part, k).select("query_id", "record_id", "score")))
-        if passes > 1:
-            held.destroy()
-    both = found[0]
-    for part in found[1:]:
-        both = both.unionByName(part)
-    return top_ranked(both, k)
-
-
-def _units(df, id_col: str) -> dict:
-    """dimension -> (ids, unit vectors); a zero vector stays zero."""
-    import numpy as np
-
-    lengths, out = df["vec"].map(len), {}
-    for d in lengths.unique():
-        rows = df[lengths == d]
-        x = np.stack(rows["vec"].to_numpy()).astype(np.float64)
-        norm = np.linalg.norm(x, axis=1)
-        out[int(d)] = rows[id_col].to_numpy(), x / np.where(norm > 0, norm, 1)[:, None]
-    return out
-
-
-def _best_of_scan(held: dict, batches, floor: float, k: int, tile_cells: int = 1 << 21):
-    """The k best of all rows of ``batches`` for every held query, score descending, then id."""
-    import pandas as pd
-
-    best = None
-    for batch in batches:
-        new = [best] if best is not None else []
-        for d, (v_ids, v) in _units(batch, "record_id").items():
-            if d in held:
-                q_ids, q = held[d]
-                step = max(1, tile_cells // len(v))
-                new += [_tile_topk(q_ids[i : i + step], q[i : i + step], v_ids, v, floor, k) for i in range(0, len(q), step)]
-        if new:
-            both = pd.concat(new, ignore_index=True).sort_values(["query_id", "score", "record_id"], ascending=[True, False, True])
-            best = both[both.groupby("query_id").cumcount() < k]
-    if best is not None:
-        yield best
-
-
-def _tile_topk(q_ids, q, v_ids, v, floor: float, k: int):
-    """Pairs of one tile at the floor or above that are as good as a query's k-th best, ties included."""
-    import numpy as np
-    import pandas as pd
-
-    sims = np.round(q @ v.T, SCORE_DECIMALS)
-    keep = sims >= floor
-    if sims.shape[1] > k:
-        keep &= sims >= np.partition(sims, -k, axis=1)[:, -k, None]
-    qi, vi = np.nonzero(keep)
-    return pd.DataFrame({"query_id": q_ids[qi], "record_id": v_ids[vi], "score": sims[qi, vi]})
+    return dense.nearest(queries, corpus, floor, k, cell)
 
 
 def embedding_text(records: DataFrame) -> DataFrame:

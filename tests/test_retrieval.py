@@ -100,9 +100,9 @@ def test_dense_paths_agree_with_brute_force(spark):
         sims = np.round(np.divide(f32 @ f32[i], norms, out=np.zeros(60), where=norms > 0), 9)
         best = sorted((-s, f"v{j:02d}") for j, s in enumerate(sims) if s >= 0.3)[:4]
         want |= {(f"v{i:02d}", n, r) for n, (_, r) in enumerate(best, 1)}
-    resident = {tuple(r)[:3] for r in R.dense_match(queries, corpus, 0.3, 4).collect()}
-    blocked = {tuple(r)[:3] for r in R.dense_match(queries, corpus, 0.3, 4, pass_bytes=700, tile_cells=64).collect()}
-    assert resident == want == blocked
+    whole = {tuple(r)[:3] for r in R.dense_match(queries, corpus, 0.3, 4).collect()}
+    parted = {tuple(r)[:3] for r in R.dense_match(queries, corpus, 0.3, 4, cell=6).collect()}
+    assert whole == want == parted
 
 
 def test_fingerprint_match_keeps_lowest_ids_of_a_hot_group(spark):
@@ -193,8 +193,8 @@ def test_wide_vectors_and_ties(spark):
     x[20:40] = x[0]
     corpus = spark.createDataFrame([(f"r{i:02d}", v.tolist()) for i, v in enumerate(x)], "record_id string, vec array<float>").repartition(3)
     queries = spark.createDataFrame([("q0", x[0].tolist()), ("q1", x[50].tolist()), ("q2", [1.0, 2.0])], "query_id string, vec array<float>")
-    for size in (1 << 30, 13_000):
-        got = [(r.query_id, r["rank"], r.record_id) for r in R.dense_match(queries, corpus, 0.5, 4, pass_bytes=size).orderBy("query_id", "rank").collect()]
+    for cell in (1024, 3):
+        got = [(r.query_id, r["rank"], r.record_id) for r in R.dense_match(queries, corpus, 0.5, 4, cell=cell).orderBy("query_id", "rank").collect()]
         assert got == [("q0", 1, "r00"), ("q0", 2, "r20"), ("q0", 3, "r21"), ("q0", 4, "r22"), ("q1", 1, "r50")]
 
 
