@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import versions as V
+from ..functions.ranking import range_offsets, sorted_places
 from ..functions.text import LB, RB
+from ..session import cut_lineage
 from .records import FACTS_ONLY, _strings, has_prefix, has_vuln_prefix, is_advisory, own_signals
 
 # Id patterns, blocking flag prefixes, audited scope defects, audit prefixes,
@@ -225,16 +227,79 @@ def advisories_to_drafts(osv: DataFrame, ecosystem: str) -> DataFrame:
     )
 
 
+# Levels of cells that an interval of ranks is cut into: ranks are below 2 ** LEVELS.
+LEVELS = 50
+
+
+def _cells(low: Column, high: Column) -> Column:
+    """The cells (level, place) that make up the ranks low <= r < high; a cell is 2 ** level ranks, aligned.
+
+    At most two of a level: the first if its place is odd, the last if the place behind it is.
+    """
+
+    def of_level(n: Column) -> Column:
+        size = F.pow(F.lit(2.0), n).cast("bigint")
+        a, b = F.floor((low + size - 1) / size).cast("bigint"), F.floor(high / size).cast("bigint")
+        cell = lambda x: F.struct(n.alias("level"), x.alias("place"))
+        odd = lambda x: x.bitwiseAND(F.lit(1).cast("bigint")) == 1
+        return F.array(F.when((a < b) & odd(a), cell(a)), F.when((a < b) & odd(b), cell(b - 1)))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), of_level)), lambda c: c.isNotNull())
+
+
+def in_ranges(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(point, range_id): every range low <= key < high of a group that holds a point of the same group.
+
+    ``points`` is (point, grp, key), ``ranges`` (range_id, grp, low, high), where a null end is open.
+    Points and ends of all groups are sorted together by ranges of the sort key, which turns an end into
+    the number of points before it.  The ranks between two ends are cut into O(log n) aligned cells
+    and points meet ranges by their cells, each pair once: a group with many points and many ranges
+    gives its hits and nothing else, and no task holds a whole group.
+    """
+    kind = points.schema["key"].dataType.simpleString()
+    ident = points.schema["point"].dataType.simpleString(), ranges.schema["range_id"].dataType.simpleString()
+
+    def event(df: DataFrame, side: int, key: Column, is_point: bool, point: Column, range_id: Column, end: int) -> DataFrame:
+        # An end stands before the points that are equal to it.
+        order = F.struct("grp", F.lit(side).alias("side"), key.alias("key"), F.lit(int(is_point)).alias("is_point"))
+        return df.select(order.alias("o"), point.alias("point"), range_id.alias("range_id"), F.lit(end).alias("end"))
+
+    none = [F.lit(None).cast(t) for t in (kind, *ident)]
+    rid = F.col("range_id")
+    low, high = F.col("low"), F.col("high")
+    events = (
+        event(points, 0, F.col("key"), True, F.col("point"), none[2], 0)
+        .union(event(ranges.where(low.isNotNull()), 0, low, False, none[1], rid, 0))
+        .union(event(ranges.where(low.isNull()), -1, none[0], False, none[1], rid, 0))
+        .union(event(ranges.where(high.isNotNull()), 0, high, False, none[1], rid, 1))
+        .union(event(ranges.where(high.isNull()), 1, none[0], False, none[1], rid, 1))
+    )
+    placed = sorted_places(events, "o")
+    is_point = F.col("o.is_point")
+    offsets = range_offsets(placed, {"before": F.sum(is_point)})
+    upto = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.coalesce(F.sum(is_point).over(upto), F.lit(0)) + F.col("before")
+    ranked = cut_lineage(placed.join(F.broadcast(offsets), "_part").select("o.is_point", "point", "range_id", "end", rank.cast("bigint").alias("r")))
+    ends = ranked.where("is_point = 0").groupBy("range_id").agg(
+        F.max(F.when(F.col("end") == 0, F.col("r"))).alias("a"), F.max(F.when(F.col("end") == 1, F.col("r"))).alias("b")
+    )
+    cells = cut_lineage(ends.where("a < b").select("range_id", F.explode(_cells(F.col("a"), F.col("b"))).alias("cell")).select("range_id", "cell.*"))
+    levels = sorted(r.level for r in cells.select("level").distinct().collect())
+    own = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright("r", n).alias("place")) for n in levels]) if levels else F.array().cast("array<struct<level:int,place:bigint>>")
+    at = ranked.where("is_point = 1").select("point", F.explode(own).alias("cell")).select("point", "cell.*")
+    return at.join(cells, ["level", "place"]).select("point", "range_id")
+
+
 def advisory_audit(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     """Dependencies (path, version) inside an affected range of a vulnerability record.
 
-    The advisory side is narrow; it is broadcast only after a size check, and otherwise the
-    join shuffles on the package with adaptive skew splitting.
+    Versions meet ranges by cells of ranks (:func:`in_ranges`), so a package with many versions and many
+    ranges yields its hits only.  Repeated dependencies are looked up once and reported each.
     """
     first_id = F.get(
         F.filter(_strings("symptom.error_signatures"), lambda s: has_prefix(s, AUDIT_PREFIXES)), F.lit(0)
     )
-    ranges = (
+    ranges = cut_lineage(
         advisories.select(F.col("id").alias("record_id"), X.utrim(first_id).alias("advisory_id"), "applies_to")
         .where(F.col("advisory_id").isNotNull())
         .select("record_id", "advisory_id", F.explode("applies_to").alias("a"))
@@ -246,20 +311,19 @@ def advisory_audit(deps: DataFrame, advisories: DataFrame) -> DataFrame:
             F.nullif(F.col("a.versions.introduced"), F.lit("")).alias("introduced"),
             F.nullif(F.col("a.versions.fixed"), F.lit("")).alias("fixed"),
         )
-        .withColumn("lo", F.when(F.col("introduced").isNotNull(), V.version_key("introduced")))
-        .withColumn("hi", F.when(F.col("fixed").isNotNull(), V.version_key("fixed")))
+        .withColumn("range_id", F.monotonically_increasing_id())
     )
-    # One key per distinct (path, version); repeated dependencies do not repeat the parse.
-    keyed = deps.withColumn("key", V.version_key("version"))
-    hit = (F.col("lo").isNull() | (F.col("key") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("key") < F.col("hi")))
-    return (
-        keyed.join(ranges, "path")
-        .where(hit)
-        .select(
-            "path", "version", "record_id", "advisory_id",
-            F.coalesce("introduced", F.lit("")).alias("introduced"),
-            F.coalesce("fixed", F.lit("")).alias("fixed"),
-        )
+    keyed = lambda c: F.when(F.col(c).isNotNull(), V.version_key(c))
+    bounds = ranges.where(F.col("path").isNotNull()).select("range_id", F.col("path").alias("grp"), keyed("introduced").alias("low"), keyed("fixed").alias("high"))
+    versions = deps.join(ranges.select("path").distinct(), "path", "left_semi").select("path", "version").distinct()
+    points = versions.select(F.struct("path", "version").alias("point"), F.col("path").alias("grp"), V.version_key("version").alias("key"))
+    hits = in_ranges(points, bounds).select("point.path", F.col("point.version").alias("hit"), "range_id")
+    found = hits.join(ranges.drop("path"), "range_id")
+    same = (deps["path"] == found["path"]) & deps["version"].eqNullSafe(found["hit"])
+    return deps.join(found, same).select(
+        deps["path"], deps["version"], "record_id", "advisory_id",
+        F.coalesce("introduced", F.lit("")).alias("introduced"),
+        F.coalesce("fixed", F.lit("")).alias("fixed"),
     )
 
 
