@@ -275,7 +275,7 @@ SQL = {
     "doc_freq": f"""WITH {Q.CORPUS}, {Q.TURN_QUERIES}, {Q.document_tokens()}, {Q.phrase_ctes('queries')}
       SELECT phrase, count(*) FILTER ({VALID}) AS df_validated, count(*) FILTER ({ELIGIBLE}) AS df_eligible
       FROM hits JOIN corpus USING (record_id) GROUP BY phrase HAVING count(*) FILTER ({VALID}) > 0""",
-    "discriminative_tokens": f"""WITH {Q.CORPUS}, {Q.TURN_QUERIES}, {IDF}, {ECO}, {Q.document_tokens()}, {DISC}
+    "discriminative_tokens": f"""WITH {Q.CORPUS}, {Q.TURN_QUERIES}, {IDF}, {ECO}, {Q.document_tokens(ELIGIBLE)}, {DISC}
       SELECT query_id, token, pos, phrase, df, common FROM disc""",
     "corroborate": f"""WITH {Q.CORPUS}, {Q.TURN_QUERIES}, {IDF}, {Q.document_tokens(VALID)}, {gate_ctes()}, {gate_scan('SELECT word FROM stopl')},
       {Q.bm25_ctes('queries')}, {Q.hits_ctes('gphr', 'g')},
