@@ -8,6 +8,8 @@ whole text in one task's memory; nothing is shuffled.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -63,7 +65,7 @@ def pieces(notice: str) -> list[tuple[int, str]]:
 
 @lru_cache(maxsize=4)
 def _scanner(notices: tuple[tuple[str, str], ...]):
-    """The automaton over all pieces, and a pattern with bounded edits for each notice."""
+    """The automaton over all pieces of the notices."""
     found: dict[str, list[tuple[int, int]]] = {}
     for k, (_, notice) in enumerate(notices):
         for place, piece in pieces(notice):
@@ -72,18 +74,84 @@ def _scanner(notices: tuple[tuple[str, str], ...]):
     for piece, where in found.items():
         automaton.add_word(piece, (len(piece), where))
     automaton.make_automaton()
-    patterns = [regex.compile(rf"(?b)(?:{regex.escape(n)}){{e<={allowed_edits(n)}}}") for _, n in notices]
-    return automaton, patterns
-
-
-def _matches(pattern: regex.Pattern, joined: str, lo: int, hi: int, least: int) -> Iterator[regex.Match]:
-    """Matches in a region, best first, then those of the parts before and behind each."""
-    parts = [(lo, hi)]
-    while parts:
-        lo, hi = parts.pop()
-        if hi - lo >= least and (m := pattern.search(joined, lo, hi)):
-            yield m
-            parts += [(lo, m.start()), (m.end(), hi)]
+    return automaton
+
+
+@lru_cache(maxsize=64)
+def _letters(notice: str) -> dict[str, int]:
+    """For each character the bits of its places in the notice."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(notice):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def least_edits(notice: str, joined: str, lo: int, hi: int) -> int:
+    """Fewest edits between the notice and any part of a window; a column of the table is one number each
+    for its steps up and down, so a character takes a few operations."""
+    places, n = _letters(notice), len(notice)
+    every, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, score, best = every, 0, n, n
+    for c in joined[lo:hi]:
+        same = places.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        along = same | down
+        rise, fall = (down | ~(across | up)) & every, up & across
+        score += 1 if rise & last else -1 if fall & last else 0
+        best = min(best, score)
+        rise, fall = rise << 1 & every, fall << 1 & every
+        up, down = (fall | ~(along | rise)) & every, rise & along
+    return best
+
+
+@lru_cache(maxsize=512)
+def _pattern(notice: str, edits: int) -> regex.Pattern:
+    return regex.compile(rf"(?:{regex.escape(notice)}){{e<={edits}}}")
+
+
+def _matches(notice: str, joined: str, begins: list[int]) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of a notice, none overlapping another: the best match around each place where a
+    seed lets it begin.  Of overlapping ones that with fewer edits stays, then the first; the other is sought
+    once more in what is left beside it.  Windows have a bounded length, so the time is linear."""
+    n, e = len(notice), allowed_edits(notice)
+
+    def best(lo: int, hi: int) -> tuple[int, int, int] | None:
+        edits = least_edits(notice, joined, lo, hi)
+        m = _pattern(notice, edits).search(joined, lo, hi) if edits <= e else None
+        return (sum(m.fuzzy_counts), *m.span()) if m else None
+
+    found: dict[tuple[int, int, int], tuple[int, int]] = {}
+    first = None
+    # Seeds of one place let it begin up to e apart: such share a window.
+    ordered = sorted(set(begins))
+    for i, begin in enumerate(ordered):
+        first = begin if first is None else first
+        if i + 1 < len(ordered) and ordered[i + 1] - first <= e:
+            continue
+        window = max(0, first - e), min(len(joined), begin + n + e)
+        if m := best(*window):
+            found.setdefault(m, window)
+        first = None
+    starts: list[int] = []
+    kept: dict[int, tuple[int, int]] = {}
+    todo = [(m, True, window) for m, window in found.items()]
+    heapq.heapify(todo)
+
+    def free(place: int) -> tuple[int, int]:
+        at = bisect.bisect_right(starts, place)
+        return kept[starts[at - 1]][0] if at else 0, starts[at] if at < len(starts) else len(joined)
+
+    while todo:
+        (edits, start, end), again, window = heapq.heappop(todo)
+        low, high = free(start)
+        if low <= start and end <= high:
+            bisect.insort(starts, start)
+            kept[start] = (end, edits)
+        elif again:
+            low, high = free((window[0] + window[1]) // 2)
+            if m := best(max(low, window[0]), min(high, window[1])):
+                heapq.heappush(todo, (m, False, window))
+    return [(start, *kept[start]) for start in starts]
 
 
 def _names_another(joined: str, start: int, end: int, notice: str) -> bool:
@@ -95,24 +163,17 @@ def _names_another(joined: str, start: int, end: int, notice: str) -> bool:
 def fuzzy_spans(joined: str, notices: tuple[tuple[str, str], ...] = NOTICES) -> list[tuple[str, int, int, int]]:
     """(label, start, end, edits) of every notice in space-joined words, in order, none overlapping
     another of the same notice."""
-    automaton, patterns = _scanner(notices)
-    areas: dict[int, list[list[int]]] = {}
+    automaton = _scanner(notices)
+    begins: dict[int, list[int]] = {}
     for end, (length, where) in automaton.iter(joined):
         for k, place in where:
-            e, n = allowed_edits(notices[k][1]), len(notices[k][1])
-            begin = end - length + 1 - place
-            lo, hi = max(0, begin - e), min(len(joined), begin + n + e)
-            mine = areas.setdefault(k, [])
-            if mine and lo <= mine[-1][1]:
-                mine[-1][0], mine[-1][1] = min(lo, mine[-1][0]), max(hi, mine[-1][1])
-            else:
-                mine.append([lo, hi])
+            begins.setdefault(k, []).append(end - length + 1 - place)
     spans = []
-    for k, mine in areas.items():
-        for lo, hi in mine:
-            for m in _matches(patterns[k], joined, lo, hi, len(notices[k][1]) - allowed_edits(notices[k][1])):
-                if not _names_another(joined, m.start(), m.end(), notices[k][1]):
-                    spans.append((notices[k][0], m.start(), m.end(), sum(m.fuzzy_counts), k))
+    for k, places in begins.items():
+        label, notice = notices[k]
+        for start, end, edits in _matches(notice, joined, places):
+            if not _names_another(joined, start, end, notice):
+                spans.append((label, start, end, edits, k))
     return [s[:4] for s in sorted(spans, key=lambda s: (s[1], s[2], s[4]))]
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import regex
 from lorebook.llm.licenses import NOTICES, PHRASES, allowed_edits, fuzzy_spans, license_scan, scan
@@ -55,3 +56,31 @@ def test_edited_notice_before_an_exact_one_and_names_of_other_licenses():
     for other in ("released under the mpl license", "licensed under cc by sa 4 0"):
         assert scan(other)["spans"] == [] and scan(other)["score"] == 0
     assert scan("released under the mti license")["labels"] == "mit"
+
+
+def test_many_edited_notices_take_linear_time():
+    """Notices in one text, each with an edit: all are found, and time grows with the text."""
+    rng = random.Random(5)
+    notices = ["released under the mit license", "licensed under the apache license version 2 0", "subject to the terms of the mozilla public license"]
+
+    def text(n):
+        out = []
+        for i in range(n):
+            t = list(notices[i % 3])
+            t[rng.randrange(9, len(t) - 9)] = "q"
+            out.append("".join(t))
+        return " ".join(out)
+
+    took = []
+    for n in (2_000, 20_000):
+        joined = text(n)
+        begin = time.perf_counter()
+        spans = fuzzy_spans(joined)
+        took.append(time.perf_counter() - begin)
+        own = [s for s in spans if s[0] in ("mit", "apache", "mpl")]
+        assert len(own) >= 0.9 * n and all(a[2] <= b[1] for a, b in zip(own, own[1:], strict=False) if a[0] == b[0])
+    assert took[1] < 25 * took[0] and took[1] < 90
+
+
+def test_overlapping_candidates_leave_both_notices():
+    assert [s[0] for s in fuzzy_spans("released under the mit licensreleased under the mit license")] == ["mit", "mit"]
