@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.selection import nearest_ranks
 from ..functions.stats import count_if, ratio
 
 
@@ -243,13 +244,18 @@ def prospect_funnel(cases: DataFrame) -> DataFrame:
 
 
 def latency_stats(calls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Calls, approvals, rejections and nearest-rank p50 / p95 of ``ms``; failed calls do not count."""
+    """Calls, approvals, rejections and nearest-rank p50 / p95 of ``ms``; failed calls do not count.
+
+    Ranks come from histograms that are refined (:func:`nearest_ranks`), so a group may have any size.
+    """
     ok = calls.where(F.coalesce("error", F.lit("")) == "") if "error" in calls.columns else calls
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY ms)")
-    return ok.groupBy(*by).agg(
+    counts = ok.groupBy(*by).agg(
         F.count("*").alias("calls"),
         count_if(F.col("approved")).alias("approvals"),
         count_if(~F.col("approved")).alias("rejections"),
-        F.coalesce(rank(0.5).cast("bigint"), F.lit(0)).alias("p50_ms"),
-        F.coalesce(rank(0.95).cast("bigint"), F.lit(0)).alias("p95_ms"),
+    )
+    ranks = nearest_ranks(ok, by, "ms", {"p50_ms": 0.5, "p95_ms": 0.95})
+    group = F.struct(F.lit(0).alias("all"), *[counts[c] for c in by])
+    return counts.join(ranks, group.eqNullSafe(ranks["g"]), "left").select(
+        *[counts[c] for c in by], "calls", "approvals", "rejections", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("p50_ms", "p95_ms")]
     )

@@ -107,7 +107,8 @@ def discriminative_tokens(
 def corroborate(hits: DataFrame, query_tokens: DataFrame, index: CorpusIndex, min_tokens: int = MIN_CORROBORATING) -> DataFrame:
     """Hits whose record contains at least ``min_tokens`` distinct tokens of its query."""
     hits = cut_lineage(hits)
-    found = phrase_hits(index.tokens, query_tokens).select("phrase", "record_id")
+    asked = query_tokens.join(hits.select("query_id").distinct(), "query_id", "left_semi")
+    found = phrase_hits(index.tokens, asked, among=hits).select("phrase", "record_id")
     backed = (
         query_tokens.select("query_id", "token", "phrase")
         .join(hits.select("query_id", "record_id"), "query_id")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..session import cut_lineage
 from . import dense
+from .inverted import BM25_B, BM25_K1, MIN_IDF, StoredIndex
+from .inverted import DECIMALS as SCORE_DECIMALS
 from .records import flatten_records, push_eligible
 
 # Hit limits, floors, scores and fusion constants of retrieval.
@@ -26,10 +28,6 @@ FINGERPRINT_SCORE = 1000.0
 RRF_K = 60
 FUSION_CANDIDATES = 10
 DENSE_FLOOR = 0.5
-BM25_K1, BM25_B = 1.2, 0.75
-MIN_IDF = 1e-6
-# Scores are compared at this many decimals, so that ranks do not depend on summation order.
-SCORE_DECIMALS = 9
 
 
 @dataclass
@@ -39,14 +37,15 @@ class CorpusIndex:
     records       record_id, kind, status, title, summary, path, origin
     fingerprints  fp, scope, record_id
     applies_to    record_id, ecosystem, package
-    tokens        record_id, fields (array of term arrays, one per text column), dl
+    tokens        record_id, fields (array of term arrays, one per text column), dl; or a stored
+                  index of them (:class:`.inverted.StoredIndex`), which look-ups read instead
     vectors       record_id, vec (optional)
     """
 
     records: DataFrame
     fingerprints: DataFrame
     applies_to: DataFrame
-    tokens: DataFrame
+    tokens: DataFrame | StoredIndex
     vectors: DataFrame | None = None
 
 
@@ -59,9 +58,11 @@ def token_index(texts: DataFrame, columns: Sequence[str] = ("title", "summary",
     return out.withColumn("dl", dl)
 
 
-def build_index(records: DataFrame, repo: str, vectors: DataFrame | None = None) -> CorpusIndex:
+def build_index(records: DataFrame, repo: str, vectors: DataFrame | None = None, root: str | None = None) -> CorpusIndex:
+    """The tables of a corpus; with ``root``, its tokens as an index stored there."""
     flat, fingerprints, applies_to, texts = flatten_records(records, repo)
-    return CorpusIndex(flat, fingerprints, applies_to, token_index(texts), vectors)
+    tokens = token_index(texts)
+    return CorpusIndex(flat, fingerprints, applies_to, tokens if root is None else StoredIndex.build(tokens, root), vectors)
 
 
 def postings(tokens: DataFrame) -> DataFrame:
@@ -156,14 +157,21 @@ def query_phrases(queries: DataFrame, max_tokens: int | None = None) -> DataFram
     )
 
 
-def phrase_hits(tokens: DataFrame, phrases: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """(phrase, record_id, tf, *carry): occurrences of each phrase within single columns.
+def phrase_hits(
+    tokens: DataFrame | StoredIndex, phrases: DataFrame, carry: Sequence[str] = (), among: DataFrame | None = None
+) -> DataFrame:
+    """(phrase, record_id, tf, *carry): occurrences of each phrase within single columns, in all records or
+    those of ``among``.
 
     Single terms are matched while the token arrays are exploded.  A longer phrase is a chain
     of bigrams: its j-th bigram at position p votes for a start at p - j, and a start with all
     votes is an occurrence.  The distinct phrases are stored first, so that their size in bytes
     decides between a broadcast and a shuffle on the term with adaptive splitting of hot terms.
     """
+    if isinstance(tokens, StoredIndex):
+        return tokens.hits(phrases, among).select("phrase", "record_id", "tf", *carry)
+    if among is not None:
+        tokens = tokens.join(among.select("record_id").distinct(), "record_id", "left_semi")
     # Outer explodes: the inner form would add a non-empty test that tokenises every text again.
     wanted = cut_lineage(phrases.select("phrase").distinct().withColumn("words", F.split("phrase", " ")).withColumn("m", F.size("words")))
     longest = wanted.agg(F.max("m").alias("m")).first()["m"] or 1
@@ -200,12 +208,14 @@ def _bigrams(f: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def doc_freq(tokens: DataFrame, phrases: DataFrame, served: DataFrame | None = None) -> DataFrame:
+def doc_freq(tokens: DataFrame | StoredIndex, phrases: DataFrame, served: DataFrame | None = None) -> DataFrame:
     """(phrase, df): distinct served records containing each phrase (absent phrases missing)."""
+    if isinstance(tokens, StoredIndex):
+        return tokens.doc_freq(phrases, served)
     return _among(phrase_hits(tokens, phrases), served).groupBy("phrase").agg(F.count("*").alias("df"))
 
 
-def lexical_match(queries: DataFrame, tokens: DataFrame, k: int = FUSION_CANDIDATES, max_tokens: int | None = None) -> DataFrame:
+def lexical_match(queries: DataFrame, tokens: DataFrame | StoredIndex, k: int = FUSION_CANDIDATES, max_tokens: int | None = None) -> DataFrame:
     """(query_id, rank, record_id, matched, tf): the k records with most of a query's phrases, then
     most occurrences, then the lowest id."""
     wanted = cut_lineage(query_phrases(queries, max_tokens))
@@ -228,7 +238,7 @@ class _Matches:
     weights: DataFrame
 
 
-def _matches(queries: DataFrame, tokens: DataFrame, served: DataFrame | None, max_tokens: int | None) -> _Matches:
+def _matches(queries: DataFrame, tokens: DataFrame | StoredIndex, served: DataFrame | None, max_tokens: int | None) -> _Matches:
     # These tables are read several times: query phrases are small, and the hits stand for a
     # scan of the whole corpus.
     wanted = cut_lineage(query_phrases(queries, max_tokens))
@@ -238,7 +248,11 @@ def _matches(queries: DataFrame, tokens: DataFrame, served: DataFrame | None, ma
         # Statistics are of all records; from here on only phrases of served ones can score.
         hits = cut_lineage(_among(hits, served))
         df = df.join(hits.select("phrase").distinct(), "phrase", "left_semi")
-    totals = tokens.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("t")).scalar()
+    if isinstance(tokens, StoredIndex):
+        n, average = tokens.totals()
+        totals = F.struct(F.lit(n).alias("n"), F.lit(average).alias("avgdl"))
+    else:
+        totals = tokens.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("t")).scalar()
     weights = cut_lineage(
         wanted.join(df, "phrase")
         .withColumn("t", totals)
@@ -266,7 +280,7 @@ def _fill(pairs: DataFrame, hits: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def bm25_scores(
-    queries: DataFrame, tokens: DataFrame, served: DataFrame | None = None, max_tokens: int | None = None
+    queries: DataFrame, tokens: DataFrame | StoredIndex, served: DataFrame | None = None, max_tokens: int | None = None
 ) -> DataFrame:
     """(query_id, record_id, score) of every served record matching a query.
 
@@ -344,13 +358,16 @@ def apply_floor(scored: DataFrame, floor: float | None) -> DataFrame:
 
 def bm25_topk(
     queries: DataFrame,
-    tokens: DataFrame,
+    tokens: DataFrame | StoredIndex,
     k: int = MAX_K,
     floor: float | None = None,
     served: DataFrame | None = None,
     max_tokens: int | None = None,
 ) -> DataFrame:
     """The k best records per query by Okapi BM25."""
+    if isinstance(tokens, StoredIndex):
+        least = DEFAULT_FLOOR if floor is None else floor
+        return top_ranked(apply_floor(tokens.topk(query_phrases(queries, max_tokens), k, least, served), floor), k)
     m = _matches(queries, tokens, served, max_tokens)
     scored = _pruned_scores(m, k, DEFAULT_FLOOR if floor is None else floor)
     return top_ranked(apply_floor(scored, floor), k)
@@ -464,7 +481,11 @@ def search(
     k = clamp_k(k)
     served = served_records(index, **stack)
     exact = fingerprint_match(queries, index.fingerprints, served, k, repo)
-    lexical = bm25_topk(queries, index.tokens, k, floor, served, max_tokens).withColumn("matched", F.lit("lexical"))
+    exact = cut_lineage(exact)
+    # A query that exact matches have filled takes no lexical ones.
+    filled = exact.groupBy("query_id").count().where(F.col("count") >= k)
+    open_ = queries.join(filled, "query_id", "left_anti")
+    lexical = bm25_topk(open_, index.tokens, k, floor, served, max_tokens).withColumn("matched", F.lit("lexical"))
     return _tiers(exact, lexical, k)
 
 

@@ -49,7 +49,7 @@ def fingerprint_match(s, d):
 
 
 def stack_filter(s, d):
-    idx = document_index(s, d)
+    idx = document_index(s, d, tokens=False)
     return R.stack_filter(idx.records, idx.applies_to, "FR", "SRC4").select("record_id", "kind", "status")
 
 
@@ -132,7 +132,7 @@ def globally_common(s, d):
 
 
 def ecosystem_names(s, d):
-    idx = document_index(s, d)
+    idx = document_index(s, d, tokens=False)
     return G.ecosystem_names(idx.applies_to, idx.records)
 
 

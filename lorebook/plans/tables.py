@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.ingest import typed
+from ..operators.inverted import StoredIndex
 from ..operators.retrieval import CorpusIndex, token_index
+from ..session import ensure_checkpoint_dir
 
 
 # Tables with heavy per-row work, and the key that spreads them.
@@ -125,13 +127,27 @@ def _provenance() -> Column:
     return F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ptype.fields])
 
 
-def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _plain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token index over document bodies."""
     docs = table(spark, sf_dir, "documents").select(X.record_id("doc_id").alias("record_id"), F.col("text").alias("body"))
     return token_index(docs, ["body"])
 
 
-def document_index(spark: SparkSession, sf_dir: str, vectors: bool = False) -> CorpusIndex:
+def document_tokens(spark: SparkSession, sf_dir: str, fresh: bool = False) -> StoredIndex:
+    """The stored index over document bodies, built by the first query that needs it.
+
+    It lies in the shared folder under a digest of the table's files (path, size, time of change), so a
+    changed table gets an index of its own; ``fresh`` builds it anew.
+    """
+    meta = [F.col(f"_metadata.{c}") for c in ("file_path", "file_size", "file_modification_time")]
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*meta).distinct()
+    digest = files.agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", *files.columns))), ",").cast("binary")).alias("m")).first()["m"]
+    root = f"{ensure_checkpoint_dir(spark)}/index-{digest}"
+    found = None if fresh else StoredIndex.open(spark, root)
+    return found or StoredIndex.build(_plain_tokens(spark, sf_dir), root)
+
+
+def document_index(spark: SparkSession, sf_dir: str, vectors: bool = False, tokens: bool = True) -> CorpusIndex:
     """Corpus index whose only signature is the whole document text."""
     c = corpus(spark, sf_dir)
     flat = c.select(
@@ -142,7 +158,7 @@ def document_index(spark: SparkSession, sf_dir: str, vectors: bool = False) -> C
     vecs = None
     if vectors:
         vecs = table(spark, sf_dir, "embeddings").select(X.record_id("vec_id").alias("record_id"), F.col("embedding").alias("vec"))
-    return CorpusIndex(flat, fps, applies, document_tokens(spark, sf_dir), vecs)
+    return CorpusIndex(flat, fps, applies, document_tokens(spark, sf_dir) if tokens else None, vecs)
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

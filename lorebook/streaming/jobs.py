@@ -1,22 +1,27 @@
 """Structured Streaming twins of the event-driven jobs.
 
 Every job takes a source folder, a checkpoint folder and a sink folder and returns its
-StreamingQuery.  Sinks are written per micro-batch into ``batch=<id>`` folders with overwrite,
-so a replayed batch replaces itself; :func:`latest` reads the newest row per key.
+StreamingQuery.  Sinks of events are written per micro-batch into ``batch=<id>`` folders with
+overwrite, so a replayed batch replaces itself; sinks of counters are keyed tables with versions,
+of which :func:`latest` reads the newest row per key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions import text as X
+from ..functions.ranking import range_offsets, sorted_places
 from ..functions.stats import count_if
 from ..schemas import QUEUES
+from ..session import cut_lineage
 from ..sources.logs import parse_decisions, read_queue
+from .keyed import KeyedTable
 
 # Quota state lifetime, alarm cooldown, analysis attempts and alert share.
 STATE_DAYS = 2
@@ -33,12 +38,13 @@ CALLS = "call_id BIGINT, token_id BIGINT, tool STRING, ts TIMESTAMP"
 def _write_batches(
     df: DataFrame, checkpoint: str, sink: str, mode: str, trigger: dict | None, keys: Sequence[str] = (), every: int = COMPACT_EVERY
 ) -> StreamingQuery:
-    """With ``keys``, every so many batches the sink is reduced to the newest row per key."""
+    """With ``keys``, the sink is a :class:`.keyed.KeyedTable`, merged every so many batches."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-        if keys and batch_id and batch_id % every == 0:
-            compact(batch.sparkSession, sink, keys, batch_id)
+        if keys:
+            KeyedTable(batch.sparkSession, sink, tuple(keys), every).upsert(batch, batch_id)
+        else:
+            batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return (
         df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
@@ -47,29 +53,11 @@ def _write_batches(
 
 
 def latest(spark: SparkSession, sink: str, keys: Sequence[str]) -> DataFrame:
-    """Newest row per key of a batched update sink, by a combinable aggregate."""
-    rows = spark.read.parquet(sink)
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch").cast("bigint")).alias("r"))
-    return newest.select(*keys, "r.*")
-
-
-def compact(spark: SparkSession, sink: str, keys: Sequence[str], batch_id: int) -> None:
-    """Put the newest row per key into the folder of ``batch_id`` and drop the folders before it.
-
-    The new rows stand beside the old ones until they are complete, and a folder that is left over
-    by a crash only holds rows that a later one replaces, so a replay ends in the same table.
-    """
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(sink).getFileSystem(spark._jsc.hadoopConfiguration())
-    latest(spark, sink, keys).write.mode("overwrite").parquet(f"{sink}/_compacted")
-    fs.delete(path(f"{sink}/batch={batch_id}"), True)
-    fs.rename(path(f"{sink}/_compacted"), path(f"{sink}/batch={batch_id}"))
-    for status in fs.listStatus(path(sink)):
-        name = status.getPath().getName()
-        if name.startswith("batch=") and int(name[6:]) < batch_id:
-            fs.delete(status.getPath(), True)
+    """Newest row per key of a keyed sink, pinned to the version it has now."""
+    rows = KeyedTable(spark, sink, tuple(keys)).snapshot()
+    if rows is None:
+        raise ValueError(f"no batch has been written to {sink}")
+    return rows
 
 
 def stream_decisions(spark: SparkSession, source: str, checkpoint: str, sink: str, trigger: dict | None = None) -> StreamingQuery:
@@ -163,32 +151,139 @@ def _admit(key, batches, state):
 def stream_alarm_cooldown(
     conditions: DataFrame, checkpoint: str, sink: str, cooldown: int = COOLDOWN_SECONDS, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Alarms of (condition, ts, healthy) readings: at most one per cooldown, reset when healthy."""
+    """Alarms of (condition, ts, healthy) readings: at most one per cooldown, reset when healthy.
+
+    ``sink`` gets (condition, ts) of the alarms; below ``<sink>/_status`` stands what each batch has left
+    behind (condition, healthy, last), which :func:`stream_alarm_reminders` reads.  Readings of one
+    time count in the order of their arrival.  A batch that is replayed starts from the state before it.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        table = KeyedTable(spark, f"{sink}/_state", ("condition",))
+        before = table.snapshot(batch_id)
+        if before is None:
+            before = spark.createDataFrame([], "condition string, last timestamp")
+        fired, after = cooled_alarms(batch, before, cooldown)
+        fired.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        after.write.mode("overwrite").parquet(f"{sink}/_status/batch={batch_id}")
+        table.upsert(after.select("condition", "last"), batch_id)
+
+    return (
+        conditions.select("condition", "ts", "healthy").writeStream.option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).foreachBatch(write).start()
+    )
+
 
-    def alarm(key, batches, state):
+def cooled_alarms(readings: DataFrame, before: DataFrame, cooldown: int) -> tuple[DataFrame, DataFrame]:
+    """((condition, ts) of alarms, (condition, healthy, last) after them) of readings (condition, ts, healthy).
+
+    ``before`` (condition, last) holds the alarm that a condition carries over, if any.  A healthy reading
+    ends a run, and runs of unhealthy readings don't depend on each other, but for the first one, which
+    continues what is carried over.  So readings are numbered by a range-partitioned sort, healthy ones are
+    counted as running sums, and every run is walked apart as a sorted stream that holds one time.
+    """
+    numbered = readings.where(F.col("condition").isNotNull() & F.col("ts").isNotNull()).withColumn("n", F.monotonically_increasing_id())
+    healthy = F.coalesce("healthy", F.lit(False))
+    placed = sorted_places(numbered.select(F.struct("condition", "ts", "n", healthy.alias("healthy")).alias("o")), "o")
+    resets = F.col("o.healthy").cast("bigint")
+    offsets = range_offsets(placed, {"before": F.sum(resets)})
+    upto = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    run = F.sum(resets).over(upto) + F.col("before")
+    rows = cut_lineage(placed.join(F.broadcast(offsets), "_part").select("o.*", run.alias("run")))
+    # The first run of a condition has no healthy reading of its own before it.
+    ends = rows.groupBy("condition").agg(
+        F.min(F.struct("ts", "n", "healthy", "run"))["run"].alias("run0"), F.min(F.struct("ts", "n", "healthy"))["healthy"].alias("starts_healthy"),
+        F.max(F.struct("ts", "n", "healthy"))["healthy"].alias("healthy"), F.max("run").alias("run1"),
+    )
+    ends = cut_lineage(ends.join(before.select("condition", F.col("last").alias("carried")), "condition", "left"))
+    carried = ends.where("NOT starts_healthy AND carried IS NOT NULL").select("condition", F.col("run0").alias("run"), F.lit(None).cast("timestamp").alias("ts"), F.lit(-1).cast("bigint").alias("n"), "carried")
+    each = rows.where("NOT healthy").select("condition", "run", "ts", "n", F.lit(None).cast("timestamp").alias("carried")).union(carried)
+    fired = cut_lineage(
+        each.repartition("condition", "run").sortWithinPartitions("condition", "run", F.col("ts").asc_nulls_first(), "n")
+        .mapInArrow(_walk(cooldown), "condition string, run bigint, ts timestamp")
+    )
+    newest = fired.groupBy("condition", "run").agg(F.max("ts").alias("newest"))
+    left = ends.join(newest.withColumnRenamed("run", "run1"), ["condition", "run1"], "left")
+    goes_on = (F.col("run1") == F.col("run0")) & ~F.col("starts_healthy")
+    last = F.when(~F.col("healthy"), F.coalesce("newest", F.when(goes_on, F.col("carried"))))
+    return fired.select("condition", "ts"), left.select("condition", "healthy", last.alias("last"))
+
+
+def _walk(cooldown: int):
+    def walk(batches):
+        import pyarrow as pa
+
+        key, last = None, None
+        for b in batches:
+            at = []
+            names, runs = b.column(0).to_pylist(), b.column(1).to_pylist()
+            times, carried = (b.column(c).cast(pa.int64()).to_pylist() for c in (2, 4))
+            for i, now in enumerate(zip(names, runs, strict=True)):
+                if now != key:
+                    key, last = now, None
+                if carried[i] is not None:
+                    last = carried[i]
+                elif last is None or times[i] - last >= cooldown * 1_000_000:
+                    last = times[i]
+                    at.append(i)
+            some = pa.array(at, pa.int64())
+            yield pa.record_batch([b.column(c).take(some) for c in range(3)], ["condition", "run", "ts"])
+
+    return walk
+
+
+class _Reminder(StatefulProcessor):
+    """Reminds of an alarm each time the cooldown has passed, without input, until it is cleared."""
+
+    def __init__(self, cooldown_ms: int) -> None:
+        self.cooldown_ms = cooldown_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.alarm = handle.getValueState("alarm", "batch BIGINT, last TIMESTAMP")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         import pandas as pd
 
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("ts", kind="stable")
-        fired = []
-        for ts, healthy in zip(rows["ts"], rows["healthy"]):
-            sec = ts.timestamp()
-            if healthy:
-                last = None
-            elif last is None or sec - last >= cooldown:
-                last = sec
-                fired.append(ts)
-        if last is None:
-            if state.exists:
-                state.remove()
+        newest = max(((int(r.batch), None if pd.isna(r.last) else r.last) for pdf in rows for r in pdf.itertuples()), key=lambda r: r[0])
+        if self.alarm.exists() and self.alarm.get()[0] >= newest[0]:
+            return
+        for at in [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]:
+            self.handle.deleteTimer(at)
+        if newest[1] is None:
+            self.alarm.clear()
         else:
-            state.update((last,))
-        yield pd.DataFrame({"condition": key[0], "ts": pd.Series(fired, dtype="datetime64[us]")})
+            self.alarm.update(newest)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.cooldown_ms)
+        return
+        yield
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        import pandas as pd
 
-    out = conditions.select("condition", "ts", "healthy").groupBy("condition").applyInPandasWithState(
-        alarm, "condition STRING, ts TIMESTAMP", "last DOUBLE", "append", "NoTimeout"
+        now = timerValues.getCurrentProcessingTimeInMs()
+        self.handle.registerTimer(now + self.cooldown_ms)
+        yield pd.DataFrame({"condition": [key[0]], "since": [self.alarm.get()[1]], "due": [pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_alarm_reminders(
+    spark: SparkSession, status: str, checkpoint: str, sink: str, cooldown: float = COOLDOWN_SECONDS, trigger: dict | None = None
+) -> StreamingQuery:
+    """(condition, since, due): a reminder of every alarm that stands, each time the cooldown has passed.
+
+    ``status`` is the ``_status`` folder of :func:`stream_alarm_cooldown`: one row per condition and batch.
+    Timers run on processing time, so a reminder needs no reading; a newer alarm starts the cooldown
+    anew and a healthy reading ends it.  The session needs the RocksDB state store.
+    """
+    rows = spark.readStream.schema("condition STRING, healthy BOOLEAN, last TIMESTAMP, batch BIGINT").parquet(status)
+    out = rows.groupBy("condition").transformWithStateInPandas(
+        _Reminder(int(cooldown * 1000)), "condition STRING, since TIMESTAMP, due TIMESTAMP", "append", "ProcessingTime"
     )
-    return _write_batches(out, checkpoint, sink, "append", trigger)
+    return _write_batches(out, checkpoint, sink, "append", trigger or {"processingTime": "30 seconds"})
 
 
 def stream_session_attribution(

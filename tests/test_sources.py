@@ -186,7 +186,7 @@ def test_counters_over_many_batches_are_compacted(spark, tmp_path, monkeypatch):
         rows = [(f"r{n % 3}", "retrieve", datetime(2024, 1, 1 + n).date()), ("r0", "push", datetime(2024, 1, 1).date())]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     J.stream_usage_counters(stream, str(tmp_path / "ck"), str(tmp_path / "out")).awaitTermination()
-    assert len(list((tmp_path / "out").glob("batch=*"))) <= 3
+    assert len(list((tmp_path / "out" / "data").glob("*-*"))) <= 8 and len(list((tmp_path / "out").glob("manifest-*"))) == 3
     got = {r["record_id"]: (r["retrieved"], r["pushed"]) for r in J.latest(spark, str(tmp_path / "out"), ["record_id"]).collect()}
     assert got == {"r0": (3, 8), "r1": (3, 0), "r2": (2, 0)}
 
