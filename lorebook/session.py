@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Spark's own switch: remove a query's shuffle files when it ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+# Lists of the tables stored by this thread inside :func:`settled`, innermost last.
+_scopes = threading.local()
+
 
 def build_session(app: str = "lorebook", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume (UTC, AQE, Arrow)."""
@@ -50,6 +55,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     shuffle files behind it have served their purpose and are removed at once."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    for tables in getattr(_scopes, "open", []):
+        tables.append(path)
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
@@ -57,3 +64,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``make``, stored; the tables that ``make`` has stored on the way are removed."""
+    tables: list[str] = []
+    _scopes.open = [*getattr(_scopes, "open", []), tables]
+    try:
+        df = make()
+    finally:
+        _scopes.open = [t for t in _scopes.open if t is not tables]
+    out = cut_lineage(df)
+    path = out.sparkSession._jvm.org.apache.hadoop.fs.Path
+    for table in tables:
+        at = path(table)
+        at.getFileSystem(out.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        for outer in _scopes.open:
+            if table in outer:
+                outer.remove(table)
+    return out
