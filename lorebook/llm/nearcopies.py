@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, few_rows, stored
+from .shared import connected_components, few_rows, settled, stored
 from .simhash import fingerprint_links, simhash
 
 WORDS = 5
@@ -181,13 +181,14 @@ def jaccard_links(tags: DataFrame, texts: DataFrame, rounds: int = 3) -> DataFra
     result is empty.  Repeated rows are one set.  Other columns are not read.
     """
     spark = tags.sparkSession
-    keys = stored(tags.groupBy("sid").agg(F.first("bands").alias("bands"), F.min("row").alias("row")).where(F.size("bands") > 0))
+    first = stored(tags.groupBy("sid").agg(F.min("row").alias("row")))
+    keys = tags.where(F.size("bands") > 0).join(first.select("row"), "row", "left_semi")
     each = keys.select("sid", F.explode("bands").alias("k"))
     several = each.groupBy("k").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(each.join(several, "k"))
-    degree = members.groupBy("sid").agg(F.sum(F.col("size") - 1).alias("degree"))
-    members = stored(members.select("k", "sid").join(degree, "sid"))
-    wanted = keys.join(members.select("sid").distinct(), "sid", "left_semi").select("row", "sid")
+    met = each.join(several, "k")
+    degree = met.groupBy("sid").agg(F.sum(F.col("size") - 1).alias("degree"))
+    members = stored(met.select("k", "sid").join(degree, "sid"))
+    wanted = first.join(members.select("sid").distinct(), "sid", "left_semi")
     sets = stored(texts.join(wanted, "row").select("sid", "text").mapInArrow(_sets, "sid bigint, hashes binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -223,9 +224,13 @@ def near_groups(tags: DataFrame, texts: DataFrame) -> DataFrame:
     """(sid, root) for every set id that is linked to another one, by its shingles or because
     fingerprints of its texts are linked as in ``op3_simhash_bktree``; arguments as in ``jaccard_links``
     with ``fp`` in ``tags``.  Set ids without a link are not in it; empty input gives an empty result."""
-    classes = stored(tags.groupBy("fp").agg(F.min("sid").alias("lead")))
-    pairs = fingerprint_links(classes)
-    linked = pairs.join(classes.toDF("a", "u"), "a").join(classes.toDF("b", "v"), "b").select("u", "v")
-    same = tags.select("fp", "sid").join(classes, "fp").where("sid != lead").select("sid", "lead").distinct()
-    edges = jaccard_links(tags, texts).union(linked).union(same)
-    return connected_components(edges).toDF("sid", "root")
+
+    def links() -> DataFrame:
+        classes = stored(tags.groupBy("fp").agg(F.min("sid").alias("lead")))
+        pairs = fingerprint_links(classes)
+        linked = pairs.join(classes.toDF("a", "u"), "a").join(classes.toDF("b", "v"), "b").select("u", "v")
+        same = tags.select("fp", "sid").join(classes, "fp").where("sid != lead").select("sid", "lead").distinct()
+        edges = jaccard_links(tags, texts).union(linked).union(same)
+        return connected_components(edges).toDF("sid", "root")
+
+    return settled(links)

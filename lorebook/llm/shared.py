@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage as stored
+from ..session import settled
 
-__all__ = ["broadcast_bounded", "connected_components", "documents", "few_rows", "fresh", "ranked", "stored", "word_count"]
+__all__ = ["broadcast_bounded", "connected_components", "documents", "few_rows", "fresh", "ranked", "settled", "stored", "word_count"]
 
 # Largest table (rows of a few narrow columns) that may be sent to every executor.
 BROADCAST_ROWS = 100_000
