@@ -29,8 +29,9 @@ SCALE = 256
 COMPONENTS = 4
 # Vectors that the search space starts with beyond the wanted ones, its width and MINRES steps a round.
 EXTRA, WIDTH, INNER, ROUNDS = 4, 24, 10, 200
-# Tasks that add up the partial sums of a product.
-FAN = 8
+# Tasks that add up the partial sums of a product, and bytes of the fit list in one part.
+FAN = 4
+PART = 4 << 20
 SEED = 13
 EPS = float(np.finfo(np.float64).eps)
 
@@ -292,7 +293,9 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
     common = rows.groupBy("d").count().orderBy(F.desc("count"), F.desc("d")).first()
     d = common["d"] if common else 0
     rows = rows.where(F.col("d") == d)
-    model = fit_whitening(stored(rows.select("x").distinct()), d, components)
+    # Many products read the fit list, so it lies in parts of a fair size whatever the table's.
+    parts = max(1, -(-common["count"] * d * 8 // PART)) if common else 1
+    model = fit_whitening(stored(rows.select("x").distinct().repartition(parts)), d, components)
     schema = "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"
     if model is None:
         return spark.createDataFrame([], schema)
