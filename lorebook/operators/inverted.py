@@ -357,7 +357,7 @@ class StoredIndex:
     def topk(self, wanted: DataFrame, k: int, floor: float, served: DataFrame | None = None) -> DataFrame:
         """(query_id, record_id, score): every record that is among the k best of a query (query_id, phrase, qtf)
         by BM25, from ``floor`` on; exact, ties by id included."""
-        weighed, average = self.weights(wanted)
+        weighed, average = self.weights(cut_lineage(wanted))
         weighed = cut_lineage(weighed)
         kind = weighed.schema["query_id"].dataType.simpleString()
         asking = cut_lineage(
