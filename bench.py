@@ -11,7 +11,6 @@ import sys
 import time
 
 from lorebook.plans import registry
-from lorebook.plans.tables import document_tokens
 from lorebook.session import build_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -35,11 +34,6 @@ def main(names: list[str]) -> None:
     # One small warm-up, so that the first query does not carry the JVM's start.
     queries["status_counts"](spark, SF_DIR).collect()
     times: dict[str, float] = {}
-    # The stored index is built once; the searches after it open it.
-    start = time.perf_counter()
-    document_tokens(spark, SF_DIR, fresh=True)
-    times["index_build"] = round(time.perf_counter() - start, 3)
-    print(f"index_build: {times['index_build']}", file=sys.stderr, flush=True)
     for name in names or HEADLINE:
         start = time.perf_counter()
         queries[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()

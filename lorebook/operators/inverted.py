@@ -179,7 +179,8 @@ class StoredIndex:
         cores = spark.sparkContext.defaultParallelism
         total = tokens.agg(F.sum("dl")).first()[0] or 0
         size = min(MOST_TOKENS, max(LEAST_TOKENS, total // (4 * cores)))
-        buckets = min(4096, max(cores, total // (4 * size)))
+        # A join keeps to the buckets if the session's shuffles have no more partitions.
+        buckets = min(4096, max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")), total // (4 * size)))
         return StoredIndex(spark, root, buckets, size, ())._added(tokens)
 
     @staticmethod

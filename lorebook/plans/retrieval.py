@@ -16,6 +16,7 @@ from .tables import (
     document_index,
     document_tokens,
     records,
+    stored_tokens,
     table,
     turn_queries,
 )
@@ -61,6 +62,16 @@ def bm25_topk(s, d):
     return _score(R.bm25_topk(benchmark_queries(s, d), document_tokens(s, d), 3))
 
 
+def stored_bm25_topk(s, d):
+    """The same ranking out of the stored index."""
+    return _score(R.bm25_topk(benchmark_queries(s, d), stored_tokens(s, d), 3))
+
+
+def stored_doc_freq(s, d):
+    idx = document_index(s, d, tokens=False)
+    return R.doc_freq(stored_tokens(s, d), R.query_phrases(benchmark_queries(s, d)), R.served_records(idx))
+
+
 def _drafts(s, d):
     """Documents outside the validated corpus, as queries."""
     return corpus(s, d).where(F.col("status") != "validated").select(F.col("id").alias("query_id"), F.col("body").alias("text"))
@@ -177,7 +188,7 @@ def embedding_cache_miss(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        fingerprint_corpus, fingerprint_match, stack_filter, lexical_match, bm25_topk, search, assess_novelty, dense_match,
+        fingerprint_corpus, fingerprint_match, stack_filter, lexical_match, bm25_topk, stored_bm25_topk, stored_doc_freq, search, assess_novelty, dense_match,
         rrf_fuse, retrieve_fused, build_idf, globally_common, ecosystem_names, doc_freq, discriminative_tokens, corroborate,
         push_gate, embedding_cache_miss,
     )
@@ -222,7 +233,13 @@ DISC = f"""{gate_ctes()},
   disc AS (SELECT query_id, token, pos, phrase, gdf.df AS df, coalesce(idf.df / tot.n > 0.1, false) AS common
       FROM gphr JOIN gdf USING (phrase) LEFT JOIN idf ON idf.word = token, tot)"""
 
+_BM25_TOPK = f"""WITH {Q.CORPUS}, {Q.BENCHMARK_QUERIES}, {Q.document_tokens()}, {Q.bm25_ctes('queries')}
+      SELECT query_id, rank, record_id, round(score, 6) AS score FROM top"""
+
 SQL = {
+    "stored_bm25_topk": _BM25_TOPK,
+    "stored_doc_freq": f"""WITH {Q.CORPUS}, {Q.BENCHMARK_QUERIES}, {Q.document_tokens()}, {Q.phrase_ctes('queries')}
+      SELECT phrase, count(*) AS df FROM hits JOIN corpus USING (record_id) WHERE {VALID} GROUP BY phrase""",
     "fingerprint_corpus": f"""SELECT doc_id, line, {Q.norm('text')} AS normalized, {Q.fingerprint('text')} AS fp FROM (
       SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents)""",
     "fingerprint_match": f"""WITH {Q.CORPUS},
@@ -236,8 +253,7 @@ SQL = {
     "lexical_match": f"""WITH {Q.CORPUS}, {Q.BENCHMARK_QUERIES}, {Q.document_tokens()}, {Q.phrase_ctes('queries')},
       m AS (SELECT query_id, record_id, count(*) AS matched, CAST(sum(qtf * tf) AS BIGINT) AS tf FROM hits JOIN qphr USING (phrase) GROUP BY ALL)
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, tf DESC, record_id) AS rank FROM m) WHERE rank <= 10""",
-    "bm25_topk": f"""WITH {Q.CORPUS}, {Q.BENCHMARK_QUERIES}, {Q.document_tokens()}, {Q.bm25_ctes('queries')}
-      SELECT query_id, rank, record_id, round(score, 6) AS score FROM top""",
+    "bm25_topk": _BM25_TOPK,
     "search": f"""WITH {Q.CORPUS}, {DRAFTS}, {Q.document_tokens(VALID)}, {Q.fp_ctes('queries')}, {Q.bm25_ctes('queries')},
       lex AS (SELECT *, 'lexical' AS matched FROM top), {_tiers('lex')}
       SELECT query_id, rank, record_id, round(score, 6) AS score, matched FROM hitlist""",

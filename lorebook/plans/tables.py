@@ -127,13 +127,13 @@ def _provenance() -> Column:
     return F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ptype.fields])
 
 
-def _plain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token index over document bodies."""
     docs = table(spark, sf_dir, "documents").select(X.record_id("doc_id").alias("record_id"), F.col("text").alias("body"))
     return token_index(docs, ["body"])
 
 
-def document_tokens(spark: SparkSession, sf_dir: str, fresh: bool = False) -> StoredIndex:
+def stored_tokens(spark: SparkSession, sf_dir: str, fresh: bool = False) -> StoredIndex:
     """The stored index over document bodies, built by the first query that needs it.
 
     It lies in the shared folder under a digest of the table's files (path, size, time of change), so a
@@ -144,7 +144,7 @@ def document_tokens(spark: SparkSession, sf_dir: str, fresh: bool = False) -> St
     digest = files.agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", *files.columns))), ",").cast("binary")).alias("m")).first()["m"]
     root = f"{ensure_checkpoint_dir(spark)}/index-{digest}"
     found = None if fresh else StoredIndex.open(spark, root)
-    return found or StoredIndex.build(_plain_tokens(spark, sf_dir), root)
+    return found or StoredIndex.build(document_tokens(spark, sf_dir), root)
 
 
 def document_index(spark: SparkSession, sf_dir: str, vectors: bool = False, tokens: bool = True) -> CorpusIndex:
