@@ -78,7 +78,7 @@ def _summed(fit: DataFrame, part: Callable[[np.ndarray], np.ndarray], d: int, si
             total += part(_matrix(b.column(0), d))
         yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["i", "v"])
 
-    sums = fit.select("x").mapInArrow(partial, "i int, v binary").repartition(FAN, "i").mapInArrow(_added, "i int, v binary").collect()
+    sums = fit.select("x").mapInArrow(partial, "i int, v binary").repartition(FAN).mapInArrow(_added, "i int, v binary").collect()
     return np.sum([np.zeros(size), *(np.frombuffer(r.v) for r in sorted(sums))], axis=0)
 
 
