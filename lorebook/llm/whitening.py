@@ -19,7 +19,6 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +28,7 @@ SCALE = 256
 COMPONENTS = 4
 # Vectors that the search space starts with beyond the wanted ones, its width and MINRES steps a round.
 EXTRA, WIDTH, INNER, ROUNDS = 4, 24, 10, 200
-# Tasks that add up the partial sums of a product, and bytes of the fit list in one part.
-FAN = 4
+# Bytes of the fit list in one part.
 PART = 4 << 20
 SEED = 13
 EPS = float(np.finfo(np.float64).eps)
@@ -60,26 +58,20 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, d)
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for all partial sums of a task, added in the order of their numbers."""
-    rows = sorted((i, v) for b in batches for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-    if rows:
-        total = np.sum([np.frombuffer(v) for _, v in rows], axis=0)
-        yield pa.record_batch([pa.array([rows[0][0]], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["i", "v"])
-
-
 def _summed(fit: DataFrame, part: Callable[[np.ndarray], np.ndarray], d: int, size: int) -> np.ndarray:
-    """Sum of ``part`` (a flat array of ``size`` numbers) over blocks of rows: one partial sum for each
-    task, these added in ``FAN`` tasks, and what is left on the driver, always in the same order."""
+    """Sum of ``part`` (a flat array of ``size`` numbers) over blocks of rows: each task adds up its own,
+    the tasks' sums are added by place."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for b in batches:
             total += part(_matrix(b.column(0), d))
-        yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["i", "v"])
+        yield pa.record_batch([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], ["i", "v"])
 
-    sums = fit.select("x").mapInArrow(partial, "i int, v binary").repartition(FAN).mapInArrow(_added, "i int, v binary").collect()
-    return np.sum([np.zeros(size), *(np.frombuffer(r.v) for r in sorted(sums))], axis=0)
+    out = np.zeros(size)
+    for r in fit.select("x").mapInArrow(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r.i] = r.v
+    return out
 
 
 def _sums(fit: DataFrame, d: int) -> list[int]:
