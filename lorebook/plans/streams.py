@@ -50,12 +50,16 @@ def stream_tenant_calls(s, d):
 
 
 def stream_quota(s, d):
+    """Two deliveries: every tenth call comes with the second one, when some days have closed."""
     ck, sink = _folders(s)
-    calls = _replay(s, d).select(F.col("event_id").alias("call_id"), F.col("user_id").alias("token_id"), "ts")
+    source = sink.replace("/sink", "/calls")
+    calls = table(s, d, "events").select(F.col("event_id").alias("call_id"), F.col("user_id").alias("token_id"), F.col("ts").cast("timestamp").alias("ts"))
     quotas = table(s, d, "customer").select(F.col("c_custkey").alias("token_id"), (F.col("c_nationkey") % 4).cast("bigint").alias("daily_quota"))
-    _finish(J.stream_quota(calls, quotas, ck, sink))
-    # Which calls of a day come first depends on arrival; how many are admitted does not.
-    return s.read.parquet(sink).groupBy("token_id", "day").agg(F.count("*").alias("calls"), F.count(F.when(F.col("admitted"), 1)).alias("admitted"))
+    second = F.col("call_id") % 10 == 0
+    for part in (calls.where(~second), calls.where(second)):
+        part.write.mode("append").parquet(source)
+        _finish(J.stream_quota(s.readStream.schema(calls.schema).parquet(source), quotas, ck, sink))
+    return s.read.parquet(sink).select("token_id", "day", "call_id", "admitted", "reason")
 
 
 def stream_digest(s, d):
@@ -77,7 +81,7 @@ def stream_session_attribution(s, d):
     verdicts = e.where("event_type = 'purchase'").select(*pair, (F.col("value") > 5).alias("used"))
     served = e.where("event_type = 'view'").select(*pair)
     _finish(J.stream_session_attribution(verdicts, served, ck, sink))
-    return s.read.parquet(sink).select("session", "record_id").distinct()
+    return s.read.parquet(sink).where("served").select("session", "record_id")
 
 
 def stream_alarm_cooldown(s, d):
@@ -115,8 +119,11 @@ SQL = {
       SELECT condition, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM st WHERE fired""",
     "stream_usage_counters": f"WITH {LP.USE} SELECT record_id, {LP._COUNTS} FROM use GROUP BY record_id",
     "stream_tenant_calls": LP.SQL["daily_calls"],
-    "stream_quota": """WITH n AS (SELECT user_id AS token_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS calls FROM events GROUP BY ALL)
-      SELECT token_id, day, calls, CAST(CASE WHEN c_nationkey IS NULL THEN 0 WHEN c_nationkey % 4 <= 0 THEN calls ELSE least(calls, c_nationkey % 4) END AS BIGINT) AS admitted FROM n LEFT JOIN customer ON c_custkey = token_id""",
+    "stream_quota": f"""WITH c AS (SELECT event_id AS call_id, user_id AS token_id, ts, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id % 10 = 0 AS second FROM events),
+      j AS (SELECT c.*, c_nationkey % 4 AS quota, CASE WHEN second AND (SELECT max(ts) FROM c WHERE NOT second) >= CAST(ts AS DATE) + INTERVAL {1 + J.STATE_DAYS} DAY THEN 'late' WHEN c_custkey IS NULL THEN 'unknown' END AS refused
+        FROM c LEFT JOIN customer ON c_custkey = token_id),
+      r AS (SELECT *, refused IS NULL AND (quota <= 0 OR row_number() OVER (PARTITION BY token_id, day, refused IS NULL ORDER BY second, ts, call_id) <= quota) AS admitted FROM j)
+      SELECT token_id, day, call_id, admitted, CASE WHEN NOT admitted THEN coalesce(refused, 'quota') END AS reason FROM r""",
     "stream_digest": """WITH e AS (SELECT CASE event_type WHEN 'view' THEN 'search' ELSE 'push' END AS channel, CASE event_type WHEN 'click' THEN 'prompt' WHEN 'error' THEN 'error' ELSE '' END AS trigger, value > 10 AS hit,
         unnest(generate_series(date_trunc('hour', ts) + INTERVAL 1 HOUR, date_trunc('hour', ts) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS u FROM events WHERE event_type IN ('view', 'click', 'error'))
       SELECT strftime(u, '%Y-%m-%d %H:%M:%S') AS until, channel, trigger, count(*) AS queries, count(*) FILTER (hit) AS served FROM e GROUP BY ALL""",

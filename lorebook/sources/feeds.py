@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.text import S
 from ..schemas import EOL_CYCLE, OSV, PACKAGE_META
+from ..session import cut_lineage
 
 # Feed patterns and licence allowlist.
 RELEASE_HEADING = r"^## \d{4}-\d{2}-\d{2}, Version ([^\t\n\f\r ]+)"
@@ -94,16 +95,40 @@ def breaking_entries(docs: DataFrame, cap: int | None = None) -> DataFrame:
     # Only headings and marked lines take part in the fold.
     relevant = F.filter(lines, lambda x: x.rlike(RELEASE_HEADING) | F.contains(x, F.lit("(SEMVER-MAJOR)")))
     found = docs.select("doc", F.explode(F.aggregate(relevant, start, step, lambda acc: acc["found"])).alias("f"))
-    part = lambda i: F.regexp_extract("f.line", SEMVER_MAJOR, i)
-    out = found.where(F.col("f.line").rlike(SEMVER_MAJOR)).select(
-        "doc", F.col("f.version").alias("version"), part(1).alias("subsystem"), X.utrim(part(2)).alias("subject"), part(4).alias("url")
+    return _parsed_entries(found.select("doc", "f.version", "f.line"), cap)
+
+
+def _parsed_entries(marked: DataFrame, cap: int | None) -> DataFrame:
+    part = lambda i: F.regexp_extract("line", SEMVER_MAJOR, i)
+    out = marked.where(F.col("line").rlike(SEMVER_MAJOR)).select(
+        "doc", "version", part(1).alias("subsystem"), X.utrim(part(2)).alias("subject"), part(4).alias("url")
     )
     return out if cap is None else out.orderBy("version", "subsystem", "subject", "url", "doc").limit(cap)
 
 
 def changelog_breaking(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
-    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc"), F.col("value").alias("text"))
-    return breaking_entries(docs, cap)
+    """:func:`breaking_entries` of changelog files of any size, a folder or a pattern of them.
+
+    Files are read by lines in ranges of bytes, as Spark splits them.  A line's version is the last heading of
+    its own range or, before the first one there, that of the ranges before; only headings and marked lines
+    are stored and sorted, and of a range only its last heading meets the other ranges.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("doc"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"),
+        F.rtrim("value", F.lit("\r")).alias("line"),
+    )
+    heading = F.regexp_extract("line", RELEASE_HEADING, 1)
+    told = lines.withColumn("heading", F.when(heading != "", heading))
+    rows = cut_lineage(told.where(F.col("heading").isNotNull() | F.contains("line", F.lit("(SEMVER-MAJOR)"))))
+    # Numbers of a range rise with its lines, as one task reads it.
+    upto = Window.partitionBy("path", "start").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy("path", "start").agg(F.max_by("heading", F.when(F.col("heading").isNotNull(), F.col("n"))).alias("end"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("path", "start", F.last("end", ignorenulls=True).over(before).alias("carried"))
+    held = rows.withColumn("own", F.last("heading", ignorenulls=True).over(upto)).join(carried, ["path", "start"])
+    versions = held.where("heading IS NULL").select("doc", F.coalesce("own", "carried").alias("version"), "line")
+    return _parsed_entries(versions.where("version IS NOT NULL"), cap)
 
 
 def gotcha_sections(docs: DataFrame, prefix: str = "## ", cap: int | None = None) -> DataFrame:

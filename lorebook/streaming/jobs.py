@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions import text as X
-from ..functions.ranking import range_offsets, sorted_places
+from ..functions.ranking import bucketed_row_number, range_offsets, sorted_places
 from ..functions.stats import count_if
 from ..schemas import QUEUES
 from ..session import cut_lineage
@@ -109,43 +109,63 @@ def stream_digest(decisions: DataFrame, checkpoint: str, sink: str, trigger: dic
 
 
 def stream_quota(calls: DataFrame, quotas: DataFrame, checkpoint: str, sink: str, trigger: dict | None = None) -> StreamingQuery:
-    """Admit calls (call_id, token_id, ts) while the token's daily count is below its quota.
+    """Answer every call (call_id, token_id, ts) of a stream by ``quotas`` (token_id, daily_quota).
 
-    State is one counter per (token, UTC day).  A quota of zero or less is unlimited; a token
-    without a quota row is rejected.
+    ``sink`` gets (token_id, day, call_id, admitted, reason) as :func:`answered_calls` defines them.  Below
+    ``<sink>/_used`` stand the admitted calls of each limited token and UTC day, below ``<sink>/_seen`` the
+    newest time of all batches; a batch that is replayed starts from what the batches before it have left.
     """
-    joined = calls.join(quotas, "token_id", "left").select(
-        "token_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "call_id", "ts", "daily_quota"
-    )
-    out = joined.withWatermark("ts", f"{STATE_DAYS} days").groupBy("token_id", "day").applyInPandasWithState(
-        _admit, "token_id BIGINT, day STRING, call_id BIGINT, admitted BOOLEAN", "calls BIGINT", "append", "EventTimeTimeout"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        counters, clock = KeyedTable(spark, f"{sink}/_used", ("token_id", "day")), KeyedTable(spark, f"{sink}/_seen", ("name",))
+        seen, used = clock.snapshot(batch_id), counters.snapshot(batch_id)
+        newest = seen.first()["newest"] if seen is not None else None
+        if used is None:
+            used = spark.createDataFrame([], "token_id bigint, day string, calls bigint")
+        answers = cut_lineage(answered_calls(batch, quotas, used, newest))
+        answers.select("token_id", "day", "call_id", "admitted", "reason").write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        latest = answers.agg(F.max(F.unix_micros("ts"))).first()[0]
+        newest = max((t for t in (newest, latest) if t is not None), default=None)
+        clock.upsert(spark.createDataFrame([("calls", newest)], "name string, newest bigint"), batch_id)
+        more = answers.where("admitted AND daily_quota > 0").groupBy("token_id", "day").agg(F.count("*").alias("more"))
+        after = more.join(used, ["token_id", "day"], "left").select("token_id", "day", (F.col("more") + F.coalesce("calls", F.lit(0))).alias("calls"))
+        counters.upsert(after, batch_id, alive=~_day_closed(newest))
+
+    return (
+        calls.select("call_id", "token_id", "ts").writeStream.option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).foreachBatch(write).start()
     )
-    return _write_batches(out, checkpoint, sink, "append", trigger)
 
 
-def _admit(key, batches, state):
-    import numpy as np
-    import pandas as pd
+def _day_closed(newest: int | None) -> Column:
+    """Whether ``day`` ended ``STATE_DAYS`` days or more before the newest time seen, in microseconds."""
+    end = F.unix_micros(F.to_timestamp("day", "yyyy-MM-dd")) + (1 + STATE_DAYS) * 86_400_000_000
+    return F.coalesce(end <= F.lit(newest).cast("bigint"), F.lit(False))
 
-    if state.hasTimedOut:
-        state.remove()
-        return
-    used = state.get[0] if state.exists else 0
-    for pdf in batches:
-        quota = pdf["daily_quota"].iloc[0]
-        n = len(pdf)
-        if pd.isna(quota):
-            free = 0
-        elif quota <= 0:
-            free = n
-        else:
-            free = max(0, min(n, int(quota) - used))
-        used += free
-        yield pd.DataFrame({"token_id": key[0], "day": key[1], "call_id": pdf["call_id"], "admitted": np.arange(n) < free})
-    state.update((used,))
-    end = int(pd.Timestamp(key[1]).value // 1_000_000) + (1 + STATE_DAYS) * 86_400_000
-    if end > state.getCurrentWatermarkMs():
-        state.setTimeoutTimestamp(end)
+
+def answered_calls(calls: DataFrame, quotas: DataFrame, used: DataFrame, newest: int | None) -> DataFrame:
+    """(token_id, day, call_id, ts, daily_quota, admitted, reason): one answer for each call of a batch.
+
+    Calls of a token and UTC day are admitted by time, then call_id, while fewer than its quota are; ``used``
+    (token_id, day, calls) holds what earlier batches have admitted.  A quota of zero or less is
+    unlimited.  ``reason`` is null for an admitted call, else quota; late, if the day had closed by the
+    newest time of earlier batches; time, if ``ts`` is null; unknown, for a token without a quota.
+    Calls are ranked inside minutes, so that a hot token is many small groups.
+    """
+    named = calls.join(quotas.select("token_id", "daily_quota"), "token_id", "left").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    refused = (
+        F.when(F.col("ts").isNull(), "time").when(_day_closed(newest), "late").when(F.col("daily_quota").isNull(), "unknown")
+    )
+    rows = cut_lineage(named.withColumn("refused", refused))
+    limited = F.col("refused").isNull() & (F.col("daily_quota") > 0)
+    ranked = bucketed_row_number(rows.where(limited), ["token_id", "day"], ["ts", "call_id"], F.date_trunc("minute", "ts"), "place")
+    free = F.col("place") <= F.col("daily_quota") - F.coalesce("calls", F.lit(0))
+    judged = ranked.join(used.select("token_id", "day", "calls"), ["token_id", "day"], "left").withColumn("admitted", free)
+    rest = rows.where(~limited).withColumn("admitted", F.col("refused").isNull())
+    columns = ["token_id", "day", "call_id", "ts", "daily_quota", "refused", "admitted"]
+    both = judged.select(*columns).union(rest.select(*columns))
+    return both.withColumn("reason", F.when(~F.col("admitted"), F.coalesce("refused", F.lit("quota")))).drop("refused")
 
 
 def stream_alarm_cooldown(
@@ -291,14 +311,19 @@ def stream_session_attribution(
 ) -> StreamingQuery:
     """Used verdicts joined to what their session was served at most ``within`` before.
 
-    Both streams are (session, record_id, ts); either side may be late by the same bound.
+    Both streams are (session, record_id, ts); either side may be late by the same bound.  ``sink`` gets
+    (session, record_id, v_ts, served): a pair of session and record is confirmed once, however often it was
+    served or judged, unless it comes again after the watermark has passed it by ``within``.  A verdict for
+    which nothing was served comes with ``served`` false when the watermark rules a match out; a null session
+    or record matches nothing.
     """
     v = verdicts.where("used").select(F.col("session").alias("v_session"), F.col("record_id").alias("v_record"), F.col("ts").alias("v_ts"))
     v, s = v.withWatermark("v_ts", within), served.select("session", "record_id", "ts").withWatermark("ts", within)
     near = (F.col("v_ts") >= F.col("ts")) & (F.col("v_ts") <= F.col("ts") + F.expr(f"INTERVAL {within}"))
-    joined = v.join(s, (F.col("v_session") == F.col("session")) & (F.col("v_record") == F.col("record_id")) & near)
-    # One confirmation per session and record: readers take the distinct pairs.
-    return _write_batches(joined.select("session", "record_id", "v_ts", "ts"), checkpoint, sink, "append", trigger)
+    joined = v.join(s, (F.col("v_session") == F.col("session")) & (F.col("v_record") == F.col("record_id")) & near, "left_outer")
+    found = joined.select(F.col("v_session").alias("session"), F.col("v_record").alias("record_id"), "v_ts", F.col("ts").isNotNull().alias("served"))
+    once = found.dropDuplicatesWithinWatermark(["session", "record_id", "served"])
+    return _write_batches(once, checkpoint, sink, "append", trigger)
 
 
 def stream_queue_drain(

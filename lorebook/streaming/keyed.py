@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import manifest
@@ -49,8 +49,9 @@ class KeyedTable:
                 return self._newest(self._rows(content["parts"])).drop(BATCH)
         return None
 
-    def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        """Put a batch's rows, one per key, in place of the old ones.  A batch that is replayed changes nothing."""
+    def upsert(self, batch: DataFrame, batch_id: int, alive: Column | None = None) -> None:
+        """Put a batch's rows, one per key, in place of the old ones.  A batch that is replayed changes nothing.
+        Rows that are not ``alive`` may be forgotten; they go when parts are merged."""
         known = self._versions()
         content = known[-1][1] if known else {"batch": -1, "parts": []}
         if content["batch"] >= batch_id:
@@ -60,7 +61,8 @@ class KeyedTable:
         parts = [*content["parts"], name]
         if len(parts) > self.every:
             merged = f"merged-{batch_id}-{uuid.uuid4().hex}"
-            self._newest(self._rows(parts)).write.parquet(f"{self.root}/data/{merged}")
+            rows = self._newest(self._rows(parts))
+            (rows if alive is None else rows.where(alive)).write.parquet(f"{self.root}/data/{merged}")
             parts = [merged]
         manifest.publish(self.spark, self.root, {"batch": batch_id, "parts": parts})
         self._vacuum([*known, (0, {"parts": parts})])
