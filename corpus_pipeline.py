@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebook.llm import bpe, mixing, nearcopies, substring, toxicity
-from lorebook.llm.shared import documents, fresh, stored
+from lorebook.llm.shared import documents, fresh, settled, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,14 +26,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     last; rows of one id are told apart by the hash of their text, then by their place.
     """
     row = fresh(docs, "row")
-    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
-    tags = nearcopies.tag(numbered, row)
-    roots = nearcopies.near_groups(tags, numbered.select(F.col(row).alias("row"), "text"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text").alias("h"), "row").alias("order")
-    rows = numbered.select(F.col(row).alias("row"), "doc_id", "text").select("row", order).join(tags.select("row", "sid"), "row")
-    rooted = rows.join(roots, "sid", "left")
-    leads = rooted.groupBy(F.coalesce("root", "sid")).agg(F.min("order").alias("order")).select(F.col("order.row").alias(row))
-    return numbered.join(leads, row, "left_semi").select(*docs.columns)
+
+    def kept() -> DataFrame:
+        numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+        tags = nearcopies.tag(numbered, row)
+        roots = nearcopies.near_groups(tags, numbered.select(F.col(row).alias("row"), "text"))
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text").alias("h"), "row").alias("order")
+        rows = numbered.select(F.col(row).alias("row"), "doc_id", "text").select("row", order).join(tags.select("row", "sid"), "row")
+        rooted = rows.join(roots, "sid", "left")
+        leads = rooted.groupBy(F.coalesce("root", "sid")).agg(F.min("order").alias("order")).select(F.col("order.row").alias(row))
+        return numbered.join(leads, row, "left_semi").select(*docs.columns)
+
+    # What the search stores is as large as the documents, so it goes before the next stage.
+    return settled(kept)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
