@@ -21,9 +21,13 @@ SCOPES = ("aggregate", "team", "record")
 
 
 def pilot_rows(report: DataFrame) -> DataFrame:
-    """The report as text columns in header order: six-decimal rates, blanks where undefined."""
+    """The report as text columns in header order: six-decimal rates, blanks where undefined.
+
+    A rate is rounded from its exact binary value, half to even, as C and Go do; ``format_string`` rounds the
+    shortest decimal up instead.
+    """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rate = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.format_string("%.6f", F.col(c)))
+    rate = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.translate(F.format_number(F.col(c), 6), ",", ""))
     return report.select(
         "scope", "arm", "team", "record_id",
         *[text(c).alias(c) for c in PILOT_COUNTS],

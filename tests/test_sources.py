@@ -156,6 +156,16 @@ def test_pack_manifest_and_pilot_csv(spark, sf, tmp_path):
     assert len(back.columns) == 31 and back.where("scope = 'aggregate'").count() == 2
 
 
+def test_pilot_rates_round_exact_binary_values(spark):
+    rates = [1 / 128, 3 / 128, 0.1234565, 0.0, 1.0, None]
+    report = spark.createDataFrame([(i, r) for i, r in enumerate(rates)], "i int, r double").select(
+        *[F.lit("x").alias(c) for c in ("scope", "arm", "team", "record_id")], *[F.col("i").alias(c) for c in sinks.PILOT_COUNTS],
+        *[F.col("r").alias(c) for c in sinks.PILOT_RATES],
+    )
+    got = {r[sinks.PILOT_COUNTS[0]]: r[sinks.PILOT_RATES[0]] for r in sinks.pilot_rows(report).collect()}
+    assert got == {str(i): "" if r is None else "%.6f" % r for i, r in enumerate(rates)}
+
+
 def test_queue_drain_dead_letters(spark, tmp_path):
     queue = tmp_path / "queue"
     queue.mkdir()
