@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from lorebook.operators import inverted
 from lorebook.operators import retrieval as R
@@ -104,3 +106,18 @@ def test_empty_index(spark, queries, tmp_path):
     plain = tokens_of(spark, [])
     index = StoredIndex.build(plain, f"{tmp_path}/i")
     assert R.bm25_topk(queries, index, 3).count() == 0 and index.hits(R.query_phrases(queries)).count() == 0
+
+
+def test_memory_of_a_full_block():
+    """Building and opening a block of the greatest size takes a bounded share of an executor's Python."""
+    each = 512
+    records = inverted.MOST_TOKENS // each
+    terms = pa.array([f"t{i % 50_000}" for i in range(records * each)])
+    columns = pa.ListArray.from_arrays(pa.array(range(0, records * each + 1, each), pa.int32()), terms)
+    fields = pa.ListArray.from_arrays(pa.array(range(records + 1), pa.int32()), columns)
+    block = pa.table({"block": [0] * records, "record_id": [f"r{i:06d}" for i in range(records)], "fields": fields, "dl": [each] * records})
+    tracemalloc.start()
+    opened = inverted._Block(inverted._block_rows((pa.scalar(0),), block), float(each))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(opened.ids) == records and peak < 256 << 20
