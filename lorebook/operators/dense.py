@@ -7,12 +7,15 @@ k-th best score there, or the floor, then rules out all cells whose best possibl
 it visits the others.  Results are exact, ties included, whatever the pivots.
 
 Both sides stay on Spark: a visit is a row, and one task's group is a block of at most about ``BLOCK``
-vectors of one cell with its share of the visiting queries, which stream past it.  Only pivots and one row
-per cell pass through the driver; they are at most ``PIVOTS`` for each length of vector.
+vectors of one cell with its share of the visiting queries, which stream past it.  Where bounds rule out little, a
+query is shuffled once for each cell and a vector once for each share, so cells and shares grow with the tables up
+to what a task holds.  Only pivots and one row per cell pass through the driver; they are at most ``PIVOTS`` for
+each length of vector.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +25,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# Vectors that a cell is meant to hold, the bound on pivots, and vectors and queries of one group.
+# Vectors that a cell is meant to hold at least, the bound on pivots, and vectors and queries of one group.
 CELL, PIVOTS = 1024, 2048
-BLOCK, SHARE = 4096, 16_384
+BLOCK, SHARE = 1 << 15, 1 << 15
 # Scores are compared at this many decimals, so that ranks do not depend on summation order.
 DECIMALS = 9
 # Allowance for the rounding of angles.
@@ -57,6 +60,11 @@ def _matrix(units, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(units), np.float64).reshape(-1, d)
 
 
+def cell_size(n: int, cores: int) -> int:
+    """Vectors of a cell, and queries of a share, so that ``n`` of each make some groups for every core."""
+    return min(BLOCK, max(CELL, -(-n // math.isqrt(4 * cores))))
+
+
 def choose_pivots(units: DataFrame, cell: int = CELL, most: int = PIVOTS) -> dict[int, np.ndarray]:
     """Pivots for each length: as many vectors, chosen by a hash of their values, as give cells of about
     ``cell`` vectors, at most ``most``."""
@@ -179,10 +187,10 @@ def _met(floor: float, k: int):
     return scored
 
 
-def _meet(visits: DataFrame, cells: DataFrame, floor: float, k: int) -> DataFrame:
+def _meet(visits: DataFrame, cells: DataFrame, floor: float, k: int, share: int) -> DataFrame:
     """(query_id, record_id, score): the k best of every visited block for each visit."""
     types = visits.schema["query_id"].dataType.simpleString(), cells.schema["record_id"].dataType.simpleString()
-    called = visits.groupBy("d", "cell").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    called = visits.groupBy("d", "cell").agg(F.ceil(F.count("*") / min(SHARE, share)).cast("int").alias("shares"))
     held = cells.groupBy("d", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sizes = cut_lineage(called.join(held, ["d", "cell"]))  # one row per cell
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -200,28 +208,32 @@ def _meet(visits: DataFrame, cells: DataFrame, floor: float, k: int) -> DataFram
     return both.mapInArrow(_met(floor, k), f"query_id {types[0]}, record_id {types[1]}, score double")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, floor: float, k: int, cell: int = CELL) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, floor: float, k: int, cell: int | None = None) -> DataFrame:
     """(query_id, rank, record_id, score): the k records with the greatest cosine, from ``floor`` on, ties by id.
 
     ``queries`` is (query_id, vec), ``vectors`` (record_id, vec).  Rows with a null or empty vector or null
     entries match nothing; vectors of different lengths neither; zero vectors have a cosine of 0.
-    Repeated query ids share their results.  Empty tables give an empty result.
+    Repeated query ids share their results.  Empty tables give an empty result.  Cells hold about ``cell``
+    vectors, by default as many as suit the tables.
     """
     probes, corpus = cut_lineage(unit_vectors(queries, "query_id")), unit_vectors(vectors, "record_id")
     if floor > 0:
         probes, corpus = probes.where(~F.col("zero")), corpus.where(~F.col("zero"))
     corpus = cut_lineage(corpus)
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    cell = cell or cell_size(corpus.count(), cores)
+    share = cell_size(probes.count(), cores)
     pivots = choose_pivots(corpus.where(~F.col("zero")), cell)
     cells = cut_lineage(assign_cells(corpus, "record_id", pivots))
     rings: dict[int, list] = {}
     for r in cells.groupBy("d", "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).orderBy("d", "cell").collect():
         rings.setdefault(r.d, []).append((r.cell, r.low, r.high))
     bounds = {d: np.array(rows, np.float64) for d, rows in rings.items()}
-    first = cut_lineage(_meet(_visits(probes.withColumn("least", F.lit(float(floor))), pivots, bounds, True), cells, floor, k))
+    first = cut_lineage(_meet(_visits(probes.withColumn("least", F.lit(float(floor))), pivots, bounds, True), cells, floor, k, share))
     # The k-th best score so far; a query with fewer hits has only the floor.
     reached = _ranked(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
     asking = probes.join(reached, "query_id", "left").withColumn("least", F.greatest(F.coalesce("kth", F.lit(float(floor))), F.lit(float(floor))))
-    rest = _meet(cut_lineage(_visits(asking, pivots, bounds, False)), cells, floor, k)
+    rest = _meet(cut_lineage(_visits(asking, pivots, bounds, False)), cells, floor, k, share)
     return _ranked(first.union(rest).distinct(), k)
 
 

@@ -65,6 +65,14 @@ def test_blocks_and_shares_of_a_hot_cell(spark, clustered, monkeypatch):
     assert {(r.query_id, r["rank"], r.record_id, round(r.score, 6)) for r in got} == brute(queries, clustered, 0.5, 3)
 
 
+def test_cells_grow_with_the_table(spark, clustered):
+    """A query is shuffled at most once for each cell, so cells are as large as a task may hold."""
+    assert dense.cell_size(2_000, 8) == dense.CELL and 5_000 < dense.cell_size(50_000, 8) < dense.BLOCK
+    assert dense.cell_size(600_000, 12) == dense.BLOCK >= 1 << 15
+    got = dense.nearest(table(spark, "query_id", clustered[::5]), table(spark, "record_id", clustered), 0.5, 3).collect()
+    assert {(r.query_id, r["rank"], r.record_id, round(r.score, 6)) for r in got} == brute(clustered[::5], clustered, 0.5, 3)
+
+
 def test_empty_tables(spark):
     one, none = [("a", [1.0, 0.0])], []
     for q, v in ((one, none), (none, one), (none, none)):
