@@ -43,3 +43,39 @@ def test_topk_shuffles_no_pairs(spark, capsys):
     R.bm25_topk(queries, R.token_index(docs, ["body"]), 3).explain()
     plan = capsys.readouterr().out
     assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("exact", [1 << 53, 1])
+def test_lexical_match_equals_all_pairs(spark, monkeypatch, capsys, exact):
+    monkeypatch.setattr(R, "EXACT", exact)
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choices(["alpha", "beta", "a-b", *(f"w{i}" for i in range(9))], k=n))
+    docs, asked = [(f"r{i:02d}", text(rng.randint(0, 30))) for i in range(40)], [(f"q{i}", text(rng.randint(0, 12))) for i in range(9)]
+    tokens = R.token_index(spark.createDataFrame(docs, "record_id string, body string"), ["body"])
+    queries = spark.createDataFrame(asked, "query_id string, text string")
+    out = R.lexical_match(queries, tokens, 4)
+    want = set()
+    hits = {(r.phrase, r.record_id): r.tf for r in R.phrase_hits(tokens, R.query_phrases(queries)).collect()}
+    wanted = R.query_phrases(queries).collect()
+    for q, _ in asked:
+        found: dict[str, list[int]] = {}
+        for w in wanted:
+            for (phrase, record), tf in hits.items():
+                if w.query_id == q and w.phrase == phrase:
+                    one = found.setdefault(record, [0, 0])
+                    one[0] += 1
+                    one[1] += w.qtf * tf
+        want |= {(q, n, r, m, tf) for n, (m, tf, r) in enumerate(sorted(((m, tf, r) for r, (m, tf) in found.items()), key=lambda x: (-x[0], -x[1], x[2]))[:4], 1)}
+    assert {tuple(r) for r in out.collect()} == want
+    out.explain()
+    # Pairs of queries and records are not shuffled.
+    assert ("FlatMapCoGroupsInArrow" in capsys.readouterr().out) == (exact > 1)
+
+
+def test_document_tokens_count_without_another_shuffle(spark, sf, capsys):
+    """Records lie by their id, so a phrase is counted where its record is."""
+    from lorebook.plans import tables as T
+
+    phrases = spark.createDataFrame([("q", "the"), ("q", "of")], "query_id string, phrase string")
+    R.phrase_hits(T.document_tokens(spark, sf), phrases).explain()
+    assert "hashpartitioning(phrase" not in (plan := capsys.readouterr().out) and "hashpartitioning(record_id" in plan
