@@ -40,29 +40,36 @@ def containment_join(drafts: DataFrame, refs: DataFrame, n: int = SHINGLE, thres
     """(draft_id, ref_id, shared, total, containment [, matches]) of every pair at the threshold.
 
     ``drafts`` is (draft_id, text), ``refs`` is (ref_id, text).  Identical texts are compared once
-    and fanned out at the end.  A draft needs ``need`` of its shingles in a reference, so of
-    those that occur in any reference, the rarest m - need + 1 must hold one of them: only these
-    meet the references, and a passage that most texts share does not.  Candidates are verified
-    on the whole sets.  ``matches`` is the sorted list of shared shingles.
+    and fanned out at the end.  Only shingles of both sides count, so those of the side with less text
+    are stored and the other side's are filtered where its texts lie.  A draft needs ``need`` of its
+    shingles in a reference, so of those that occur in any reference, the rarest m - need + 1 must hold
+    one of them: only these meet the references, and a passage that most texts share does not.
+    Candidates are verified on all that both sides hold.  ``matches`` is the sorted list of shared shingles.
     """
     keyed = lambda df, i, key: df.select(i, F.sha2("text", 256).alias(key), "text")
     d, r = keyed(drafts, "draft_id", "draft_key"), keyed(refs, "ref_id", "ref_key")
-    left, right = (cut_lineage(_shingled(df, key, n)) for df, key in ((d, "draft_key"), (r, "ref_key")))
-    each = lambda df, key: df.select(key, F.explode("s").alias("h"))
-    frequency = cut_lineage(each(right, "ref_key").groupBy("h").agg(F.count("*").alias("df")))
-    size = F.size("s")
+    length = lambda df: df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if length(d) <= length(r):
+        left = _shingled(d, "draft_key", n)
+        right = _shingled(r, "ref_key", n, left)
+    else:
+        right = _shingled(r, "ref_key", n)
+        left = _shingled(d, "draft_key", n, right)
+    frequency = cut_lineage(right.groupBy("h").agg(F.count("*").alias("df")))
     # The least count that reaches the threshold by the comparison made at the end.
-    least = F.ceil(size * F.lit(threshold))
-    need = F.greatest(F.when((least - 1) / size >= threshold, least - 1).when(least / size >= threshold, least).otherwise(least + 1), F.lit(1))
+    least = F.ceil(F.col("total") * F.lit(threshold))
+    need = F.greatest(F.when((least - 1) / F.col("total") >= threshold, least - 1).when(least / F.col("total") >= threshold, least).otherwise(least + 1), F.lit(1))
     known = (
-        left.select("draft_key", need.alias("need"), F.explode("s").alias("h")).join(frequency, "h")
-        .groupBy("draft_key").agg(F.max("need").alias("need"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("found"))
+        left.withColumn("need", need).join(frequency, "h")
+        .groupBy("draft_key").agg(F.max("need").alias("need"), F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("found"))
         .where(F.size("found") >= F.col("need"))
     )
-    rarest = known.select("draft_key", F.explode(F.slice("found", F.lit(1), (F.size("found") - F.col("need") + 1).cast("int"))).alias("f"))
-    pairs = rarest.select("draft_key", F.col("f.h").alias("h")).join(each(right, "ref_key"), "h").select("draft_key", "ref_key").distinct()
-    sets = pairs.join(left.withColumnRenamed("s", "a"), "draft_key").join(right.withColumnRenamed("s", "b"), "ref_key")
-    rated = sets.select("draft_key", "ref_key", F.size(F.array_intersect("a", "b")).cast("bigint").alias("shared"), F.size("a").alias("total"))
+    known = cut_lineage(known.select("draft_key", "need", "total", F.col("found.h").alias("a")))
+    rarest = known.select("draft_key", F.explode(F.slice("a", F.lit(1), (F.size("a") - F.col("need") + 1).cast("int"))).alias("h"))
+    pairs = rarest.join(right.select("ref_key", "h"), "h").select("draft_key", "ref_key").distinct()
+    held = right.groupBy("ref_key").agg(F.collect_list("h").alias("b"))
+    sets = pairs.join(known.select("draft_key", "total", "a"), "draft_key").join(held, "ref_key")
+    rated = sets.select("draft_key", "ref_key", F.size(F.array_intersect("a", "b")).cast("bigint").alias("shared"), "total")
     flagged = rated.withColumn("containment", F.col("shared") / F.col("total")).where(F.col("containment") >= threshold)
     out = flagged.join(d.select("draft_id", "draft_key"), "draft_key").join(r.select("ref_id", "ref_key"), "ref_key")
     columns = ["draft_id", "ref_id", "shared", "total", "containment"]
@@ -73,11 +80,17 @@ def containment_join(drafts: DataFrame, refs: DataFrame, n: int = SHINGLE, thres
     return texts.select(*columns, F.array_sort(F.array_intersect("a", "b")).alias("matches"))
 
 
-def _shingled(df: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, s): the distinct shingles of each different text, as hashes."""
-    once = df.groupBy(key).agg(F.first("text").alias("text"))
-    # No filter on the result: it would be moved below and evaluate the expressions once more.
-    return once.select(key, X.words("text").alias("w")).select(key, F.transform(X.shingles("w", n), lambda x: F.xxhash64(x)).alias("s"))
+def _shingled(df: DataFrame, key: str, n: int, among: DataFrame | None = None) -> DataFrame:
+    """(key, total, h): the distinct shingles of each different text as hashes, or those found in ``among``,
+    and how many the text has; stored."""
+    # No filter on the arrays, and an outer explode, which adds none: a filter would be moved below and
+    # evaluate the expressions once more.
+    hashed = df.select(key, X.words("text").alias("w")).select(key, F.transform(X.shingles("w", n), lambda x: F.xxhash64(x)).alias("s"))
+    each = hashed.withColumn("total", F.size("s")).select(key, "total", F.explode_outer("s").alias("h"))
+    if among is not None:
+        # Stored, so that its size in bytes decides whether it is sent to the texts.
+        each = each.join(cut_lineage(among.select("h").distinct()), "h", "left_semi")
+    return cut_lineage(each.select(key, "total", "h").where(F.col("h").isNotNull()).distinct())
 
 
 def distinctive_terms(c) -> Column:

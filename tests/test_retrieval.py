@@ -174,6 +174,20 @@ def test_containment_with_a_passage_in_a_third_of_both_sides(spark):
     assert [(r.draft_id, r.ref_id, r.containment) for r in got] == [(900, 4, 1.0)]
 
 
+def test_containment_stores_shared_shingles_only(spark, monkeypatch):
+    few = [(0, "a b c d e f"), (1, "x y z")]
+    many = [(i, f"w{i} a b c d v{i} " + " ".join(f"u{i}x{j}" for j in range(50))) for i in range(200)]
+    stored, store = [], S.cut_lineage
+    monkeypatch.setattr(S, "cut_lineage", lambda df: stored.append(store(df)) or stored[-1])
+    frame = lambda rows, i: spark.createDataFrame(rows, f"{i} int, text string")
+    got = S.containment_join(frame(few, "draft_id"), frame(many, "ref_id"), 3, 0.4).collect()
+    assert sorted((r.draft_id, r.ref_id, r.shared, r.total) for r in got) == [(0, i, 2, 4) for i in range(200)]
+    back = S.containment_join(frame(many, "draft_id"), frame(few, "ref_id"), 3, 2 / 54).collect()
+    assert sorted((r.draft_id, r.ref_id, r.shared, r.total) for r in back) == [(i, 0, 2, 54) for i in range(200)]
+    # Of 10,800 shingles of the larger side only those of the smaller one are kept.
+    assert max(t.count() for t in stored) <= 400
+
+
 def test_the_last_word_of_a_long_query_counts(spark):
     docs = [("a", "needle"), *[(f"d{i}", f"hay{i} straw") for i in range(40)]]
     tokens = R.token_index(spark.createDataFrame(docs, "record_id string, body string"), ["body"])
