@@ -217,3 +217,16 @@ def test_novelty(spark):
     q = spark.createDataFrame([("k", "Alpha beta  gamma"), ("s", "gamma only"), ("n", "unseen words")], "query_id string, text string")
     got = {r["query_id"]: r["novelty"] for r in R.assess_novelty(q, idx).collect()}
     assert got == {"k": "known", "s": "similar", "n": "novel"}
+
+
+def test_document_frequencies_read_served_records_once(spark, monkeypatch):
+    docs = [("a", "red fox"), ("b", "red hen"), ("c", "red fox den"), ("d", "hen")]
+    tokens = R.token_index(spark.createDataFrame(docs, "record_id string, body string"), ["body"])
+    phrases = spark.createDataFrame([("red",), ("fox",), ("hen",), ("red fox",), ("den",)], "phrase string")
+    ids = lambda *r: spark.createDataFrame([(x,) for x in r], "record_id string")
+    read, hits = [], R.phrase_hits
+    monkeypatch.setattr(R, "phrase_hits", lambda t, p, carry=(), among=None: read.append(among) or hits(t, p, carry, among))
+    got = {tuple(r) for r in R.doc_freqs(tokens, phrases, x=ids("a", "b", "d", "d"), y=ids("b")).collect()}
+    assert got == {("red", 2, 1), ("fox", 1, 0), ("hen", 2, 1), ("red fox", 1, 0)}
+    assert {tuple(r) for r in R.doc_freq(tokens, phrases, ids("c", "c")).collect()} == {("red", 1), ("fox", 1), ("red fox", 1), ("den", 1)}
+    assert [sorted(r.record_id for r in among.collect()) for among in read] == [["a", "b", "d"], ["c"]]
