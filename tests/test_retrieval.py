@@ -230,3 +230,13 @@ def test_document_frequencies_read_served_records_once(spark, monkeypatch):
     assert got == {("red", 2, 1), ("fox", 1, 0), ("hen", 2, 1), ("red fox", 1, 0)}
     assert {tuple(r) for r in R.doc_freq(tokens, phrases, ids("c", "c")).collect()} == {("red", 1), ("fox", 1), ("red fox", 1), ("den", 1)}
     assert [sorted(r.record_id for r in among.collect()) for among in read] == [["a", "b", "d"], ["c"]]
+
+
+def test_rankings_read_twice_are_scored_once(spark, capsys):
+    idx = index(spark, {f"d{i}": (f"alpha beta w{i}", "trap", "me", "go") for i in range(9)})
+    idx.vectors = spark.createDataFrame([("d1", [1.0, 0.0])], "record_id string, vec array<float>")
+    queries = spark.createDataFrame([("q", "w1 w2", [1.0, 0.0], False), ("p", "w3", None, True)], "query_id string, text string, vec array<float>, error_trigger boolean")
+    R.retrieve_fused(queries.drop("error_trigger"), idx).explain()
+    none = spark.createDataFrame([], "word string, df bigint")
+    G.push_gate(queries.drop("vec"), idx, none, 100, none, floor=0.5).explain()
+    assert "FlatMapCoGroupsInArrow" not in capsys.readouterr().out
