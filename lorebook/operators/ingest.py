@@ -295,16 +295,27 @@ def assign_ids(drafts: DataFrame, id_sources: Sequence[DataFrame], order_col: st
     return ranked.withColumn("_start", start).withColumn("id", X.record_id(F.col("_start") + F.col("_n"))).drop("_n", "_start")
 
 
+# Rows of a table that one task of the integrity check sorts or counts.
+TASK_ROWS = 1 << 18
+
+
 def integrity_check(records: DataFrame, files: DataFrame) -> DataFrame:
-    """(id, problem, detail): duplicate ids, dangling superseded_by, missing repro files."""
+    """(id, problem, detail): duplicate ids, dangling superseded_by, missing repro files.
+
+    Ids and paths are dealt over parts of a bounded number of rows, before anything is counted, so that no
+    task's tables grow with the input.
+    """
+    rows = max(records.count(), files.count())
+    parts = max(records.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    dealt = lambda df, key: df.repartition(parts, key)
     dup = (
-        records.groupBy("id").agg(F.count("*").alias("n"), F.min("path").alias("first"))
+        dealt(records.select("id", "path"), "id").groupBy("id").agg(F.count("*").alias("n"), F.min("path").alias("first"))
         .where(F.col("n") > 1)
         .select("id", F.lit("duplicate_id").alias("problem"), F.col("n").cast("string").alias("detail"))
     )
     links = records.select("id", F.col("provenance.superseded_by").alias("target")).where(F.col("target").isNotNull())
-    known = records.select(F.col("id").alias("target")).distinct()
-    dangling = links.join(known, "target", "left_anti").select(
+    known = dealt(records.select(F.col("id").alias("target")), "target").distinct()
+    dangling = dealt(links, "target").join(known, "target", "left_anti").select(
         "id", F.lit("dangling_superseded_by").alias("problem"), F.col("target").alias("detail")
     )
     declared = records.select(
@@ -318,7 +329,7 @@ def integrity_check(records: DataFrame, files: DataFrame) -> DataFrame:
             )
         ).alias("path"),
     )
-    missing = declared.join(files.select("path").distinct(), "path", "left_anti").select(
+    missing = dealt(declared, "path").join(dealt(files.select("path"), "path").distinct(), "path", "left_anti").select(
         "id", F.lit("missing_repro").alias("problem"), F.col("path").alias("detail")
     )
     return dup.unionByName(dangling).unionByName(missing)
