@@ -316,7 +316,9 @@ def advisory_audit(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     keyed = lambda c: F.when(F.col(c).isNotNull(), V.version_key(c))
     bounds = ranges.where(F.col("path").isNotNull()).select("range_id", F.col("path").alias("grp"), keyed("introduced").alias("low"), keyed("fixed").alias("high"))
     versions = deps.join(ranges.select("path").distinct(), "path", "left_semi").select("path", "version").distinct()
-    points = versions.select(F.struct("path", "version").alias("point"), F.col("path").alias("grp"), V.version_key("version").alias("key"))
+    # A version is parsed once, however many packages have it; the sort by ranges would do so twice for each.
+    keys = cut_lineage(deps.select(F.col("version").alias("v")).distinct().withColumn("key", V.version_key("v")))
+    points = versions.join(keys, F.col("version").eqNullSafe(F.col("v"))).select(F.struct("path", "version").alias("point"), F.col("path").alias("grp"), "key")
     hits = in_ranges(points, bounds).select("point.path", F.col("point.version").alias("hit"), "range_id")
     found = hits.join(ranges.drop("path"), "range_id")
     same = (deps["path"] == found["path"]) & deps["version"].eqNullSafe(found["hit"])

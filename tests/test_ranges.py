@@ -66,3 +66,18 @@ def test_audit_of_prereleases_open_ends_and_repeats(spark):
     pairs = spark.createDataFrame([(p, v, *e) for p, v in deps for e in entries if p == e[2] and v is not None], "path string, version string, record_id string, advisory_id string, package string, introduced string, fixed string")
     want = pairs.where(V.in_affected_range("version", "introduced", "fixed")).drop("package")
     assert rows == sorted(map(tuple, want.collect())) and len(rows) > 10
+
+
+def test_audit_parses_each_version_once(spark, monkeypatch):
+    seen, find = [], A.in_ranges
+    monkeypatch.setattr(A, "in_ranges", lambda points, ranges: seen.append(points) or find(points, ranges))
+    deps = spark.createDataFrame([(f"p{i % 7}", f"v{i % 3}.0") for i in range(40)] + [("p0", None)], "path string, version string")
+    applies = "array<struct<ecosystem:string,package:string,versions:struct<introduced:string,fixed:string>>>"
+    advisories = spark.createDataFrame(
+        [("a", (["GHSA-x"],), [("Go", "p0", ("1", None))]), ("b", (["GHSA-y"],), [("Go", "p1", (None, "1"))])],
+        f"id string, symptom struct<error_signatures:array<string>>, applies_to {applies}",
+    )
+    got = sorted((r.path, r.version, r.record_id) for r in A.advisory_audit(deps, advisories).collect() if r.version is not None)
+    want = [(f"p{i % 7}", f"v{i % 3}.0", "a" if i % 7 == 0 else "b") for i in range(40) if (i % 7 == 0 and i % 3) or (i % 7 == 1 and i % 3 == 0)]
+    assert got == sorted(want)
+    assert "regexp" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
