@@ -27,6 +27,20 @@ FREQUENT = 0.01
 MARGIN = 2e-9
 
 
+def gathered(hits: DataFrame) -> DataFrame:
+    """(record_id, dl, codes, tfs): the entries of each record of ``hits`` (record_id, code, tf, dl); stored.
+
+    Hits that lie by their record are put together where they lie, so give them as they are counted: read
+    back from files, a task gets as many of them as the files are dense."""
+    entries = hits.groupBy("record_id").agg(F.max("dl").alias("dl"), F.collect_list(F.struct("code", "tf")).alias("e"))
+    return cut_lineage(entries.select("record_id", "dl", F.col("e.code").alias("codes"), F.col("e.tf").alias("tfs")))
+
+
+def entries(records: DataFrame) -> DataFrame:
+    """(record_id, dl, code, tf): the hits that :func:`gathered` has put together."""
+    return records.select("record_id", "dl", F.explode(F.arrays_zip("codes", "tfs")).alias("e")).select("record_id", "dl", F.col("e.codes").alias("code"), F.col("e.tfs").alias("tf"))
+
+
 def best_of_blocks(
     hits: DataFrame, weights: DataFrame, part: Callable[[np.ndarray, np.ndarray, float], np.ndarray], k: int, floor: float, digits: int
 ) -> DataFrame:
@@ -36,10 +50,13 @@ def best_of_blocks(
     query; a record's score is the sum of weight * part(tf, dl, avgdl).  Ties after rounding to ``digits`` go
     to the lower record_id.
     """
-    records = cut_lineage(
-        hits.groupBy("record_id").agg(F.max("dl").alias("dl"), F.collect_list(F.struct("code", "tf")).alias("e"))
-        .select("record_id", "dl", F.col("e.code").alias("codes"), F.col("e.tf").alias("tfs"))
-    )
+    return best_of_records(gathered(hits), weights, part, k, floor, digits)
+
+
+def best_of_records(
+    records: DataFrame, weights: DataFrame, part: Callable[[np.ndarray, np.ndarray, float], np.ndarray], k: int, floor: float, digits: int
+) -> DataFrame:
+    """:func:`best_of_blocks` of records that are put together; ``records`` is read more than once."""
     queries = cut_lineage(
         weights.groupBy("query_id").agg(F.max("avgdl").alias("avgdl"), F.collect_list(F.struct("code", "weight")).alias("e"))
         .select("query_id", "avgdl", F.col("e.code").alias("codes"), F.col("e.weight").alias("weights"))

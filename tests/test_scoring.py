@@ -79,3 +79,16 @@ def test_document_tokens_count_without_another_shuffle(spark, sf, capsys):
     phrases = spark.createDataFrame([("q", "the"), ("q", "of")], "query_id string, phrase string")
     R.phrase_hits(T.document_tokens(spark, sf), phrases).explain()
     assert "hashpartitioning(phrase" not in (plan := capsys.readouterr().out) and "hashpartitioning(record_id" in plan
+
+
+def test_entries_of_a_record_are_put_together_where_they_are_counted(spark, sf, monkeypatch):
+    """The one shuffle deals the records; none of their hits, which would grow a task with the table."""
+    from lorebook.plans import tables as T
+
+    plans, store = [], scoring.cut_lineage
+    monkeypatch.setattr(scoring, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df))
+    for ranked in (R.bm25_topk, R.lexical_match):
+        plans.clear()
+        assert ranked(T.benchmark_queries(spark, sf), T.document_tokens(spark, sf), 3).count()
+        (plan,) = [p for p in plans if "ObjectHashAggregate(keys=[record_id" in p]
+        assert plan.count("Exchange hashpartitioning(") == plan.count("REPARTITION_BY_NUM") >= 1
