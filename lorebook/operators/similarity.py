@@ -93,39 +93,49 @@ def _shingled(df: DataFrame, key: str, n: int, among: DataFrame | None = None) -
     return cut_lineage(each.select(key, "total", "h").where(F.col("h").isNotNull()).distinct())
 
 
+def _distinctive(w: Column) -> Column:
+    return (F.octet_length(w) >= 4) & ~w.isin(*GENERIC_TASK_WORDS) & ~w.rlike(r"^\p{Nd}+\z")
+
+
 def distinctive_terms(c) -> Column:
     """Distinct words of at least four bytes that are neither generic task words nor numbers."""
-    generic = F.array(*[F.lit(w) for w in GENERIC_TASK_WORDS])
-    return F.array_distinct(
-        F.filter(
-            X.words(c),
-            lambda w: (F.octet_length(w) >= 4) & ~F.array_contains(generic, w) & ~w.rlike(r"^\p{Nd}+\z"),
-        )
-    )
+    return F.array_distinct(F.filter(X.words(c), _distinctive))
+
+
+def _contained(n: int):
+    """Share of the distinct n-grams of a prompt that a fix holds, of their blank-joined words."""
+
+    def grams(text):
+        words = text.split()
+        return zip(*[words[i:] for i in range(n)])
+
+    def contained(prompt, fix):
+        ours = set(grams(prompt or ""))
+        return len(ours.intersection(grams(fix))) / len(ours) if ours else 0.0
+
+    return contained
 
 
 def leak_and_relevance_guard(tasks: DataFrame, records: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """(task_id, record_id, containment, verdict): leak, irrelevant or ok for each drafted task.
 
-    ``tasks`` is (task_id, record_id, prompt); ``records`` are nested records.
+    ``tasks`` is (task_id, record_id, prompt); ``records`` are nested records.  Only texts are shuffled; their
+    shingles, many times as large, are made behind the join and compared word by word, which costs less than
+    joining them to strings.  Terms are only looked at where nothing leaks.
+    A record without distinctive terms finds every task relevant.
     """
     packages = F.transform("applies_to", lambda a: F.coalesce(a["package"], F.lit("")))
     vocabulary = F.concat_ws(
         " ", "title", "symptom.summary", _strings("symptom.error_signatures"), F.coalesce(packages, F.array().cast("array<string>"))
     )
     fix_text = F.concat_ws(" ", F.coalesce("resolution.root_cause", F.lit("")), F.coalesce("resolution.fix", F.lit("")))
-    facts = records.select(
-        F.col("id").alias("record_id"), X.words(fix_text).alias("w"), distinctive_terms(vocabulary).alias("terms")
-    ).select("record_id", X.shingles("w", n).alias("fix_shingles"), "terms")
-    prompts = tasks.withColumn("w", X.words("prompt")).withColumn("prompt_shingles", X.shingles("w", n))
-    joined = prompts.join(facts, "record_id")
-    shared = F.size(F.array_intersect("prompt_shingles", "fix_shingles"))
-    total = F.size("prompt_shingles")
-    containment = F.when(total > 0, shared / total).otherwise(F.lit(0.0))
-    relevant = (F.size("terms") == 0) | F.arrays_overlap("terms", distinctive_terms("prompt"))
-    return joined.withColumn("containment", containment).select(
-        "task_id",
-        "record_id",
-        "containment",
-        F.when(F.col("containment") >= threshold, "leak").when(~relevant, "irrelevant").otherwise("ok").alias("verdict"),
+    facts = records.select(F.col("id").alias("record_id"), fix_text.alias("fix"), vocabulary.alias("vocabulary"))
+    keys = ["task_id", "record_id"]
+    joined = lambda c: F.array_join(X.words(c), " ")
+    words = tasks.join(facts, "record_id").select(*keys, "vocabulary", joined("prompt").alias("p"), joined("fix").alias("f"))
+    rated = words.select(*keys, "vocabulary", "p", F.udf(_contained(max(n, 1)), "double")("p", "f").alias("containment"))
+    terms = X.words("vocabulary")
+    relevant = F.exists(F.array_intersect(F.split("p", " "), terms), _distinctive) | ~F.exists(terms, _distinctive)
+    return rated.select(
+        *keys, "containment", F.when(F.col("containment") >= threshold, "leak").when(~relevant, "irrelevant").otherwise("ok").alias("verdict")
     )

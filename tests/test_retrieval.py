@@ -240,3 +240,47 @@ def test_rankings_read_twice_are_scored_once(spark, capsys):
     none = spark.createDataFrame([], "word string, df bigint")
     G.push_gate(queries.drop("vec"), idx, none, 100, none, floor=0.5).explain()
     assert "FlatMapCoGroupsInArrow" not in capsys.readouterr().out
+
+
+def test_guard_shuffles_texts_and_no_shingles(spark, sf):
+    from lorebook.plans import content
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = content.leak_and_relevance_guard(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "Exchange hashpartitioning(record_id" in plan and "sequence(" not in plan.split("Exchange hashpartitioning(record_id", 1)[1]
+
+
+def test_guard_of_odd_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from lorebook.operators import similarity as S
+    from lorebook.operators.ingest import typed
+
+    frame = lambda fixes, schema: spark.createDataFrame(fixes, schema)
+    texts = frame([("r", "broken Widget", "a b c. A b C d"), ("s", "it is 2024", None)], "id string, title string, fix string")
+    records = typed(
+        texts.select(
+            "id", "title",
+            F.struct(F.lit(None).cast("string").alias("root_cause"), "fix", F.lit(None).cast("array<struct<tried:string,why_it_failed:string>>").alias("dead_ends")).alias("resolution"),
+        )
+    )
+    tasks = [("leak", "r", "x a B c a, b c"), ("short", "r", "a b"), ("none", "r", None), ("empty", "r", ""), ("near", "r", "the widget"), ("any", "s", "what"), ("lost", "t", "a")]
+    got = S.leak_and_relevance_guard(frame(tasks, "task_id string, record_id string, prompt string"), records, 3, 0.5).collect()
+    assert {r.task_id: (r.record_id, r.containment, r.verdict) for r in got} == {
+        "leak": ("r", 0.75, "leak"), "short": ("r", 0.0, "irrelevant"), "none": ("r", 0.0, "ok"), "empty": ("r", 0.0, "irrelevant"),
+        "near": ("r", 0.0, "ok"), "any": ("s", 0.0, "ok"),
+    }
+
+
+def test_ngrams_of_a_long_text_copy_no_slices(spark):
+    from pyspark.sql import functions as F
+
+    from lorebook.functions import text as X
+
+    df = spark.createDataFrame([(["a", "b", "c", "d"],), (["a", "b"],), ([],), (None,)], "w array<string>").select(X.ngrams(F.col("w"), 3).alias("g"))
+    assert [r.g for r in df.collect()] == [["a b c", "b c d"], [], [], []]
+    assert "slice(" not in df._jdf.queryExecution().optimizedPlan().toString()
