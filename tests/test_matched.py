@@ -6,11 +6,12 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lorebook.functions import text as X
+from lorebook.operators import gate as G
 from lorebook.operators import retrieval as R
 from lorebook.operators import scoring
-from pyspark.sql import functions as F
 
 WORDS = ["alpha", "beta", "a-b", "A.b", "x-y-z", "(beta)", "--", "½", "b", "y", *(f"w{i}" for i in range(9))]
 
@@ -76,3 +77,21 @@ def test_nothing_is_copied_for_each_pair_of_blocks(spark, monkeypatch, capsys):
     out.explain()
     plan = capsys.readouterr().out
     assert "Generate" not in plan and plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_corroborate_makes_its_tokens_once(spark):
+    """What tells the tokens may read the whole corpus (a stop list): no later step goes back to it."""
+    tokens, queries = _tables(spark, random.Random(5))
+    index = R.CorpusIndex(None, None, None, tokens)
+    asked = queries.select("query_id", F.explode(X.query_tokens("text")).alias("token")).distinct().where("query_id is not null")
+    asked = asked.mapInArrow(lambda batches: batches, "query_id string, token string").withColumn("phrase", R.as_phrase(F.col("token"))).where("phrase <> ''")
+    hits = R.bm25_topk(queries, tokens, 3, -1.0)
+    out = G.corroborate(hits, asked, index)
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+    held = {(r.phrase, r.record_id) for r in R.phrase_hits(tokens, R.query_phrases(queries)).collect()}
+    mine = asked.collect()
+    want = {
+        (h.query_id, h.record_id) for h in hits.collect()
+        if len({a.token for a in mine if a.query_id == h.query_id and (a.phrase, h.record_id) in held}) >= 2 and h.query_id and h.record_id
+    }
+    assert want and {(r.query_id, r.record_id) for r in out.collect()} == want
